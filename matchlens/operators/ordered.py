@@ -32,7 +32,7 @@ def input_bytes(df: DataFrame) -> int | None:
     """Bytes of the sources below a plan, as Catalyst knows them, or None."""
     try:
         leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:
         return None
 

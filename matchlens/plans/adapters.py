@@ -11,10 +11,28 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import Corpus, with_folded
+from ..schema import TABLES, Corpus, with_folded
 
 DAY0 = "1995-01-01"
 
+TABLE_NAMES = [n for n in TABLES if n != "schema_metadata"]
+
+# Layouts of the input tables, so that no read has to look into a file first.
+LAYOUTS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ,"
+    " o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE,"
+    " l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+}
+
 
 class Tables:
     """Lazy access to the tables of one directory and the views derived from them."""
@@ -23,7 +41,7 @@ class Tables:
         self.spark, self.root = spark, root
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self.spark.read.schema(LAYOUTS[name]).parquet(f"{self.root}/{name}.parquet")
 
     # Events by user.
 
@@ -54,57 +72,7 @@ class Tables:
 
     @cached_property
     def corpus(self) -> Corpus:
-        key = F.col("o_orderkey")
-        replays = self.read("orders").select(
-            key.alias("replay_id"),
-            F.concat(F.lit("game-"), key.cast("string"), F.lit(".rep")).alias("source_replay_filename"),
-            F.lit(None).cast("string").alias("source_replay_path"),
-            F.col("o_orderpriority").alias("matchup"),
-            F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("map"),
-            (F.col("o_totalprice") / 100).alias("duration_seconds"),
-            F.concat(F.lit("m/"), key.cast("string")).alias("manifest_path"),
-        )
-        supplier = self.read("supplier").select(F.col("s_suppkey").alias("owner"), F.col("s_name").alias("name"), "s_nationkey")
-        nation = self.read("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("race"))
-        players = (
-            self.read("lineitem").select(F.col("l_orderkey").alias("replay_id"), F.col("l_suppkey").alias("owner")).distinct()
-            .join(supplier, "owner").join(nation, "s_nationkey")
-            .select("replay_id", "owner", "name", "race", F.concat_ws("/", F.lit("z"), F.col("replay_id").cast("string"), F.col("owner").cast("string")).alias("zip_path"))
-        )
-        q = F.col("l_quantity").cast("int")
-        k = ["replay_id", "owner", "time_seconds"]
-        t = self.typed_lines
-        events = t.select(
-            *k, q.alias("supply_used"), F.lit(50).alias("supply_max"), F.col("p_type").alias("item"),
-            F.concat_ws("#", "p_type", F.col("l_linenumber").cast("string")).alias("raw_line"), F.col("seq").alias("event_seq"),
-        )
-        economy = self.lines.select(
-            *k, F.floor("l_extendedprice").alias("minerals"), F.floor(F.col("l_tax") * 100 + 0.5).alias("gas"),
-            F.col("l_partkey").alias("gathered_minerals"), F.lit(None).cast("bigint").alias("gathered_gas"),
-            F.when(q < 48, q).alias("workers"), F.col("seq").alias("frame"),
-        )
-        supply = self.lines.select(
-            *k, q.alias("current"), F.when(F.col("l_tax") == 0, 0).otherwise(40).alias("max"), F.col("seq").alias("frame")
-        )
-        counts = t.select(*k, F.col("p_type").alias("unit_type"), q.alias("count"), F.col("seq").alias("frame"))
-        n = F.col("l_linenumber")
-        category = (
-            F.when(n == 1, "worker").when(n == 2, "building").when(n == 3, "air").when(n == 4, "resource").otherwise("unit")
-        )
-        deaths = t.where(F.col("l_returnflag") == "R").select(
-            *k, F.col("seq").alias("frame"), F.col("owner").alias("dead_owner"), F.col("p_type").alias("unit_type"),
-            category.alias("category"), F.col("seq").alias("death_id"),
-        )
-        return Corpus(
-            replays,
-            with_folded(players, "players"),
-            with_folded(events, "build_order_events"),
-            economy,
-            supply,
-            with_folded(counts, "unit_count_samples"),
-            deaths,
-            self.catalog,
-        )
+        return MatchCorpus(self)
 
     @cached_property
     def catalog(self) -> DataFrame:
@@ -169,6 +137,91 @@ class Tables:
         ).withColumn("deaths", F.array().cast(death))
 
 
+K = ["replay_id", "owner", "time_seconds"]
+
+
+class MatchCorpus(Corpus):
+    """Corpus tables over orders and line items; a table is planned when first used."""
+
+    def __init__(self, t: Tables):
+        self._t = t
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLE_NAMES:
+            raise AttributeError(name)
+        df = with_folded(getattr(self, f"_{name}")(), name)
+        self.__dict__[name] = df
+        return df
+
+    @property
+    def catalog(self) -> DataFrame:
+        return self._t.catalog
+
+    def _replays(self) -> DataFrame:
+        key = F.col("o_orderkey")
+        return self._t.read("orders").select(
+            key.alias("replay_id"),
+            F.concat(F.lit("game-"), key.cast("string"), F.lit(".rep")).alias("source_replay_filename"),
+            F.lit(None).cast("string").alias("source_replay_path"),
+            F.col("o_orderpriority").alias("matchup"),
+            F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("map"),
+            (F.col("o_totalprice") / 100).alias("duration_seconds"),
+            F.concat(F.lit("m/"), key.cast("string")).alias("manifest_path"),
+        )
+
+    def _players(self) -> DataFrame:
+        supplier = self._t.read("supplier").select(F.col("s_suppkey").alias("owner"), F.col("s_name").alias("name"), "s_nationkey")
+        nation = self._t.read("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("race"))
+        both = self._t.read("lineitem").select(F.col("l_orderkey").alias("replay_id"), F.col("l_suppkey").alias("owner")).distinct()
+        zip_path = F.concat_ws("/", F.lit("z"), F.col("replay_id").cast("string"), F.col("owner").cast("string"))
+        return both.join(supplier, "owner").join(nation, "s_nationkey").select(
+            "replay_id", "owner", "name", "race", zip_path.alias("zip_path")
+        )
+
+    def _build_order_events(self) -> DataFrame:
+        return self._t.typed_lines.select(
+            *K,
+            F.col("l_quantity").cast("int").alias("supply_used"),
+            F.lit(50).alias("supply_max"),
+            F.col("p_type").alias("item"),
+            F.concat_ws("#", "p_type", F.col("l_linenumber").cast("string")).alias("raw_line"),
+            F.col("seq").alias("event_seq"),
+        )
+
+    def _economy_samples(self) -> DataFrame:
+        q = F.col("l_quantity").cast("int")
+        return self._t.lines.select(
+            *K,
+            F.floor("l_extendedprice").alias("minerals"),
+            F.floor(F.col("l_tax") * 100 + 0.5).alias("gas"),
+            F.col("l_partkey").alias("gathered_minerals"),
+            F.lit(None).cast("bigint").alias("gathered_gas"),
+            F.when(q < 48, q).alias("workers"),
+            F.col("seq").alias("frame"),
+        )
+
+    def _supply_samples(self) -> DataFrame:
+        top = F.when(F.col("l_tax") == 0, 0).otherwise(40)
+        return self._t.lines.select(
+            *K, F.col("l_quantity").cast("int").alias("current"), top.alias("max"), F.col("seq").alias("frame")
+        )
+
+    def _unit_count_samples(self) -> DataFrame:
+        return self._t.typed_lines.select(
+            *K, F.col("p_type").alias("unit_type"), F.col("l_quantity").cast("int").alias("count"), F.col("seq").alias("frame")
+        )
+
+    def _death_events(self) -> DataFrame:
+        n = F.col("l_linenumber")
+        category = (
+            F.when(n == 1, "worker").when(n == 2, "building").when(n == 3, "air").when(n == 4, "resource").otherwise("unit")
+        )
+        return self._t.typed_lines.where(F.col("l_returnflag") == "R").select(
+            *K, F.col("seq").alias("frame"), F.col("owner").alias("dead_owner"), F.col("p_type").alias("unit_type"),
+            category.alias("category"), F.col("seq").alias("death_id"),
+        )
+
+
 M_SQL = f"""
 lines AS (
   SELECT l_orderkey AS replay_id, l_suppkey AS owner,

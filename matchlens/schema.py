@@ -94,6 +94,7 @@ FOLDED = {
 
 
 def with_folded(df: DataFrame, table: str) -> DataFrame:
+    """Add the folded columns of a corpus table."""
     for source, target in FOLDED.get(table, {}).items():
         df = df.withColumn(target, ascii_lower(source))
     return df
