@@ -346,7 +346,7 @@ def match_manifests(t: Tables) -> DataFrame:
 
 CURATED = {k: v.strip() for k, v in curated(
     item_a="LARGE", item_b="PROMO", race="NATION_1", matchup="1-URGENT", units=("LARGE", "SMALL"), name_part="GAME-1",
-    economy_at=900, counts_at=900, lo=600, hi=1200,
+    economy_at=900, counts_at=900, lo=600, hi=1200, nth=1,
 ).items()}
 
 

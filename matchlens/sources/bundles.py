@@ -140,7 +140,7 @@ def wanted_archives(manifests: DataFrame) -> DataFrame:
     )
 
 
-def read_bundles(spark: SparkSession, manifests: DataFrame, root: str) -> Bundles:
+def read_bundles(spark: SparkSession, manifests: DataFrame, root: str | list[str]) -> Bundles:
     """Open exactly the archives named by the manifests; others are never read past
     their path. A missing archive, member or owner match is an error row."""
     wanted = wanted_archives(manifests)

@@ -61,7 +61,7 @@ def _nth(item: str, n: int) -> str:
 
 def curated(item_a: str = "Hatchery", item_b: str = "Spire", race: str = "zerg", matchup: str = "ZvT",
             units: Sequence[str] = ("mutalisk", "drone", "zergling"), name_part: str = "game",
-            economy_at: int = 300, counts_at: int = 420, lo: int = 420, hi: int = 540) -> dict[str, str]:
+            economy_at: int = 300, counts_at: int = 420, lo: int = 420, hi: int = 540, nth: int = 3) -> dict[str, str]:
     """Starter queries over the corpus views, as text that runs on any SQL engine.
 
     Each is ordered and limited where it is a report of the top rows.
@@ -90,13 +90,13 @@ WHERE p.race = '{race}' AND r.matchup = '{matchup}'
 ORDER BY f.time_seconds, f.replay_id, p.owner LIMIT 50""",
         "nth_occurrence": f"""
 SELECT r.source_replay_filename, p.name, f.replay_id, f.owner, f.time_seconds
-FROM ({_nth(item_a, 3)}) AS f
+FROM ({_nth(item_a, nth)}) AS f
 {who.format('f')}
 ORDER BY f.time_seconds, f.replay_id, f.owner LIMIT 50""",
         "event_sequence": f"""
-SELECT p.name, r.source_replay_filename, a.time_seconds AS third_seconds, b.time_seconds AS first_seconds,
+SELECT p.name, r.source_replay_filename, a.time_seconds AS nth_seconds, b.time_seconds AS first_seconds,
        b.time_seconds - a.time_seconds AS delta_seconds
-FROM ({_nth(item_a, 3)}) AS a JOIN ({_nth(item_b, 1)}) AS b ON b.replay_id = a.replay_id AND b.owner = a.owner
+FROM ({_nth(item_a, nth)}) AS a JOIN ({_nth(item_b, 1)}) AS b ON b.replay_id = a.replay_id AND b.owner = a.owner
 {who.format('a')}
 WHERE a.time_seconds < b.time_seconds
 ORDER BY delta_seconds, a.replay_id, p.name LIMIT 50""",
