@@ -46,7 +46,7 @@ def _tagged(samples, probes, keys, payload, time, probe_time, tie):
         *keys,
         F.col(time).cast("double").alias("_t"),
         F.lit(0).alias("_side"),
-        F.struct(*[F.col(c).cast("double") for c in tie]).alias("_tie"),
+        F.struct(F.lit(0).alias("_"), *[F.col(c).cast("double") for c in tie]).alias("_tie"),
         F.struct(time, *payload).alias("_sample"),
         F.lit(None).cast(probes.select(F.struct(*carried).alias("p")).schema["p"].dataType).alias("_probe"),
     )

@@ -14,6 +14,10 @@ scans here cut every hot key into time slices:
 The join of step 4 is on (key, slice), the partitioning the window needs
 anyway, so it adds no shuffle of the rows. Inputs that are small as a whole
 cannot hold a hot key, and skip steps 1, 2 and 4.
+
+A sliced scan reads its input up to three times. Where scans follow each other
+the plan would multiply, so an input that already reads many sources is first
+written to the shared folder (`hold`).
 """
 
 from __future__ import annotations
@@ -23,11 +27,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
+
 SLICE = "_slice"
 MAX_ROWS = 5_000_000
 SMALL_INPUT_BYTES = 256 * 1024 * 1024
 
 
+MAX_SOURCES = 12
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """The same rows; written out first when the plan reads more than a few sources."""
+    try:
+        sources = df._jdf.queryExecution().analyzed().collectLeaves().size()
+    except Exception:
+        return df
+    return stage(df, "scan") if sources > MAX_SOURCES else df
+
+
 def input_bytes(df: DataFrame) -> int | None:
     """Bytes of the sources below a plan, as Catalyst knows them, or None."""
     try:
@@ -51,6 +69,7 @@ def with_slice(df: DataFrame, keys: Sequence[str], order: str, max_rows: int | N
         return df
     if max_rows is None and is_small(df):
         return df
+    df = hold(df)
     bound = max_rows or MAX_ROWS
     at = F.col(order).cast("double")
     hot = (
@@ -96,6 +115,8 @@ def ordered_scan(
     keys, order = list(keys), list(order)
     sliced = with_slice(df, keys, order[0], max_rows)
     hot_aware = SLICE in sliced.columns
+    if hot_aware:
+        sliced = hold(sliced)
     sort = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     part = keys + ([SLICE] if hot_aware else [])
     base = Window.partitionBy(*part).orderBy(*sort)
