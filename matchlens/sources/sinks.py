@@ -36,17 +36,20 @@ def replace_matches(
     """Replace all rows of the given ids in a bucketed Parquet table.
 
     Only buckets that hold an incoming id are read and rewritten, by dynamic
-    partition overwrite, so the call can be repeated. The write is rebalanced:
-    AQE splits a bucket that one match fills and joins small ones.
+    partition overwrite, so the call can be repeated. A bucket left without rows
+    is not overwritten by Spark; its old files are removed afterwards. The write
+    is rebalanced: AQE splits a bucket that one match fills and joins small ones.
     """
     spark = incoming.sparkSession
     new = incoming.withColumn(BUCKET, bucket_of(F.col(key), buckets))
     touched = ids.select(key).distinct().withColumn(BUCKET, bucket_of(F.col(key), buckets))
+    before: dict[str, list] = {}
     if _exists(spark, path):
-        old = spark.read.schema(new.schema).parquet(path)
-        # At most `buckets` values; pruned to those partitions at run time.
-        affected = F.broadcast(touched.select(BUCKET).distinct())
-        kept = old.join(affected, BUCKET, "left_semi").join(touched.select(key), key, "left_anti")
+        # At most `buckets` numbers.
+        numbers = sorted(r[0] for r in touched.select(BUCKET).distinct().collect())
+        before = {f"{path}/{BUCKET}={n}": _files(spark, f"{path}/{BUCKET}={n}") for n in numbers}
+        old = spark.read.schema(new.schema).parquet(path).where(F.col(BUCKET).isin(*numbers))
+        kept = old.join(touched.select(key), key, "left_anti")
         out = new.unionByName(kept.select(*new.columns))
     else:
         out = new
@@ -56,6 +59,17 @@ def replace_matches(
         out.sortWithinPartitions(BUCKET, *[c for c in by if c in out.columns])
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
     )
+    for folder, files in before.items():
+        for name in set(files) & set(_files(spark, folder)):
+            target = spark._jvm.org.apache.hadoop.fs.Path(name)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, False)
+
+
+def _files(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the data files in one folder; empty when it does not exist."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [str(f.getPath().toString()) for f in fs.listStatus(target)] if fs.exists(target) else []
 
 
 def batch_report(manifests: DataFrame, batch_size: int = 10) -> DataFrame:
@@ -111,7 +125,9 @@ def series_documents(samples: DataFrame, keys: Sequence[str], fields: Sequence[s
     keys = list(keys)
     at = F.floor(F.col("time_seconds") / slice_seconds).alias("part") if slice_seconds else F.lit(0).alias("part")
     rows = samples.select(*keys, at, F.struct(*fields).alias("s"))
-    docs = rows.groupBy(*keys, "part").agg(F.array_sort(F.collect_list("s")).alias("samples"))
+    first = fields[0]
+    in_order = lambda a, b: F.when(a[first] < b[first], -1).when(a[first] > b[first], 1).otherwise(0)
+    docs = rows.groupBy(*keys, "part").agg(F.array_sort(F.collect_list("s"), in_order).alias("samples"))
     return docs.select(*keys, "part", F.to_json(F.struct(F.lit(schema_version).alias("schema_version"), "samples")).alias("json"))
 
 
