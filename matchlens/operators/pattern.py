@@ -20,9 +20,9 @@ from ..functions.text import ascii_lower_text
 from ..schema import Corpus
 from .asof import latest_when
 from .events import EVENT
-from .ordered import first_n
+from .ordered import first_n, hold
 from .samples import ECONOMY
-from .scope import K, find_matches, identity, perspective
+from .scope import K, in_matches, perspective
 
 SUMMARIES = ("total_count", "count_by_unit_type", "count_by_category", "first_time_seconds", "last_time_seconds")
 
@@ -319,35 +319,37 @@ def pattern_search(
         else:
             facts.loss(e.lo, e.hi)
 
-    matches = find_matches(corpus.replays, corpus.players, matchup=matchup, player=player, race=race, ids=ids)
     who = perspective(corpus.players, player=player, race=race)
-    base = matches.select("replay_id", "source_replay_filename", "source_replay_path", "matchup").join(who, "replay_id")
-
-    wanted_keys = base.select("replay_id", F.explode(F.array("self_owner", "enemy_owner")).alias("owner")).where(
-        F.col("owner").isNotNull()
-    )
-    built = []
+    base = in_matches(corpus.replays, who, matchup=matchup, ids=ids)
+    sides = base.select(
+        "replay_id",
+        F.explode(
+            F.array(
+                F.struct(F.lit("self").alias("side"), F.col("self_owner").alias("owner")),
+                F.struct(F.lit("enemy").alias("side"), F.col("enemy_owner").alias("owner")),
+            )
+        ).alias("s"),
+    ).select("replay_id", "s.side", "s.owner").where(F.col("owner").isNotNull())
     maps = any(
         isinstance(e, ShowLosses) and {"count_by_unit_type", "count_by_category"} & set(e.summaries) for e in evidence
     )
+    names: list[str] = []
+    per_side = sides
     for table, wanted, build in (
-        (corpus.build_order_events, facts.events, event_facts),
-        (corpus.unit_count_samples, facts.units, unit_facts),
-        (corpus.economy_samples, facts.economy, economy_facts),
-        (corpus.death_events, facts.losses, lambda d, w: loss_facts(d, w, maps)),
+        ("build_order_events", facts.events, event_facts),
+        ("unit_count_samples", facts.units, unit_facts),
+        ("economy_samples", facts.economy, economy_facts),
+        ("death_events", facts.losses, lambda d, w: loss_facts(d, w, maps)),
     ):
         if wanted:
-            built.append((build(table.join(wanted_keys, K, "left_semi"), wanted), list(wanted.values())))
-    per_side = wanted_keys
-    names = [n for _, ns in built for n in ns]
-    for df, _ in built:
-        per_side = per_side.join(df, K, "left")
-    # Two rows per match come together on the match again.
-    for side in ("self", "enemy"):
-        cols = [F.col(n).alias(f"{side}_{n}") for n in names]
-        base = base.join(
-            per_side.select("replay_id", F.col("owner").alias(f"{side}_owner"), *cols), ["replay_id", f"{side}_owner"], "left"
-        )
+            rows = getattr(corpus, table).join(sides.select(*K), K, "left_semi")
+            per_side = per_side.join(build(rows, wanted), K, "left")
+            names += wanted.values()
+    if names:
+        # Two rows per match come together on the match.
+        pick = lambda side, n: F.first(F.when(F.col("side") == side, F.col(n)), ignorenulls=True).alias(f"{side}_{n}")
+        both = per_side.groupBy("replay_id").agg(*[pick(s, n) for s in ("self", "enemy") for n in names])
+        base = base.join(both, "replay_id", "left")
 
     def ev(e: Event) -> Column:
         return F.col(f"{e.side}_{facts.event(e)}")
@@ -381,6 +383,9 @@ def pattern_search(
         out = out.where("matched")
 
     keep: list[Column] = []
+    if any(isinstance(e, (ShowEconomyAtEvent, ShowUnitCountAtEvent)) for e in evidence):
+        # The second look at the samples concerns matched rows only.
+        out = hold(out)
     for e in evidence:
         if isinstance(e, ShowEvent):
             value = ev(e.event)
@@ -397,13 +402,10 @@ def pattern_search(
             )
         keep.append(F.when(F.col("matched"), value).alias(f"e_{e.id}"))
 
-    named = identity(corpus.players, player, race).withColumnsRenamed(
-        {"self_owner": "_so", "enemy_owner": "_eo"}
-    )
-    out = out.drop("self_owner", "enemy_owner").join(named, "replay_id", "left")
     final = [
-        "replay_id", "source_replay_filename", "source_replay_path", "matchup", "self_player_name",
-        F.col("_so").alias("self_owner"), "enemy_player_name", F.col("_eo").alias("enemy_owner"), "matched",
+        "replay_id", "source_replay_filename", "source_replay_path", "matchup",
+        F.col("only_self_name").alias("self_player_name"), F.col("only_self").alias("self_owner"),
+        F.col("only_enemy_name").alias("enemy_player_name"), F.col("only_enemy").alias("enemy_owner"), "matched",
     ]
     consts = [f"{p}_{c.id}" for c in constraints for p in ("c", "v")]
     return out.select(*final, *consts, *keep)
@@ -424,18 +426,9 @@ def _at_event(out: DataFrame, corpus: Corpus, e, event: Column) -> DataFrame:
     the join keeps each sample row at most once and the aggregate combines
     map-side.
     """
-    rival = corpus.players.select(F.col("replay_id").alias("_m"), F.col("owner").alias("_o"))
-    probes = out.where(event.isNotNull()).select(
-        "replay_id", "only_self", "_duel", event["time_seconds"].alias("_at")
-    )
-    if e.side == "self":
-        probes = probes.where(F.col("only_self").isNotNull()).select("replay_id", F.col("only_self").alias("owner"), "_at")
-    else:
-        probes = (
-            probes.where(F.col("_duel"))
-            .join(rival, (F.col("replay_id") == F.col("_m")) & (F.col("_o") != F.col("only_self")))
-            .select("replay_id", F.col("_o").alias("owner"), "_at")
-        )
+    probes = out.where(F.col("matched") & event.isNotNull()).select(
+        "replay_id", F.col(f"only_{e.side}").alias("owner"), event["time_seconds"].alias("_at")
+    ).where(F.col("owner").isNotNull())
     if isinstance(e, ShowEconomyAtEvent):
         rows, payload = corpus.economy_samples, ["time_seconds", *ECONOMY]
     else:
@@ -480,9 +473,7 @@ def find_candidates(
     who = perspective(corpus.players, player=player, race=race, last=True).select(
         "replay_id", F.col("self_owner").alias("last_self"), "enemy_owner"
     )
-    matches = find_matches(corpus.replays, corpus.players, matchup=matchup, player=player, race=race, ids=ids).join(
-        who.where(F.col("enemy_owner").isNotNull()), "replay_id"
-    ).select("replay_id", "source_replay_filename", "source_replay_path", "matchup", "last_self", "enemy_owner")
+    matches = in_matches(corpus.replays, who.where(F.col("enemy_owner").isNotNull()), matchup=matchup, ids=ids)
     cond = F.col("name_lc") == ascii_lower_text(player)
     if race is not None:
         cond = cond & (F.col("race_lc") == ascii_lower_text(race))

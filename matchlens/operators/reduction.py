@@ -33,6 +33,10 @@ M, KU = "replay_id", ["replay_id", "owner", "unit_id"]
 K = [M, "owner"]
 # Number of unit ids the game knows; ids beyond it have no name.
 UNIT_IDS = 228
+UNIT_FIELDS = """
+unit_type unit_type_id category build_queue_unit_ids upgrade_in_progress tech_in_progress
+morphing_building morph_target_unit_type_id build_time remaining_build_time
+""".split()
 
 
 @dataclass
@@ -58,10 +62,11 @@ def explode_timeline(raw: DataFrame, *, max_rows: int | None = None) -> Timeline
         M, "frame", F.col("_k").cast("int").alias("owner"), "o.*"
     )
     owners = flat.drop("units")
+    # Only the fields the reduction uses; packed timelines carry more, among them another owner.
     units = flat.select(M, "frame", "owner", F.explode("units").alias("u")).select(
-        M, "frame", "owner", F.col("u.id").alias("unit_id"), "u.*"
-    ).drop("id").join(order, [M, "frame"])
-    deaths = raw.select(M, "frame", F.inline("deaths"))
+        M, "frame", "owner", F.col("u.id").alias("unit_id"), *[F.col(f"u.{f}") for f in UNIT_FIELDS]
+    ).join(order, [M, "frame"])
+    deaths = raw.select(M, "frame", F.explode("deaths").alias("d")).select(M, "frame", "d.*")
     return Timeline(order, owners, units, deaths)
 
 

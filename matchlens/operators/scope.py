@@ -231,49 +231,52 @@ def perspective(
     """One row per match the player is in.
 
     `self_owner`/`enemy_owner`: the first (or last) self row and its first (or
-    last) opponent in owner order. `only_self`/`only_enemy`: set only when the
-    name fits exactly one participant, and when it has exactly one opponent.
+    last) opponent in owner order. `only_self` and `only_self_name` are set only
+    when the name fits exactly one participant, `only_enemy` and
+    `only_enemy_name` when that one also has exactly one opponent.
     """
     named = F.col("name_lc") == ascii_lower_text(player)
-    chosen = named & _person(None, race)
-    pick = F.max if last else F.min
-    base = players.groupBy("replay_id").agg(
+    pick, pick_by = (F.max, F.max_by) if last else (F.min, F.min_by)
+    # The name filter reaches the scan; the rest of the table only meets matches it hits.
+    chosen = players.where(named & _person(None, race)).groupBy("replay_id").agg(pick("owner").alias("self_owner"))
+    rows = players.select("replay_id", "owner", "name", "name_lc").join(chosen, "replay_id")
+    other = F.when(F.col("owner") != F.col("self_owner"), F.col("owner"))
+    own = F.when(named, F.col("owner"))
+    who = rows.groupBy("replay_id", "self_owner").agg(
+        pick(other).alias("enemy_owner"),
+        pick_by("name", other).alias("_enemy_name"),
         F.count(F.lit(1)).alias("_n"),
-        F.count_if(named).alias("_named"),
-        pick(F.when(chosen, F.col("owner"))).alias("self_owner"),
-        pick("owner").alias("_edge"),
-        F.max(F.when(named, F.col("owner"))).alias("_only"),
-        F.max_by("name", F.when(named, F.col("owner"))).alias("_only_name"),
-    ).where(F.col("self_owner").isNotNull())
-    order = F.col("owner").desc() if last else F.col("owner").asc()
-    w = Window.partitionBy("replay_id").orderBy(order)
-    second = (
-        players.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 2)
-        .groupBy("replay_id").agg(F.max(F.when(F.col("_r") == 2, F.col("owner"))).alias("_second"))
+        F.count(own).alias("_named"),
+        F.max(own).alias("_only"),
+        F.max_by("name", own).alias("_only_name"),
     )
     alone = F.col("_named") == 1
-    return base.join(second, "replay_id").select(
+    duel = alone & (F.col("_n") == 2)
+    return who.select(
         "replay_id",
         "self_owner",
-        F.when(F.col("_edge") != F.col("self_owner"), F.col("_edge")).otherwise(F.col("_second")).alias("enemy_owner"),
+        "enemy_owner",
         F.when(alone, F.col("_only")).alias("only_self"),
         F.when(alone, F.col("_only_name")).alias("only_self_name"),
-        (alone & (F.col("_n") == 2)).alias("_duel"),
+        F.when(duel, F.col("enemy_owner")).alias("only_enemy"),
+        F.when(duel, F.col("_enemy_name")).alias("only_enemy_name"),
     )
 
 
 def identity(players: DataFrame, player: str, race: str | None = None) -> DataFrame:
     """Self and enemy per match, each null unless exactly one participant fits."""
-    p = perspective(players, player=player, race=race)
-    rival = players.select(
-        F.col("replay_id").alias("_m"), F.col("owner").alias("enemy_owner"), F.col("name").alias("enemy_player_name")
-    )
-    duel = p.where(F.col("_duel")).select("replay_id", F.col("only_self").alias("_s"))
-    found = duel.join(rival, (F.col("replay_id") == F.col("_m")) & (F.col("enemy_owner") != F.col("_s"))).select(
-        "replay_id", "enemy_owner", "enemy_player_name"
+    return perspective(players, player=player, race=race).select(
+        "replay_id",
+        F.col("only_self_name").alias("self_player_name"),
+        F.col("only_self").alias("self_owner"),
+        F.col("only_enemy_name").alias("enemy_player_name"),
+        F.col("only_enemy").alias("enemy_owner"),
     )
-    return (
-        p.select("replay_id", F.col("only_self_name").alias("self_player_name"), F.col("only_self").alias("self_owner"))
-        .join(found, "replay_id", "left")
-        .select("replay_id", "self_player_name", "self_owner", "enemy_player_name", "enemy_owner")
+
+
+def in_matches(replays: DataFrame, who: DataFrame, *, matchup: str | None = None, ids: Sequence | None = None) -> DataFrame:
+    """Match columns of the matches in `who`, filtered."""
+    kept = replays.where(_match_filter(matchup, None, ids)).select(
+        "replay_id", "source_replay_filename", "source_replay_path", "matchup"
     )
+    return kept.join(who, "replay_id")
