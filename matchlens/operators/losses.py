@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import per_match
@@ -43,17 +43,30 @@ def loss_histograms(deaths: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     cells = deaths.groupBy(*keys, "unit_type", "category").agg(
         F.count(F.lit(1)).alias("c"), F.min("time_seconds").alias("t0"), F.max("time_seconds").alias("t1")
     )
+    pairs = F.collect_list(F.struct("unit_type", "category", "c"))
+    return cells.groupBy(*keys).agg(
+        F.sum("c").alias("total_count"),
+        F.min("t0").alias("first_time"),
+        F.max("t1").alias("last_time"),
+        fold_counts(pairs, "unit_type").alias("by_unit_type"),
+        fold_counts(pairs, "category").alias("by_category"),
+    )
 
-    def hist(dim: str, name: str) -> DataFrame:
-        return (
-            cells.groupBy(*keys, dim).agg(F.sum("c").alias("c")).groupBy(*keys)
-            .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(dim, "c")))).alias(name))
-        )
 
-    totals = cells.groupBy(*keys).agg(
-        F.sum("c").alias("total_count"), F.min("t0").alias("first_time"), F.max("t1").alias("last_time")
+def fold_counts(pairs: Column, dim: str) -> Column:
+    """Map from a field of (unit_type, category, c) structs to the sum of c."""
+    names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p[dim])))
+    return F.map_from_entries(
+        F.transform(
+            names,
+            lambda n: F.struct(
+                n.alias("key"),
+                F.aggregate(
+                    F.filter(pairs, lambda p: p[dim] == n), F.lit(0).cast("bigint"), lambda acc, p: acc + p["c"]
+                ).alias("value"),
+            ),
+        )
     )
-    return totals.join(hist("unit_type", "by_unit_type"), keys).join(hist("category", "by_category"), keys)
 
 
 def death_summary(deaths: DataFrame, parts: DataFrame, lo: float, hi: float) -> DataFrame:

@@ -20,6 +20,7 @@ from ..functions.text import ascii_lower_text
 from ..schema import Corpus
 from .asof import latest_when
 from .events import EVENT
+from .losses import fold_counts
 from .ordered import first_n, hold
 from .samples import ECONOMY
 from .scope import K, in_matches, perspective
@@ -231,26 +232,11 @@ def loss_facts(deaths: DataFrame, wanted: dict, maps: bool = True) -> DataFrame:
         ]
         if maps:
             pairs = F.collect_list(F.when(c > 0, F.struct("unit_type", "category", c.alias("c"))))
-            parts += [_fold(pairs, "unit_type").alias("count_by_unit_type"), _fold(pairs, "category").alias("count_by_category")]
+            parts += [fold_counts(pairs, "unit_type").alias("count_by_unit_type"), fold_counts(pairs, "category").alias("count_by_category")]
         outs.append(F.struct(*parts).alias(n))
     return cells.groupBy(*K).agg(*outs)
 
 
-def _fold(pairs: Column, dim: str) -> Column:
-    names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p[dim])))
-    return F.map_from_entries(
-        F.transform(
-            names,
-            lambda n: F.struct(
-                n.alias("key"),
-                F.aggregate(
-                    F.filter(pairs, lambda p: p[dim] == n), F.lit(0).cast("bigint"), lambda acc, p: acc + p["c"]
-                ).alias("value"),
-            ),
-        )
-    )
-
-
 def _bound(value: Column, at_least: float | None, at_most: float | None) -> Column:
     cond = F.lit(True)
     if at_least is not None:

@@ -68,9 +68,10 @@ def summarize(
         (F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("mean"),
         F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], 10_000).alias("_marks"),
     )
-    # Few rows per group; Spark picks broadcast or shuffle by their actual size,
-    # and splits a hot group when it shuffles.
-    marked = distinct.join(totals.select(*by, "n", "_marks"), by).withColumn(
+    # Without groups the other side is one row. With groups Spark picks broadcast
+    # or shuffle by the actual size, and splits a hot group when it shuffles.
+    sized = (lambda side: side) if groups else F.broadcast
+    marked = distinct.join(sized(totals.select(*by, "n", "_marks")), by).withColumn(
         "_cut", F.size(F.filter("_marks", lambda m: m < F.col("_v")))
     )
     cuts = marked.groupBy(*by, "_cut").agg(F.sum("_w").alias("_cw"), F.max("n").alias("n"))
@@ -82,7 +83,8 @@ def summarize(
         for edge in (F.floor, F.ceil):
             rank = edge((F.col("n") - 1) * F.lit(p))
             wanted = wanted | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_cw")))
-    near = marked.join(cuts.where(wanted).select(*by, "_cut", "_before"), [*by, "_cut"])
+    # At most six cuts per group.
+    near = marked.join(sized(cuts.where(wanted).select(*by, "_cut", "_before")), [*by, "_cut"])
     ends = F.col("_before") + F.sum("_w").over(Window.partitionBy(*by, "_cut").orderBy("_v"))
     ranked = near.withColumn("_end", ends)
     picks = []

@@ -238,7 +238,7 @@ def build_order_with_supply(t: Tables) -> DataFrame:
 
 CHAIN = """
 WITH cat AS (SELECT name, build_time, minerals FROM catalog),
-raw AS (SELECT l_orderkey AS replay_id, l_partkey * 100 + l_linenumber AS line, l_suppkey AS owner, CAST(l_quantity AS INT) AS q, p_type
+raw AS (SELECT l_orderkey AS replay_id, (l_partkey * 100 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS line, l_suppkey AS owner, CAST(l_quantity AS INT) AS q, p_type
         FROM lineitem JOIN part ON p_partkey = l_partkey)
 """
 
@@ -257,7 +257,8 @@ FROM links l JOIN cat ON cat.name = l.name""",
 def chained_starts(t: Tables) -> DataFrame:
     q = F.col("l_quantity").cast("int").cast("string")
     text = F.concat(q, F.lit(":00 "), F.lower("p_type"), F.lit(" -> promo ->  Large"))
-    lines = t.typed_lines.select("replay_id", "owner", F.col("seq").alias("line"), text.alias("text"))
+    line = F.col("seq") * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    lines = t.typed_lines.select("replay_id", "owner", line.alias("line"), text.alias("text"))
     return events.chained_starts(lines, t.catalog, ["replay_id", "owner"]).select(
         "replay_id", "owner", "line", "link", "item", "time_seconds"
     )

@@ -116,14 +116,14 @@ def write_tables(tables: dict[str, DataFrame], corpus_root: str, *, buckets: int
     meta.write.mode("overwrite").parquet(f"{corpus_root}/schema_metadata")
 
 
-def series_documents(samples: DataFrame, keys: Sequence[str], fields: Sequence[str], schema_version: str, slice_seconds: float | None = None) -> DataFrame:
-    """One JSON document per participant with its samples in time order.
+def series_documents(samples: DataFrame, keys: Sequence[str], fields: Sequence[str], schema_version: str, slice_seconds: float = 3600.0) -> DataFrame:
+    """JSON documents per participant with the samples in time order.
 
-    With `slice_seconds` a document covers a stretch of that length instead, so
-    no group has to hold a whole long series.
+    A document covers at most `slice_seconds`, so that no group has to hold a
+    whole long series; a match shorter than that is one document.
     """
     keys = list(keys)
-    at = F.floor(F.col("time_seconds") / slice_seconds).alias("part") if slice_seconds else F.lit(0).alias("part")
+    at = F.floor(F.col("time_seconds") / slice_seconds).alias("part")
     rows = samples.select(*keys, at, F.struct(*fields).alias("s"))
     first = fields[0]
     in_order = lambda a, b: F.when(a[first] < b[first], -1).when(a[first] > b[first], 1).otherwise(0)
@@ -131,7 +131,7 @@ def series_documents(samples: DataFrame, keys: Sequence[str], fields: Sequence[s
     return docs.select(*keys, "part", F.to_json(F.struct(F.lit(schema_version).alias("schema_version"), "samples")).alias("json"))
 
 
-def write_bundles(series: dict[str, DataFrame], path: str, slice_seconds: float | None = None) -> None:
+def write_bundles(series: dict[str, DataFrame], path: str, slice_seconds: float = 3600.0) -> None:
     """The series of every participant as JSON documents, a folder per kind."""
     layout = {
         "economy": (["frame", "time_seconds", "minerals", "gas", "gathered_minerals", "gathered_gas", "workers"], "replay-analysis-economy-v1"),
@@ -147,7 +147,7 @@ def write_bundles(series: dict[str, DataFrame], path: str, slice_seconds: float
                 F.struct(F.col("unit_id").alias("id"), F.col("dead_owner").alias("owner"), "unit_type", "unit_type_id", "category", "pos_x", "pos_y"),
             )
         docs = series_documents(df, ["replay_id", "owner"], [f for f in fields if f in df.columns], version, slice_seconds)
-        docs.write.mode("overwrite").partitionBy().json(f"{path}/{name}")
+        docs.write.mode("overwrite").json(f"{path}/{name}")
     build_order_lines(series["events"]).write.mode("overwrite").json(f"{path}/build_order")
 
 
