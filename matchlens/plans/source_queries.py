@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import pattern
+from ..operators.ordered import ordered_scan
 from ..schema import TABLES, column_names, open_corpus
 from ..sources import bundles, inventory, sinks, staging
 from ..sql import capped_query, curated
@@ -89,10 +90,19 @@ def build_line_errors(t: Tables) -> DataFrame:
     return bad.groupBy("replay_id").agg(F.count(F.lit(1)).alias("bad_lines"))
 
 
+CHUNK = 200
+
+
+def _chunked(t: Tables) -> DataFrame:
+    """Lines of a supplier in time order, cut into participants of a fixed number of rows."""
+    rows = t.lines.withColumn("uid", F.col("replay_id") * 100_000_000 + F.col("seq"))
+    placed = ordered_scan(rows, ["owner"], ["time_seconds", "uid"], {"rn": ("total", F.lit(1).cast("bigint"))})
+    return placed.withColumn("chunk", F.floor((F.col("rn") - 1) / CHUNK).cast("int"))
+
+
 def _archives(t: Tables) -> DataFrame:
-    """One archive per supplier and half, built from its lines; some lack a member."""
-    lines = t.lines.withColumn("half", (F.col("time_seconds") >= 1200).cast("int"))
-    rows = lines.groupBy(F.col("owner").alias("replay_id"), F.col("half").alias("owner")).agg(
+    """One archive per chunk, so of bounded size; some lack a member or name another owner."""
+    rows = _chunked(t).groupBy(F.col("owner").alias("replay_id"), F.col("chunk").alias("owner")).agg(
         F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(
             F.col("time_seconds").cast("int").alias("frame"), "time_seconds", F.floor("l_extendedprice").cast("int").alias("minerals"),
             F.lit(1).alias("gas"), F.col("l_linenumber").alias("workers"))).alias("s")).alias("samples"))).alias("economy"),
@@ -105,7 +115,7 @@ def _archives(t: Tables) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 buf = io.BytesIO()
                 with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-                    owner = 5 if r.replay_id % 11 == 3 else r.owner
+                    owner = -1 if r.replay_id % 11 == 3 else r.owner
                     z.writestr("player.json", '{"schema_version":"x","owner":%d,"name":"n","race":"zerg"}' % owner)
                     z.writestr("build_order.txt", r.lines)
                     z.writestr("economy.json", r.economy)
@@ -119,9 +129,7 @@ def _archives(t: Tables) -> DataFrame:
 
 def _read_archives(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
     archives = _archives(t)
-    wanted = t.read("supplier").select(
-        F.col("s_suppkey").alias("replay_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("owner")
-    ).select(
+    wanted = _chunked(t).select(F.col("owner").alias("replay_id"), F.col("chunk").alias("owner")).distinct().select(
         *K, F.lit("n").alias("name"), F.lit("zerg").alias("race"),
         F.concat(F.lit("z/"), F.col("replay_id").cast("string"), F.lit("_"), F.col("owner").cast("string"), F.lit(".zip")).alias("zip_path"),
     )
@@ -132,8 +140,10 @@ def _read_archives(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
 
 @query(
     base="m",
-    sql="""SELECT owner AS replay_id, CAST(time_seconds >= 1200 AS INT) AS owner, CAST(time_seconds AS BIGINT) AS frame, CAST(floor(l_extendedprice) AS INT) AS minerals, l_linenumber AS workers
-FROM lines WHERE owner % 11 NOT IN (3, 4)""",
+    sql="""
+WITH c AS (SELECT *, (row_number() OVER (PARTITION BY owner ORDER BY time_seconds, replay_id * 100000000 + seq) - 1) // 200 AS chunk FROM lines)
+SELECT owner AS replay_id, CAST(chunk AS INT) AS owner, CAST(time_seconds AS BIGINT) AS frame, CAST(floor(l_extendedprice) AS INT) AS minerals, l_linenumber AS workers
+FROM c WHERE owner % 11 NOT IN (3, 4)""",
 )
 def archive_series(t: Tables) -> DataFrame:
     tables, _ = _read_archives(t)
@@ -142,9 +152,11 @@ def archive_series(t: Tables) -> DataFrame:
 
 @query(
     base="m",
-    sql="""SELECT DISTINCT owner AS replay_id, 'z/' || owner || '_' || CAST(time_seconds >= 1200 AS INT) || '.zip' AS path,
- CASE owner % 11 WHEN 4 THEN 'missing required bundle file supply.json' ELSE 'player.json owner 5 does not match manifest owner ' || CAST(time_seconds >= 1200 AS INT) END AS reason
-FROM lines WHERE owner % 11 IN (3, 4)""",
+    sql="""
+WITH c AS (SELECT *, (row_number() OVER (PARTITION BY owner ORDER BY time_seconds, replay_id * 100000000 + seq) - 1) // 200 AS chunk FROM lines)
+SELECT DISTINCT owner AS replay_id, 'z/' || owner || '_' || chunk || '.zip' AS path,
+ CASE owner % 11 WHEN 4 THEN 'missing required bundle file supply.json' ELSE 'player.json owner -1 does not match manifest owner ' || chunk END AS reason
+FROM c WHERE owner % 11 IN (3, 4)""",
 )
 def archive_errors(t: Tables) -> DataFrame:
     _, errors = _read_archives(t)

@@ -209,6 +209,9 @@ def test_combat(spark):
     assert {r.display_name for r in combat.unknown_cost_units(combat.combat_events(c.death_events, catalog)).collect()} == {"Marine", "Scv", "Barracks"}
     cps = {r.checkpoint for r in combat.loss_checkpoints(combat.combat_events(c.death_events, catalog)).collect()}
     assert cps == {180, 240, 360, 420, 600, 720}
+    seen = combat.seen_from(combat.combat_events(c.death_events, catalog).where("time_seconds < 200 or time_seconds = 600"), c.players)
+    ordered = [(r.time_seconds, r.side) for r in combat.in_combat_order(seen.where("self_owner = 1")).collect()]
+    assert ordered == [(100.9, "own"), (101.4, "own"), (185.0, "enemy"), (600.0, "enemy")]
     ledger = combat.combat_ledger(combat.combat_events(c.death_events, catalog), c.players)
     own = [r for r in ledger["milestones"].collect() if r.self_owner == 1 and r.side == "own"]
     assert {(r.kind, r.label, r.n) for r in own} == {("unit", "drone", 1), ("unit", "drone", 2), ("unit", "mutalisk", 1), ("category", "worker", 1)}

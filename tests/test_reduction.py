@@ -73,6 +73,16 @@ def test_backdating_and_morph(spark, names):
     assert listed(reduction.build_events(reduction.explode_timeline(frames(spark, morph)).units, names)) == [(100, 3, "Lair")]
 
 
+def test_appearances_are_opt_in(spark, names):
+    snaps = [(0, {3: owner([unit(1, 131)])}, []), (10, {3: owner([unit(1, 131), unit(2, 37, "unit"), unit(3, 36, "unit"), unit(4, 37, "resource")])}, []),
+             (20, {3: owner([unit(2, 37, "unit"), unit(3, 38, "unit")])}, [])]
+    t = reduction.explode_timeline(frames(spark, snaps))
+    assert listed(reduction.build_events(t.units, names)) == []
+    assert listed(reduction.build_events(t.units, names, include_unit_appearances=True)) == [(10, 3, "Zergling"), (20, 3, "Hydralisk")]
+    start = reduction.build_events(t.units, names, include_initial=True)
+    assert listed(reduction.in_event_order(start)) == [(0, 3, "Hatchery")]
+
+
 def restated(snaps, include_initial=False):
     """Direct state machine over the snapshots."""
     types, queues, told, research, out, first = {}, {}, {}, {}, set(), True
