@@ -1,8 +1,9 @@
 """Intermediate tables in the folder the cluster shares.
 
 A staged table cuts lineage and survives the loss of executors. The folder is
-`spark.checkpoint.dir` of the session; only when that is unset, as in local
-tests, is a temporary folder made.
+`spark.checkpoint.dir` of the session. Where that is unset a temporary folder is
+made in local mode only, as in tests; on a cluster it is an error, since a folder
+of the driver's machine cannot be read by the executors.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
