@@ -31,6 +31,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,9 @@ from .common import partitions, text_or_empty
 LENGTH = 50
 FIRST = 20
 #: Bytes handled at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Bytes of texts whose entries are combined before the shuffle.
+COMBINED = 6 << 20
 #: An anchor rank with so many different surroundings is dealt by window; grows with the input beyond 10^5 such ranks.
 HOT = 20_000
 #: Surroundings of one rank in one batch that are reported towards HOT.
@@ -157,6 +160,18 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _in_parts(batches):
+    """Batches cut into slices of about COMBINED bytes of text."""
+    for b in batches:
+        ends = np.cumsum(np.asarray(pc.binary_length(b.column("text"))).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COMBINED, "right"))
+            stop = max(stop, at + 1)
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def _least(values: np.ndarray, new: np.ndarray) -> np.ndarray:
     """Of each row, the least value of its group (rows of a group are sorted by value)."""
     return values[np.flatnonzero(new)][np.cumsum(new) - 1] if len(values) else values
@@ -191,7 +206,7 @@ def _packed(bucket: int, kind: int, ranks: np.ndarray, around: np.ndarray, docs:
 
 def _first_round_entries(n_buckets: int, length: int):
     def mapped(batches):
-        for b in batches:
+        for b in _in_parts(batches):
             ids = b.column("doc_id")
             some = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
             if not len(some):
@@ -296,7 +311,7 @@ def _listed(column, kind: type) -> tuple[np.ndarray, np.ndarray]:
 def _second_round_entries(n_buckets: int, length: int, hot):
     def mapped(batches):
         hot_ranks = hot.value
-        for b in batches:
+        for b in _in_parts(batches):
             texts = [x.encode("utf-8", "surrogatepass") for x in b.column("text").to_pylist()]
             ids = b.column("doc_id").fill_null(0).to_numpy()
             tags = np.array([zlib.crc32(t) for t in texts], dtype=np.int64)
@@ -452,14 +467,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.collect_list(F.when(F.col("kind") == _OPEN, F.col("key"))).alias("opened"),
     )
     pieces = rows.join(listed, "doc_id", "left").select("doc_id", "text", "covered", "opened")
-    pieces = pieces.mapInArrow(_second_round_entries(n, length, hot_ranks), _PIECE_SQL).repartition(n, "bucket")
+    pieces = pieces.mapInArrow(_second_round_entries(8 * n, length, hot_ranks), _PIECE_SQL).repartition(2 * n, "bucket")
     found = pieces.mapInArrow(_second_round_ranks(length), "doc_id long, tag long, start long, stop long")
     ranges = found.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("_ranges"))
     joined = rows.join(ranges, "doc_id", "left").select(*docs.columns, "_ranges")
     names = docs.columns
 
     def result(batches):
-        for b in batches:
+        for b in _in_parts(batches):
             texts = [x.encode("utf-8", "surrogatepass") for x in b.column("text").to_pylist()]
             cuts = []
             for text, found in zip(texts, b.column("_ranges").to_pylist(), strict=True):
