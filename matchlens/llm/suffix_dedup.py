@@ -45,7 +45,7 @@ CHUNK = 1 << 18
 #: Bytes of texts whose entries are combined before the shuffle.
 COMBINED = 6 << 20
 #: An anchor rank with so many different surroundings is dealt by window; grows with the input beyond 10^5 such ranks.
-HOT = 20_000
+HOT = 2_000
 #: Surroundings of one rank in one batch that are reported towards HOT.
 REPORTED = 8
 
