@@ -324,13 +324,13 @@ def _second_round_entries(n_buckets: int, length: int, hot):
             doc, p0, p1, rank, around = wanted[found["doc"]], found["p0"], found["p1"], found["rank"], found["around"]
             known = np.isin(_own_keys(doc, _pair_key(rank, around >> _U(32))), _own_keys(covered_of, covered))
             still = ~known & np.isin(_own_keys(doc, rank), _own_keys(open_of, opened))
-            # one entry for each rank pair: that of the least id
+            # of each rank pair the places in the document of least id
             at = np.flatnonzero(still)
             at = at[np.lexsort((ids[doc[at]], around[at], rank[at]))]
             pair = _groups(rank[at], around[at])
             later = ids[doc[at]] > _least(ids[doc[at]], pair)
             known[at[later]] = True
-            at = at[pair]
+            at = at[~later]
             own, first, last = _merged(doc[known], p0[known], p1[known])
             n = len(own)
             if n:
@@ -340,25 +340,21 @@ def _second_round_entries(n_buckets: int, length: int, hot):
                 ], schema=_PIECE)
             spread = np.isin(rank[at], hot_ranks)
             pieces = {"doc": doc[at[~spread]], "at": p0[at[~spread]], "stop": p1[at[~spread]] + length, "rank": rank[at[~spread]]}
-            if spread.any():  # each window on its own, and once for each batch
-                best: dict[bytes, tuple[int, int, int]] = {}
-                for i in at[spread].tolist():
-                    for p in range(int(p0[i]), int(p1[i]) + 1):
-                        window, entry = texts[doc[i]][p:p + length], (int(ids[doc[i]]), int(doc[i]), p)
-                        if window not in best or entry < best[window]:
-                            best[window] = entry
-                covered_windows = [
-                    (int(doc[i]), p) for i in at[spread].tolist() for p in range(int(p0[i]), int(p1[i]) + 1)
-                    if best[texts[doc[i]][p:p + length]][0] < ids[doc[i]]
-                ]
-                if covered_windows:
-                    c = np.array(covered_windows, dtype=np.int64)
+            if spread.any():  # each window on its own, once for each document of least id in the batch
+                least: dict[bytes, int] = {}
+                places = [(int(doc[i]), p) for i in at[spread].tolist() for p in range(int(p0[i]), int(p1[i]) + 1)]
+                for k, p in places:
+                    window, own_id = texts[k][p:p + length], int(ids[k])
+                    least[window] = min(own_id, least.get(window, own_id))
+                decided = [(k, p) for k, p in places if least[texts[k][p:p + length]] < ids[k]]
+                if decided:
+                    c = np.array(decided, dtype=np.int64)
                     own, first, last = _merged(c[:, 0], c[:, 1], c[:, 1])
                     yield pa.RecordBatch.from_arrays([
                         pa.array(_bucket(ids[own].view(np.uint64), n_buckets), pa.int32()), pa.array(ids[own]), pa.array(tags[own]),
                         pa.array(first), pa.array(last + length), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.binary()),
                     ], schema=_PIECE)
-                extra = np.array([(d, p, zlib.crc32(w)) for w, (_, d, p) in best.items()], dtype=np.int64)
+                extra = np.array([(k, p, zlib.crc32(w)) for k, p in places if least[w := texts[k][p:p + length]] == ids[k]], dtype=np.int64)
                 pieces = {
                     "doc": np.r_[pieces["doc"], extra[:, 0]], "at": np.r_[pieces["at"], extra[:, 1]],
                     "stop": np.r_[pieces["stop"], extra[:, 1] + length],
