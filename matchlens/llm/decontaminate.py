@@ -55,7 +55,7 @@ def shingle_set(tokens: list[bytes], size: int) -> set[bytes]:
 class WordHashes:
     """64-bit hashes of words, kept for a bounded number of words."""
 
-    KEPT = 400_000
+    KEPT = 200_000
 
     def __init__(self):
         self.known: dict[bytes, int] = {}

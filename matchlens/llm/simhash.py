@@ -168,14 +168,16 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """`docs` without near-duplicates: of each component the row with the least id (and text) stays, every column kept.
+    """`docs` without near-duplicates: of each component the document with the least id stays, every column kept.
 
-    Rows with a null id stay.
+    Rows of one id are judged together: the id stays if it is the least of a
+    component of one of its rows, with its least text. Rows with a null id stay.
     """
-    known = near_duplicates(docs, **options)
-    keep = known.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    return _first_row(rows).unionByName(docs.where("doc_id is null"))
+    known = near_duplicates(docs, **options).where("doc_id is not null")
+    status = known.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_stays"), F.count("*").alias("_rows"))
+    told = docs.join(stage(status.where("not _stays or _rows > 1"), "dropped"), "doc_id", "left")
+    once = told.where("_stays is null").select(*docs.columns)
+    return once.unionByName(_first_row(told.where("_stays").select(*docs.columns)))
 
 
 def _first_row(rows: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def keys(word: str) -> tuple[str, ...]:
 class Scorer:
     """Features of texts under one lexicon; what is found out about a word is kept, for a bounded number of words."""
 
-    KEPT = 500_000
+    KEPT = 300_000
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
