@@ -397,7 +397,7 @@ def test_pipeline(spark):
     import corpus_pipeline
     from matchlens.llm.common import load
 
-    docs = load(spark, SF, "documents").unionByName(table(spark, [(i, t) for i, t in ODD if i is not None], "doc_id long, text string, lang string, source string, n_chars long"))
+    docs = load(spark, SF, "documents").unionByName(table(spark, [(i + 10_000, t) for i, t in ODD if i is not None], "doc_id long, text string, lang string, source string, n_chars long"))
     texts = {r.doc_id: r.text for r in docs.collect()}
     out = corpus_pipeline.language_id(spark, docs, SF)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {i for i, t in texts.items() if any(c.isalpha() for c in t or "")}
