@@ -30,3 +30,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     except ModuleNotFoundError:
         return os.path.join("/opt/tokenizers", name)
     return public_tokenizers.path(name)
+
+
+#: Rows of one Arrow batch. Texts can be long, and a batch is held several times over on its way to Python and back.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's Arrow batch size to `rows` where it is greater or unlimited; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))

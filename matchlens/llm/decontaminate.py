@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 #: Shingles of the items of one block, a few dozen bytes each: the bound of what is broadcast.
@@ -154,6 +156,7 @@ def contained_items(
     """doc_id, item_id, n_shingles, n_shared and containment for every item contained in a document."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
     found = None

@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 UNDETERMINED = "und"
 #: Grams are hashed to this many buckets.
 BUCKETS = 1 << 15
@@ -217,6 +219,7 @@ def held_out() -> Column:
 
 def identify(docs: DataFrame, max_documents: int = TRAIN_DOCUMENTS) -> DataFrame:
     """Learn from the rows of `docs` that are not held out, then predict every row."""
+    bounded_batches(docs.sparkSession)
     return predict(train(learnable(docs, held_out()), max_documents), docs)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from .common import partitions, tokenizer_path
+from .common import bounded_batches, partitions, tokenizer_path
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -174,4 +174,5 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Every piece of every document with its sequence and offset; `with_ids` adds the ids themselves."""
+    bounded_batches(docs.sparkSession)
     return place(stage(token_pieces(docs, path or tokenizer_path(), capacity, end_id, with_ids), "pieces"), capacity)

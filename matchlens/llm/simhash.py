@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
+from .common import bounded_batches
 from .components import components
 
 SEED = 42
@@ -160,6 +161,7 @@ def near_duplicates(
     """doc_id, fp (signed long) and component_id (least doc_id that links reach), one row for each input row."""
     if not 0 <= max_bits <= 8:
         raise ValueError(f"max_bits must be 0 to 8 ({comb(16, 8)} sub-grids at 8)")
+    bounded_batches(docs.sparkSession)
     prints = stage(with_fingerprint(docs, shingle_words, seed), "fingerprints")
     points = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "points")
     roots = components(links(points.where("node is not null"), max_bits, cell_points))

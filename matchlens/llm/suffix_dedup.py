@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from .common import partitions, text_or_empty
+from .common import bounded_batches, partitions, text_or_empty
 
 LENGTH = 50
 FIRST = 20
@@ -447,6 +447,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if not FIRST <= length <= 4 * LENGTH:
         raise ValueError(f"length must be {FIRST} to {4 * LENGTH}")
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = partitions(spark)
     docs = docs.drop(*ADDED)
     plain = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))

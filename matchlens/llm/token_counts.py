@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import bounded_batches, tokenizer_path
 from .tokens import encoder
 
 BLOCK = 1024
@@ -25,6 +25,7 @@ BLOCK = 1024
 def token_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and n_tokens for every row."""
     path = path or tokenizer_path()
+    bounded_batches(docs.sparkSession)
 
     def mapped(batches):
         enc = encoder(path)

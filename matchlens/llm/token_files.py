@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import new_path, stage
-from .common import tokenizer_path
+from .common import bounded_batches, tokenizer_path
 from .tokens import encoder
 
 END_ID = 2
@@ -44,6 +44,7 @@ def _fs(folder: str) -> tuple[pafs.FileSystem, str]:
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, part_bytes: int = PART_BYTES) -> DataFrame:
     """Write all parts; returns the manifest (part, name, width, n_docs, n_tokens, base), a row for each part."""
     path = path or tokenizer_path()
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = rows.repartitionByRange(max(1, -(-size // part_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")

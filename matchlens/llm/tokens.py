@@ -18,7 +18,7 @@ from array import array
 import numpy as np
 
 #: Pieces kept by one worker, in two generations.
-KEPT = 600_000
+KEPT = 400_000
 _MARKS = frozenset(".,;:!?")
 _ENCODERS: dict[str, "Encoder"] = {}
 

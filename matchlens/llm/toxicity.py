@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
+from .common import bounded_batches
 
 #: At most about this many labelled documents are learned from.
 TRAIN_DOCUMENTS = 20_000
@@ -166,6 +167,7 @@ def train_sample(docs: DataFrame, labels: DataFrame, max_documents: int = TRAIN_
 
 def score(docs: DataFrame, labels: DataFrame, max_documents: int = TRAIN_DOCUMENTS, trees: int = 20, depth: int = 3) -> DataFrame:
     """doc_id, score and predicted for every row of `docs`, learned from `labels` (doc_id, toxic)."""
+    bounded_batches(docs.sparkSession)
     sample = train_sample(docs, labels, max_documents)
     share = sample.agg(F.avg("label").alias("share"), F.min("label").alias("low"), F.max("label").alias("high")).first()
     if share["share"] is None or share["low"] == share["high"]:
