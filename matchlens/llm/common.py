@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +44,19 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
         spark.conf.set(name, str(rows))
+
+
+def tidy(mapped):
+    """A function for mapInArrow that gives a task's memory back to the system at its end; workers live on for other stages."""
+
+    def run(batches):
+        try:
+            yield from mapped(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run

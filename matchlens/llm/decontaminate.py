@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -161,7 +161,7 @@ def contained_items(
     schema = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
     found = None
     for block in blocks_of(benchmark, size, threshold, block_shingles):
-        part = rows.mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(block)), schema)
+        part = rows.mapInArrow(tidy(_searcher(docs.sparkSession.sparkContext.broadcast(block))), schema)
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 

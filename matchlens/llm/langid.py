@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 UNDETERMINED = "und"
 #: Grams are hashed to this many buckets.
@@ -113,7 +113,7 @@ def train(labelled: DataFrame, max_documents: int = TRAIN_DOCUMENTS) -> Model:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(own[some])], ["lang", "bucket", "n"])
 
-    rows = labelled.select("lang", "text").mapInArrow(summed, "lang string, bucket int, n long")
+    rows = labelled.select("lang", "text").mapInArrow(tidy(summed), "lang string, bucket int, n long")
     table = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(table["lang"].unique()))
     counts = np.zeros((len(languages), BUCKETS))
@@ -209,7 +209,7 @@ def predict(model: Model, docs: DataFrame, ambiguous: float = AMBIGUOUS) -> Data
                 [*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(flag)], [*b.schema.names, "lang_pred", "score", "ambiguous"])
 
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous")).schema
-    return docs.mapInArrow(mapped, schema)
+    return docs.mapInArrow(tidy(mapped), schema)
 
 
 def held_out() -> Column:

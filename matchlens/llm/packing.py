@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from .common import bounded_batches, partitions, tokenizer_path
+from .common import bounded_batches, partitions, tidy, tokenizer_path
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -61,7 +61,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(mapped, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(mapped), schema)
 
 
 def best_bin(counts: np.ndarray, capacity: int) -> list[int]:
@@ -169,7 +169,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in kept], pa.array(seq), pa.array(off)], [*kept, "sequence_id", "offset"])
 
     schema = pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
-    return ranked.mapInArrow(mapped, schema)
+    return ranked.mapInArrow(tidy(mapped), schema)
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 from .components import components
 
 SEED = 42
@@ -71,7 +71,7 @@ def with_fingerprint(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed:
             f = np.array([fingerprint(t, shingle_words, seed) for t in b.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(f.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(mapped, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(mapped), "doc_id long, fp long")
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ def links(points: DataFrame, max_bits: int = MAX_BITS, cell_points: int = CELL_P
                 vs += [v for _, v in found]
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return dealt.mapInArrow(compared, "u long, v long")
+    return dealt.mapInArrow(tidy(compared), "u long, v long")
 
 
 def near_duplicates(

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from .common import bounded_batches, partitions, text_or_empty
+from .common import bounded_batches, partitions, text_or_empty, tidy
 
 LENGTH = 50
 FIRST = 20
@@ -451,9 +451,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n = partitions(spark)
     docs = docs.drop(*ADDED)
     plain = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    entries = plain.mapInArrow(_first_round_entries(n, length), _ENTRY_SQL)
+    entries = plain.mapInArrow(tidy(_first_round_entries(n, length)), _ENTRY_SQL)
     dealt = entries.withColumn("to", F.when(F.col("kind") < 0, F.col("bucket")).otherwise(F.crc32("docs") % n)).repartition(n, "to").drop("to")
-    answers = stage(dealt.mapInArrow(_first_round_ranks, "doc_id long, key long, kind int"), "first-round")
+    answers = stage(dealt.mapInArrow(tidy(_first_round_ranks), "doc_id long, key long, kind int"), "first-round")
     total = answers.count()
     hot = answers.where(F.col("kind") == _COUNT).groupBy("key").agg(F.sum("doc_id").alias("n")).where(F.col("n") >= max(HOT, total // 100_000))
     hot_ranks = spark.sparkContext.broadcast(np.array(sorted(r["key"] for r in hot.select("key").collect()), dtype=np.int64).view(np.uint64))
@@ -464,8 +464,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.collect_list(F.when(F.col("kind") == _OPEN, F.col("key"))).alias("opened"),
     )
     pieces = rows.join(listed, "doc_id", "left").select("doc_id", "text", "covered", "opened")
-    pieces = pieces.mapInArrow(_second_round_entries(8 * n, length, hot_ranks), _PIECE_SQL).repartition(2 * n, "bucket")
-    found = pieces.mapInArrow(_second_round_ranks(length), "doc_id long, tag long, start long, stop long")
+    pieces = pieces.mapInArrow(tidy(_second_round_entries(8 * n, length, hot_ranks)), _PIECE_SQL).repartition(2 * n, "bucket")
+    found = pieces.mapInArrow(tidy(_second_round_ranks(length)), "doc_id long, tag long, start long, stop long")
     ranges = found.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("_ranges"))
     joined = rows.join(ranges, "doc_id", "left").select(*docs.columns, "_ranges")
     names = docs.columns
@@ -484,7 +484,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     zero = F.lit(0).cast("long")
     schema = rows.select(*names, *[zero.alias(c) for c in ADDED[:3]], F.lit(b"").alias("kept")).schema
-    return joined.mapInArrow(result, schema)
+    return joined.mapInArrow(tidy(result), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -500,7 +500,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     cut = remove_repeats(docs, length)
     cut = cut.where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
-    out = cut.mapInArrow(decoded, cut.schema)
+    out = cut.mapInArrow(tidy(decoded), cut.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, tokenizer_path
+from .common import bounded_batches, tidy, tokenizer_path
 from .tokens import encoder
 
 BLOCK = 1024
@@ -33,7 +33,7 @@ def token_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
             n = np.fromiter((len(enc.encode(t)) for t in b.column("text").to_pylist()), dtype=np.int64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n)], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(mapped, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(mapped), "doc_id long, n_tokens long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import new_path, stage
-from .common import bounded_batches, tokenizer_path
+from .common import bounded_batches, tidy, tokenizer_path
 from .tokens import encoder
 
 END_ID = 2
@@ -84,7 +84,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
             pa.array([sum(map(len, docs_seen))], pa.int64()), pa.array([at], pa.int64()),
         ], ["part", "name", "width", "first_id", "n_docs", "n_tokens"])
 
-    parts = stage(ordered.mapInArrow(mapped, "part int, name string, width int, first_id long, n_docs long, n_tokens long"), "parts")
+    parts = stage(ordered.mapInArrow(tidy(mapped), "part int, name string, width int, first_id long, n_docs long, n_tokens long"), "parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
 
@@ -117,7 +117,7 @@ def read(manifest: DataFrame, folder: str, batch: int = 4096) -> DataFrame:
                         pa.array(offsets[i + 1:i + n + 1] - offsets[i:i + n]), pa.array(crc, pa.int64()),
                     ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spread.mapInArrow(mapped, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidy(mapped), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:

@@ -20,14 +20,11 @@ import numpy as np
 #: Pieces kept by one worker, in two generations.
 KEPT = 400_000
 _MARKS = frozenset(".,;:!?")
-_ENCODERS: dict[str, "Encoder"] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file; what it has kept serves later tasks too."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """A task's encoder for a file; it goes when the task ends, since a worker lives on for stages that need the memory."""
+    return Encoder(path)
 
 
 def _byte_letters() -> dict[int, str]:

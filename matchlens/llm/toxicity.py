@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 #: At most about this many labelled documents are learned from.
 TRAIN_DOCUMENTS = 20_000
@@ -124,7 +124,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
                 [*[b.column(c) for c in others], *[pa.array(found[:, i]) for i in range(len(FEATURES))]], [*others, *FEATURES])
 
     schema = docs.select(*others, *[F.lit(0.0).alias(f) for f in FEATURES]).schema
-    return docs.mapInArrow(mapped, schema)
+    return docs.mapInArrow(tidy(mapped), schema)
 
 
 def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, float]:
@@ -143,7 +143,7 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, floa
     total = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = total.get(1.0, 0), total.get(0.0, 0)
     by_label = lambda y: F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0))
-    table = sample.select("text", "label").mapInArrow(mapped, "key string, label int, n long").groupBy("key").agg(by_label(1).alias("a"), by_label(0).alias("b"))
+    table = sample.select("text", "label").mapInArrow(tidy(mapped), "key string, label int, n long").groupBy("key").agg(by_label(1).alias("a"), by_label(0).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1.0)) - F.log((F.col("b") + 0.5) / (n0 + 1.0))
     top = table.where(F.col("a") >= LEXICON_MIN_DOCUMENTS).withColumn("odds", odds).where(F.col("odds") >= LEXICON_LOG_ODDS)
     return {r["key"]: r["odds"] for r in top.orderBy(F.desc("odds"), "key").limit(size).collect()}
