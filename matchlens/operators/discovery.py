@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_lower, ascii_lower_text
 from .scope import K, restrict, selfs
 
-LIMIT = 100
-
 
 def corpus_summary(parts: DataFrame) -> DataFrame:
     """Long rows (dimension, value, matches, participants) from one grouping-sets pass.
@@ -59,7 +57,7 @@ def availability(parts: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def list_players(parts: DataFrame, limit: int | None = LIMIT) -> DataFrame:
+def list_players(parts: DataFrame, limit: int | None = None) -> DataFrame:
     """Players by distinct matches: display name, races seen, counts per matchup."""
     rows = selfs(parts)
     cells = rows.groupBy("name_lc", F.coalesce("matchup", F.lit("unknown")).alias("matchup"), "replay_id").agg(
@@ -87,7 +85,7 @@ def list_players(parts: DataFrame, limit: int | None = LIMIT) -> DataFrame:
     return ranked if limit is None else ranked.limit(limit)
 
 
-def list_matchups(parts: DataFrame, limit: int | None = LIMIT) -> DataFrame:
+def list_matchups(parts: DataFrame, limit: int | None = None) -> DataFrame:
     per_match = selfs(parts).groupBy(F.coalesce("matchup", F.lit("unknown")).alias("matchup"), "replay_id").agg(
         F.count(F.lit(1)).alias("c")
     )
@@ -97,7 +95,7 @@ def list_matchups(parts: DataFrame, limit: int | None = LIMIT) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
-def list_items(events: DataFrame, parts: DataFrame, query: str | None = None, limit: int | None = LIMIT) -> DataFrame:
+def list_items(events: DataFrame, parts: DataFrame, query: str | None = None, limit: int | None = None) -> DataFrame:
     """Items by distinct matches, case-folded, optionally containing a text."""
     rows = events.select(*K, "item", "item_lc")
     if query is not None:
@@ -114,12 +112,12 @@ def list_items(events: DataFrame, parts: DataFrame, query: str | None = None, li
     return out if limit is None else out.limit(limit)
 
 
-def search_items(events: DataFrame, parts: DataFrame, query: str, limit: int | None = LIMIT) -> DataFrame:
+def search_items(events: DataFrame, parts: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     return list_items(events, parts, query, limit)
 
 
 def list_units(
-    counts: DataFrame, deaths: DataFrame, parts: DataFrame, source: str = "both", limit: int | None = LIMIT
+    counts: DataFrame, deaths: DataFrame, parts: DataFrame, source: str = "both", limit: int | None = None
 ) -> DataFrame:
     """Unit types by rows in the count samples and in the deaths.
 

@@ -103,7 +103,7 @@ WITH d AS (SELECT DISTINCT replay_id, self_owner, matchup, player_race AS race,
 SELECT player_name AS name, count(DISTINCT replay_id) AS match_count, string_agg(DISTINCT race, ',' ORDER BY race) AS races,
   max(top) AS top_matchup FROM d JOIN (SELECT player_name AS pn, arg_min(matchup, (-c, matchup)) AS top FROM
    (SELECT player_name, matchup, count(DISTINCT replay_id) AS c FROM d GROUP BY ALL) GROUP BY pn) ON pn = player_name
-GROUP BY player_name ORDER BY match_count DESC, name LIMIT 100""",
+GROUP BY player_name""",
 )
 def list_players(t: Tables) -> DataFrame:
     c = t.corpus

@@ -7,14 +7,15 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import pattern
 from ..operators.ordered import ordered_scan
+from ..operators.starters import STARTERS
 from ..schema import TABLES, column_names, open_corpus
 from ..sources import bundles, inventory, sinks, staging
-from ..sql import capped_query, curated
+from ..sql import capped_query
 from .adapters import Tables
 from .event_queries import PLAYER
 from .registry import query
@@ -354,31 +355,72 @@ def match_manifests(t: Tables) -> DataFrame:
     )
 
 
-# SQL surface.
-
-CURATED = {k: v.strip() for k, v in curated(
-    item_a="LARGE", item_b="PROMO", race="NATION_1", matchup="1-URGENT", units=("LARGE", "SMALL"), name_part="GAME-1",
-    economy_at=900, counts_at=900, lo=600, hi=1200, nth=1,
-).items()}
-
-
-def _curated(topic: str, text: str) -> None:
-    @query(base="m", sql=text, name=f"curated_{topic}")
+# Starter reports and the SQL surface.
+
+STARTER_ARGS = {
+    "first_occurrence": {"item": "Promo", "race": "Nation_1", "matchup": "1-URGENT"},
+    "nth_occurrence": {"item": "large", "n": 1},
+    "event_sequence": {"item": "large", "n": 1, "then": "promo"},
+    "economy_at": {"at": 900},
+    "unit_counts_at": {"at": 900, "units": ("LARGE", "Small")},
+    "deaths_window": {"lo": 600, "hi": 1200},
+    "card": {"name_part": "GAME-1"},
+}
+
+_FIRST_TIMES = """
+WITH t AS (
+  SELECT replay_id, owner, min(time_seconds) FILTER (lower(item) = 'large') AS large, min(time_seconds) FILTER (lower(item) = 'promo') AS promo
+  FROM build_order_events GROUP BY ALL
+), w AS (SELECT * FROM players JOIN (SELECT replay_id, source_replay_filename, matchup FROM replays) USING (replay_id))
+"""
+
+STARTER_SQL = {
+    "players": "SELECT name, race, count(*) AS player_rows FROM players GROUP BY ALL",
+    "matchups": "SELECT matchup, count(*) AS replay_count FROM replays GROUP BY ALL",
+    "build_items": """SELECT race, item, count(*) AS event_count, count(DISTINCT (replay_id, owner)) AS player_replay_count
+FROM build_order_events JOIN players USING (replay_id, owner) GROUP BY ALL""",
+    "first_occurrence": _FIRST_TIMES + """SELECT source_replay_filename, matchup, name, race, owner, replay_id, promo AS time_seconds
+FROM t JOIN w USING (replay_id, owner) WHERE promo IS NOT NULL AND lower(race) = 'nation_1' AND matchup = '1-URGENT'""",
+    "nth_occurrence": _FIRST_TIMES + """SELECT source_replay_filename, name, replay_id, owner, large AS time_seconds
+FROM t JOIN w USING (replay_id, owner) WHERE large IS NOT NULL""",
+    "event_sequence": _FIRST_TIMES + """SELECT name, source_replay_filename, large AS nth_seconds, promo AS first_seconds, promo - large AS delta_seconds
+FROM t JOIN w USING (replay_id, owner) WHERE large < promo""",
+    "economy_at": """WITH s AS (
+  SELECT replay_id, owner, max_by(struct_pack(t := time_seconds, w := workers, m := minerals, g := gas), (time_seconds, frame)) AS s
+  FROM economy_samples WHERE time_seconds <= 900 GROUP BY ALL)
+SELECT name, source_replay_filename, s.t AS time_seconds, s.w AS workers, s.m AS minerals, s.g AS gas
+FROM s JOIN players USING (replay_id, owner) JOIN replays USING (replay_id)""",
+    "unit_counts_at": """WITH s AS (
+  SELECT replay_id, owner, unit_type, max_by(struct_pack(c := count), (time_seconds, frame)) AS s
+  FROM unit_count_samples WHERE time_seconds <= 900 AND lower(unit_type) IN ('large', 'small') GROUP BY ALL)
+SELECT name, source_replay_filename, unit_type, s.c AS count FROM s JOIN players USING (replay_id, owner) JOIN replays USING (replay_id)""",
+    "deaths_window": """SELECT name, race, matchup, unit_type, count(*) AS death_count
+FROM players JOIN replays USING (replay_id) JOIN (FROM death_events WHERE time_seconds >= 600 AND time_seconds <= 1200) USING (replay_id, owner)
+GROUP BY ALL""",
+    "card": """SELECT replay_id, source_replay_filename, matchup, map, duration_seconds, owner, name, race
+FROM players JOIN replays USING (replay_id) WHERE contains(lower(source_replay_filename), 'game-1')""",
+}
+
+
+def _starter(topic: str) -> None:
+    @query(base="m", sql=STARTER_SQL[topic], name=f"curated_{topic}")
     def run(t: Tables) -> DataFrame:
-        t.corpus.create_views()
-        return t.spark.sql(text)
+        return STARTERS[topic](t.corpus, **STARTER_ARGS.get(topic, {}))
 
 
-for _topic, _text in CURATED.items():
-    _curated(_topic, _text)
+for _topic in STARTERS:
+    _starter(_topic)
 
 
-@query(base="m", sql="SELECT matchup, count(*) AS n FROM replays WHERE duration_seconds > 500 AND matchup <> '5-LOW' GROUP BY matchup")
+@query(
+    base="m",
+    sql="""SELECT matchup, count(*) AS n, count(*) OVER () > 100 AS truncated FROM replays
+WHERE duration_seconds > 500 AND matchup <> '5-LOW' GROUP BY matchup ORDER BY matchup LIMIT 100""",
+)
 def bounded_sql(t: Tables) -> DataFrame:
     t.corpus.create_views()
-    df, _ = capped_query(
-        t.spark, "SELECT matchup, count(*) AS n FROM replays WHERE duration_seconds > ? AND matchup <> ? GROUP BY matchup;", [500, "5-LOW"]
+    df, cap = capped_query(
+        t.spark, "SELECT matchup, count(*) AS n FROM replays WHERE duration_seconds > ? AND matchup <> ? GROUP BY matchup ORDER BY matchup;", [500, "5-LOW"]
     )
-    return df
-
-
+    # at most cap + 1 rows reach this window
+    return df.withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(0))) > cap).limit(cap)

@@ -193,7 +193,7 @@ def library(entries: DataFrame, manifests: DataFrame, listing: DataFrame) -> Dat
 
 
 def archive_names(rows: DataFrame, base: str = "html_name", ident: str = "replay_id") -> DataFrame:
-    """Export names that do not collide: `name`, then `id-2-name`, `id-3-name`."""
+    """Export names that do not collide, ids being unique: `name` for the first id, `id-2-name` for the others."""
     w = Window.partitionBy(base).orderBy(ident)
     n = F.row_number().over(w)
     return rows.withColumn("_n", n).withColumn(

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from matchlens.functions import text
 from matchlens.operators import cards, combat, discovery, events, features, losses, pattern, quality, samples, scope
 from matchlens.operators.pattern import Event
-from matchlens.sql import bounded_sql, curated
+from matchlens.operators.starters import STARTERS
+from matchlens.sql import bounded_sql
 
 CATALOG = "name string, race string, type string, buildTime double, mineralCost int, gasCost int, supplyCost double, builtFrom string"
 
@@ -267,8 +268,17 @@ def test_sql(spark, one):
     with pytest.raises(ValueError):
         bounded_sql(spark, "SELECT ?", [float("nan")])
     assert len(bounded_sql(spark, "SELECT id FROM range(2000)", max_rows=9999)[0]) == 500
-    for sql in curated().values():
-        spark.sql(sql).collect()
+    for bad in ("SELECT reflect('java.lang.System', 'nanoTime')", "SELECT * FROM parquet.`/tmp/x`", "SELECT java_method ('a', 'b')"):
+        with pytest.raises(ValueError, match="corpus views"):
+            bounded_sql(spark, bad)
+    assert bounded_sql(spark, "SELECT 'reflect(' AS a")[0][0].a == "reflect("
+
+
+def test_starters(one):
+    for report in STARTERS.values():
+        whole = report(one).collect()
+        assert report(one, limit=1).collect() == whole[:1]
+    assert STARTERS["nth_occurrence"](one, item="sPAWNING pool", n=1).count() == STARTERS["nth_occurrence"](one, item="Spawning Pool", n=1).count() > 0
 
 
 def test_quality(spark, one):
