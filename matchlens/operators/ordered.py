@@ -39,10 +39,7 @@ MAX_SOURCES = 12
 
 def hold(df: DataFrame) -> DataFrame:
     """The same rows; written out first when the plan reads more than a few sources."""
-    try:
-        sources = df._jdf.queryExecution().analyzed().collectLeaves().size()
-    except Exception:
-        return df
+    sources = df._jdf.queryExecution().analyzed().collectLeaves().size()
     return stage(df, "scan") if sources > MAX_SOURCES else df
 
 
@@ -199,28 +196,14 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n
     return df.withColumn(place, F.row_number().over(w)).where(F.col(place) <= n)
 
 
-def text_place(df: DataFrame, column: str, name: str = "_place") -> DataFrame:
+def text_place(df: DataFrame, column: str, name: str = "_place", ranges: int | None = None) -> DataFrame:
     """A number that grows with the binary order of a text column.
 
-    The common start of all values is that of the smallest and the largest; the
-    six bytes after it make the number. Equal numbers need the text itself as a
-    tie-break. Lets `ordered_scan` slice an order by text.
+    It is the place of the text's range among ranges that hold about as many rows
+    each, whatever the texts look like; texts of one range have equal numbers and
+    need the text itself as a tie-break. Without a number of `ranges` Spark joins
+    small ones. Lets `ordered_scan` slice an order by text. The rows are written
+    once, so that all readers see the same ranges.
     """
-    ends = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    size = F.least(F.length("_lo"), F.length("_hi"))
-    at = F.array_position(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-            lambda i: F.substr("_lo", i, F.lit(1)) == F.substr("_hi", i, F.lit(1)),
-        ),
-        False,
-    )
-    start = ends.select(F.when(at > 0, at).otherwise(size + 1).alias("_from"), F.lit(0).alias("_one"))
-    head = F.rpad(F.substring(F.hex(F.substr(F.col(column), F.col("_from"))), 1, 12), 12, "0")
-    # One row.
-    return (
-        df.withColumn("_one", F.lit(0))
-        .join(F.broadcast(start), "_one")
-        .withColumn(name, F.conv(head, 16, 10).cast("double"))
-        .drop("_one", "_from")
-    )
+    cut = df.repartitionByRange(column) if ranges is None else df.repartitionByRange(ranges, column)
+    return stage(cut.withColumn(name, F.spark_partition_id().cast("double")), "ranges")

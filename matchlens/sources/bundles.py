@@ -25,12 +25,16 @@ from ..schema import (
     SUPPLY_DOC,
     with_folded,
 )
+from .staging import stage
 
 REQUIRED = ("player.json", "build_order.txt", "economy.json", "supply.json")
 OPTIONAL = ("unit_counts.json", "deaths.json")
 CORRUPT = "_corrupt_record"
-# Java form of the line pattern `M:SS [used/max] Item`.
-LINE = r"^(\d+):([0-5]\d)(?:\s+\[(\d+)/(\d+)\])?\s+(.+)$"
+ARCHIVE_MISSING = "archive not found"
+# Parts of a line: the clock, then supply in brackets where it is given, then the item.
+CLOCK = r"\A[0-9]+:[0-5][0-9]\z"
+SUPPLY = r"\A\[[0-9]+/[0-9]+\]\z"
+LINE_BREAK = "[\n\r\u0085\u2028\u2029]"
 
 
 @dataclass
@@ -101,8 +105,8 @@ def latest_manifests(manifests: DataFrame) -> DataFrame:
     return manifests.groupBy("replay_id").agg(F.max_by(F.struct(*cols), "manifest_path").alias("m")).select("replay_id", "m.*")
 
 
-def expand_archives(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, member, text, problem) of zip archives in a `content` column.
+def expand_archives(files: DataFrame, keys: list[str], only: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows (keys, member, text, problem) of zip archives in a `content` column; of the members in `only`, where given.
 
     Archives are opened inside the scan's tasks, one at a time.
     """
@@ -118,7 +122,7 @@ def expand_archives(files: DataFrame, keys: list[str]) -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(rec["content"])) as archive:
                         for info in archive.infolist():
-                            if not info.is_dir():
+                            if not info.is_dir() and (only is None or info.filename in only):
                                 out.append((*base, info.filename, archive.read(info).decode("utf-8", "replace"), None))
                 except (zipfile.BadZipFile, TypeError, OSError, RuntimeError, NotImplementedError) as error:
                     out = [(*base, None, None, f"unreadable archive: {error}")]
@@ -140,9 +144,9 @@ def wanted_archives(manifests: DataFrame) -> DataFrame:
     )
 
 
-def read_bundles(spark: SparkSession, manifests: DataFrame, root: str | list[str]) -> Bundles:
-    """Open exactly the archives named by the manifests; others are never read past
-    their path. A missing archive, member or owner match is an error row."""
+def open_archives(spark: SparkSession, manifests: DataFrame, root: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """The known members of exactly the archives named by the manifests, and the
+    archives wanted; other archives are never read past their path."""
     wanted = wanted_archives(manifests)
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
@@ -150,8 +154,15 @@ def read_bundles(spark: SparkSession, manifests: DataFrame, root: str | list[str
     )
     # The file source reports file:/x, the metadata column file:///x.
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    found = files.withColumn("zip_path", plain("zip_path")).join(wanted.withColumn("zip_path", plain("zip_path")), "zip_path")
-    return judge_bundles(expand_archives(found, ["replay_id", "owner", "zip_path"]), wanted.withColumn("zip_path", plain("zip_path")))
+    wanted = wanted.withColumn("zip_path", plain("zip_path"))
+    found = files.withColumn("zip_path", plain("zip_path")).join(wanted, "zip_path")
+    return expand_archives(found, ["replay_id", "owner", "zip_path"], (*REQUIRED, *OPTIONAL)), wanted
+
+
+def read_bundles(spark: SparkSession, manifests: DataFrame, root: str | list[str]) -> Bundles:
+    """Members of the archives named by the manifests. A missing archive, member
+    or owner match is an error row."""
+    return judge_bundles(*open_archives(spark, manifests, root))
 
 
 def judge_bundles(expanded: DataFrame, wanted: DataFrame) -> Bundles:
@@ -165,7 +176,7 @@ def judge_bundles(expanded: DataFrame, wanted: DataFrame) -> Bundles:
     judged = wanted.join(have, key, "left").join(bundle_owner, key, "left")
     lacking = F.array_except(F.array(*[F.lit(m) for m in REQUIRED]), F.coalesce("have", F.array().cast("array<string>")))
     reason = (
-        F.when(F.col("have").isNull(), F.lit("archive not found"))
+        F.when(F.col("have").isNull(), F.lit(ARCHIVE_MISSING))
         .when(F.col("problem").isNotNull(), F.col("problem"))
         .when(F.size(lacking) > 0, F.concat(F.lit("missing required bundle file "), F.array_join(lacking, ", ")))
         .when(F.col("bundle_owner").isNull(), F.lit("invalid JSON in player.json"))
@@ -188,21 +199,25 @@ def parse_lines(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_line_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    line = F.regexp_replace("raw_line", r"^\s+|\s+$", "")
-    fits = line.rlike(LINE)
-    part = lambda i: F.regexp_extract(line, LINE, i)
-    number = lambda i: F.when(part(i) != "", part(i).cast("int"))
-    good = lines.where(fits).select(
+    words = F.split(F.regexp_replace("raw_line", r"^\s+|\s+$", ""), r"\s+", 3)
+    cut = lines.withColumn("_w", words)
+    w = F.col("_w")
+    rest = F.regexp_replace("raw_line", r"^\s*\S+\s+|\s+$", "")
+    fits = (F.size(w) > 1) & w[0].rlike(CLOCK) & ~rest.rlike(LINE_BREAK)
+    supplied = (F.size(w) == 3) & w[1].rlike(SUPPLY)
+    clock = F.split(w[0], ":")
+    supply = F.when(supplied, F.split(F.btrim(w[1], F.lit("[]")), "/"))
+    good = cut.where(fits).select(
         "replay_id",
         "owner",
-        (part(1).cast("bigint") * 60 + part(2).cast("int")).cast("double").alias("time_seconds"),
-        number(3).alias("supply_used"),
-        number(4).alias("supply_max"),
-        F.trim(part(5)).alias("item"),
+        (clock[0].cast("bigint") * 60 + clock[1].cast("int")).cast("double").alias("time_seconds"),
+        supply[0].cast("int").alias("supply_used"),
+        supply[1].cast("int").alias("supply_max"),
+        F.when(supplied, w[2]).when(F.size(w) == 2, w[1]).otherwise(rest).alias("item"),
         "raw_line",
         F.col("event_seq").cast("bigint").alias("event_seq"),
     )
-    bad = lines.where(~fits).select(
+    bad = cut.where(~fits).select(
         "replay_id", F.col("zip_path").alias("path"), F.lit("build_order.txt").alias("member"),
         F.concat(F.lit("invalid line: "), "raw_line").alias("reason"),
     )
@@ -221,6 +236,32 @@ def _docs(members: DataFrame, member: str, ddl: str) -> tuple[DataFrame, DataFra
 
 def read_series(bundles: Bundles, manifests: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """The corpus tables of all faultless matches, and every error found."""
+    tables, errors = parse_series(bundles, manifests)
+    return faultless(tables, errors), errors
+
+
+def read_matches(spark: SparkSession, manifests: DataFrame, root: str | list[str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """`read_series` of the archives under a folder, for writing.
+
+    Manifests, members and errors are each written once to the shared folder, so
+    every archive is opened once and judged once, however many tables follow. A
+    table reads the folder of its member alone.
+    """
+    manifests = stage(manifests, "manifests")
+    members, wanted = open_archives(spark, manifests, root)
+    tables, errors = parse_series(judge_bundles(stage(members, "members", ["member"]), wanted), manifests)
+    errors = stage(errors, "errors")
+    return faultless(tables, errors), errors
+
+
+def faultless(tables: dict[str, DataFrame], errors: DataFrame) -> dict[str, DataFrame]:
+    """The tables without matches that have an error."""
+    spoiled = errors.select("replay_id").distinct()
+    return {n: df.join(spoiled, "replay_id", "left_anti") for n, df in tables.items()}
+
+
+def parse_series(bundles: Bundles, manifests: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The corpus tables of all matches, faulty ones included, and every error found."""
     m = bundles.members
     events, bad_lines = parse_lines(m)
     economy, e1 = _docs(m, "economy.json", ECONOMY_DOC)
@@ -230,7 +271,6 @@ def read_series(bundles: Bundles, manifests: DataFrame) -> tuple[dict[str, DataF
     errors = bundles.errors
     for e in (bad_lines, e1, e2, e3, e4):
         errors = errors.unionByName(e)
-    spoiled = errors.select("replay_id").distinct()
     k = ["replay_id", "owner"]
     frame = F.col("frame").cast("bigint").alias("frame")
     tables = {
@@ -249,4 +289,4 @@ def read_series(bundles: Bundles, manifests: DataFrame) -> tuple[dict[str, DataF
             F.col("death")["unit_type"].alias("unit_type"), F.col("death")["category"].alias("category"),
         ),
     }
-    return {n: df.join(spoiled, "replay_id", "left_anti") for n, df in tables.items()}, errors
+    return tables, errors

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import frame_seconds, matchup_text, padded_clock
 from ..operators.ordered import ordered_scan, text_place
 from ..schema import MANIFEST_VERSION, SCHEMA_VERSION, TABLES, column_names
-from .bundles import latest_manifests, read_bundles, read_manifests, read_series
+from .bundles import latest_manifests, read_manifests, read_matches
+from .staging import stage
 
 BUCKET = "replay_bucket"
 BUCKETS = 64
@@ -96,10 +97,11 @@ def ingest(spark: SparkSession, analysis_root: str, corpus_root: str, *, batch_s
     """Read all analyses below a folder and replace their matches in the corpus.
 
     Returns the batch report and the errors; matches with errors are left out.
+    Every archive is opened once for all tables.
     """
     found = read_manifests(spark, analysis_root)
     manifests = latest_manifests(found.good)
-    tables, errors = read_series(read_bundles(spark, manifests, analysis_root), manifests)
+    tables, errors = read_matches(spark, manifests, analysis_root)
     write_tables(tables, corpus_root, buckets=buckets)
     faults = found.errors.withColumn("replay_id", F.lit(None).cast("string")).unionByName(errors)
     return {"batches": batch_report(found.good, batch_size), "errors": faults}
@@ -108,7 +110,7 @@ def ingest(spark: SparkSession, analysis_root: str, corpus_root: str, *, batch_s
 def write_tables(tables: dict[str, DataFrame], corpus_root: str, *, buckets: int = BUCKETS) -> None:
     """Replace the incoming matches in every corpus table."""
     spark = tables["replays"].sparkSession
-    ids = tables["replays"].select("replay_id")
+    ids = stage(tables["replays"].select("replay_id"), "ids")
     for name, df in tables.items():
         layout = column_names(TABLES[name])
         replace_matches(df.select(*layout), f"{corpus_root}/{name}", ids, buckets=buckets, sort=SORT.get(name, ()))
@@ -116,14 +118,14 @@ def write_tables(tables: dict[str, DataFrame], corpus_root: str, *, buckets: int
     meta.write.mode("overwrite").parquet(f"{corpus_root}/schema_metadata")
 
 
-def series_documents(samples: DataFrame, keys: Sequence[str], fields: Sequence[str], schema_version: str, slice_seconds: float = 3600.0) -> DataFrame:
-    """JSON documents per participant with the samples in time order.
+def series_documents(samples: DataFrame, keys: Sequence[str], fields: Sequence[str], schema_version: str, slice_seconds: float | None = None) -> DataFrame:
+    """JSON documents per participant with the samples in time order; `part` numbers them.
 
-    A document covers at most `slice_seconds`, so that no group has to hold a
-    whole long series; a match shorter than that is one document.
+    One document holds a whole series (part 0). With `slice_seconds` a document
+    covers at most that much time, for series too long to be held as one value.
     """
     keys = list(keys)
-    at = F.floor(F.col("time_seconds") / slice_seconds).alias("part")
+    at = (F.lit(0).cast("bigint") if slice_seconds is None else F.floor(F.col("time_seconds") / slice_seconds)).alias("part")
     rows = samples.select(*keys, at, F.struct(*fields).alias("s"))
     first = fields[0]
     in_order = lambda a, b: F.when(a[first] < b[first], -1).when(a[first] > b[first], 1).otherwise(0)
@@ -131,7 +133,7 @@ def series_documents(samples: DataFrame, keys: Sequence[str], fields: Sequence[s
     return docs.select(*keys, "part", F.to_json(F.struct(F.lit(schema_version).alias("schema_version"), "samples")).alias("json"))
 
 
-def write_bundles(series: dict[str, DataFrame], path: str, slice_seconds: float = 3600.0) -> None:
+def write_bundles(series: dict[str, DataFrame], path: str, slice_seconds: float | None = None) -> None:
     """The series of every participant as JSON documents, a folder per kind."""
     layout = {
         "economy": (["frame", "time_seconds", "minerals", "gas", "gathered_minerals", "gathered_gas", "workers"], "replay-analysis-economy-v1"),

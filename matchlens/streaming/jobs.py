@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import loss_lane
-from ..sources.bundles import latest_manifests, parse_manifests, read_bundles, read_series
+from ..sources.bundles import ARCHIVE_MISSING, latest_manifests, parse_manifests, read_manifests, read_matches
 from ..sources.sinks import write_tables
+from ..sources.staging import stage
 
 DELAY = "10 minutes"
 HOLD_MS = 600_000
@@ -214,13 +215,13 @@ def ingest_batch(corpus_root: str, errors_path: str, buckets: int) -> Callable[[
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        found = parse_manifests(batch)
+        found = parse_manifests(stage(batch, "batch"))
         manifests = latest_manifests(found.good)
         # At most maxFilesPerTrigger folders: only they are listed, not the whole root.
         folders = [r[0] for r in manifests.select(F.regexp_replace("manifest_path", "/[^/]*$", "")).distinct().collect()]
         faults = found.errors.withColumn("replay_id", F.lit(None).cast("string"))
         if folders:
-            tables, errors = read_series(read_bundles(spark, manifests, folders), manifests)
+            tables, errors = read_matches(spark, manifests, folders)
             write_tables(tables, corpus_root, buckets=buckets)
             faults = faults.unionByName(errors)
         faults.write.mode("overwrite").parquet(f"{errors_path}/batch={batch_id}")
@@ -239,6 +240,20 @@ def ingest_stream(
     )
 
 
+def retry_missing(spark: SparkSession, root: str, corpus_root: str, *, buckets: int = 64) -> DataFrame:
+    """Ingest again the matches whose archive was not there yet when the stream saw their manifest.
+
+    The stream sees a manifest once, so this is a job to run from time to time.
+    Matches that have arrived meanwhile are replaced by themselves. Returns the
+    errors that remain.
+    """
+    late = spark.read.parquet(f"{corpus_root}/_errors").where(F.col("reason") == ARCHIVE_MISSING).select("replay_id").distinct()
+    manifests = latest_manifests(read_manifests(spark, root).good).join(late, "replay_id", "left_semi")
+    tables, errors = read_matches(spark, manifests, root)
+    write_tables(tables, corpus_root, buckets=buckets)
+    return errors
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is there now into Parquet files and return."""
     query = (

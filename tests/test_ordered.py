@@ -128,6 +128,10 @@ def test_text_place_orders_like_text(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = [r.w for r in text_place(df, "w").orderBy("_place", "w").collect()]
     assert got == sorted(words, key=lambda s: s.encode())
+    odd = spark.createDataFrame([(f"data/{i:04d}",) for i in range(500)] + [("a/1",)], "w string")
+    placed = text_place(odd, "w", ranges=8)
+    assert placed.groupBy("_place").count().agg(F.max("count")).first()[0] < 200
+    assert [r.w for r in placed.orderBy("_place", "w").limit(2).collect()] == ["a/1", "data/0000"]
     only = spark.createDataFrame([("same",), ("same",)], "w string")
     assert text_place(only, "w").count() == 2
 

@@ -187,3 +187,13 @@ def test_stream_ingest(spark, tmp_path):
     assert {r.replay_id: r["count"] for r in c.build_order_events.groupBy("replay_id").count().collect()} == {"m1": 2, "m2": 1}
     errors = spark.read.parquet(store + "/_errors")
     assert [r.replay_id for r in errors.collect()] == ["m3"]
+
+    # A manifest ahead of its archive: an error now, taken in once the archive is there.
+    folder = write_match(root, "e", "m4", [p])
+    archive = (folder / "player_1.zip").read_bytes()
+    (folder / "player_1.zip").unlink()
+    jobs.ingest_stream(spark, str(root), store, mark, buckets=2).awaitTermination()
+    assert jobs.retry_missing(spark, str(root), store, buckets=2).count() == 1
+    (folder / "player_1.zip").write_bytes(archive)
+    assert jobs.retry_missing(spark, str(root), store, buckets=2).count() == 0
+    assert {r.replay_id for r in open_corpus(spark, store).replays.collect()} == {"m1", "m2", "m4"}

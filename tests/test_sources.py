@@ -170,6 +170,29 @@ def test_reports_and_backfill(spark, tmp_path):
     assert m.matchup == "TvZ" and m.duration_seconds == 4.2 and len(m.replay_id) == 64
 
 
+def test_archives_are_opened_once(spark, tmp_path, monkeypatch):
+    """However many tables follow, a full ingest expands the archives in one place."""
+    write_match(tmp_path / "in", "a", "m1", [player(1, "x", "zerg", ["00:10 Drone"])])
+    opened = []
+    inner = bundles.expand_archives
+    monkeypatch.setattr(bundles, "expand_archives", lambda *a, **k: opened.append(1) or inner(*a, **k))
+    manifests = bundles.latest_manifests(bundles.read_manifests(spark, str(tmp_path / "in")).good)
+    tables, errors = bundles.read_matches(spark, manifests, str(tmp_path / "in"))
+    assert opened == [1] and errors.count() == 0 and len(tables) == 7
+    for df in tables.values():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" not in plan and "binaryFile" not in plan
+
+
+def test_lines(spark):
+    texts = ["06:00 [58/66] Mutalisk", "  1:09  Science   Vessel ", "00:10 [58/66]", "00:10 [5x/6] A b", "00:10 Drone\r", "7:60 A", "00:10", "x00:10 A", "00:10[1/2] A", "00:10 A\u2028B"]
+    rows = spark.createDataFrame([("m", 1, "z", i, t) for i, t in enumerate(texts)], "replay_id string, owner int, zip_path string, event_seq int, raw_line string")
+    good, bad = bundles.parse_line_rows(rows)
+    got = [(r.time_seconds, r.supply_used, r.supply_max, r.item) for r in good.orderBy("event_seq").collect()]
+    assert got == [(360.0, 58, 66, "Mutalisk"), (69.0, None, None, "Science   Vessel"), (10.0, None, None, "[58/66]"), (10.0, None, None, "[5x/6] A b"), (10.0, None, None, "Drone")]
+    assert bad.count() == 5
+
+
 def test_library_and_artifacts(spark):
     manifests = spark.createDataFrame([("/d/a/manifest.json", "a"), ("/d/b/manifest.json", "b"), ("/d/c/manifest.json", "a"), ("/d/e/manifest.json", None)], "manifest_path string, replay_id string")
     listing = spark.createDataFrame([("/d/a/a.html",), ("/d/a/z.html",), ("/d/b/q.html",), ("/d/b/r.html",)], "path string")
