@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import pattern
 from ..operators.ordered import ordered_scan
 from ..operators.starters import STARTERS
-from ..schema import TABLES, column_names, open_corpus
+from ..schema import TABLES, Corpus, column_names, open_corpus
 from ..sources import bundles, inventory, sinks, staging
 from ..sql import capped_query
 from .adapters import Tables
@@ -134,9 +134,70 @@ def _read_archives(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
         *K, F.lit("n").alias("name"), F.lit("zerg").alias("race"),
         F.concat(F.lit("z/"), F.col("replay_id").cast("string"), F.lit("_"), F.col("owner").cast("string"), F.lit(".zip")).alias("zip_path"),
     )
-    found = bundles.judge_bundles(bundles.expand_archives(archives, [*K, "zip_path"]), wanted)
+    members = staging.stage(bundles.expand_archives(archives, [*K, "zip_path"], (*bundles.REQUIRED, *bundles.OPTIONAL)), "members", ["member"])
     manifests = t.read("supplier").select(F.col("s_suppkey").alias("replay_id"))
-    return bundles.read_series(found, manifests)
+    tables, errors = bundles.parse_series(bundles.judge_bundles(members, wanted), manifests)
+    errors = staging.stage(errors, "errors")
+    return bundles.faultless(tables, errors), errors
+
+
+def _put_files(files: DataFrame) -> None:
+    """Write (path, content) rows as files of the shared folder; a task that runs again writes the same."""
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                if path.startswith("file:/"):
+                    path = "/" + path.removeprefix("file:").lstrip("/")
+                store, place = fs.FileSystem.from_uri(path)
+                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(place) as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    files.mapInPandas(put, "n bigint").agg(F.sum("n")).collect()
+
+
+def _ingested(t: Tables) -> tuple[Corpus, dict[str, DataFrame]]:
+    """Analyses of all suppliers written as files and taken in twice, and the report of the second time."""
+    root, store = staging.new_path(t.spark, "analyses"), staging.new_path(t.spark, "corpus")
+    archives = staging.stage(_archives(t), "archives")
+    name = F.concat(F.lit("player_"), F.col("owner").cast("string"), F.lit(".zip"))
+    folder = F.concat(F.lit(f"{root}/"), F.col("replay_id").cast("string"), F.lit("/"))
+    _put_files(archives.select(F.concat(folder, name).alias("path"), "content"))
+    people = archives.groupBy("replay_id").agg(
+        F.array_sort(F.collect_list(F.struct("owner", F.lit("n").alias("name"), F.lit("zerg").alias("race"), name.alias("zip_filename")))).alias("players")
+    )
+    text = F.to_json(F.struct(
+        F.lit("replay-analysis-manifest-v1").alias("schema_version"), F.col("replay_id").cast("string").alias("replay_id"),
+        F.lit("ZvZ").alias("matchup"), "players",
+    ))
+    _put_files(people.select(F.concat(folder, F.lit("manifest.json")).alias("path"), text.cast("binary").alias("content")))
+    for _ in range(2):
+        report = sinks.ingest(t.spark, root, store, buckets=4)
+    return open_corpus(t.spark, store), report
+
+
+@query(
+    base="m",
+    sql="""
+WITH c AS (SELECT *, (row_number() OVER (PARTITION BY owner ORDER BY time_seconds, replay_id * 100000000 + seq) - 1) // 200 AS chunk FROM lines),
+e AS (SELECT owner AS replay_id, CAST(chunk AS INT) AS owner, count(*) AS samples, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS minerals, CAST(sum(l_linenumber) AS BIGINT) AS workers
+ FROM c WHERE owner % 11 NOT IN (3, 4) GROUP BY ALL)
+SELECT CAST(replay_id AS VARCHAR) AS replay_id, owner, 'ZvZ' AS matchup, samples, minerals, workers, samples AS events, CAST(1 AS BIGINT) AS supplies FROM e""",
+)
+def ingest_end_to_end(t: Tables) -> DataFrame:
+    """Files in, corpus tables out: every series of every match without a fault, once though taken in twice."""
+    c, _ = _ingested(t)
+    economy = c.economy_samples.groupBy(*K).agg(F.count(F.lit(1)).alias("samples"), F.sum("minerals").alias("minerals"), F.sum("workers").alias("workers"))
+    events = c.build_order_events.groupBy(*K).agg(F.count(F.lit(1)).alias("events"))
+    supplies = c.supply_samples.groupBy(*K).agg(F.count(F.lit(1)).alias("supplies"))
+    people = c.players.select(*K).join(c.replays.select("replay_id", "matchup"), "replay_id")
+    return people.join(economy, K).join(events, K).join(supplies, K).select(
+        *K, "matchup", "samples", F.col("minerals").cast("bigint").alias("minerals"), F.col("workers").cast("bigint").alias("workers"), "events", "supplies"
+    )
 
 
 @query(
