@@ -44,22 +44,28 @@ CELL_POINTS = 2048
 HASH_BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """Majority bits of the 64-bit hashes of all word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED):
+    """64-bit hashes of all word shingles, repeats included, in blocks; a text of fewer words is one shingle, none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = ends - np.fromiter(map(len, words), dtype=np.int64, count=len(words)) - 1
     n = max(1, len(words) - shingle_words + 1)
     last = ends[min(shingle_words, len(words)) - 1:] - 1
-    ones = np.zeros(64, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, HASH_BLOCK):
         cut = slice(at, at + HASH_BLOCK)
-        h = np.array([digest(joined[s:e], seed) for s, e in zip(starts[:n][cut].tolist(), last[cut].tolist())], dtype=">u8")
-        ones += np.add.reduce(np.unpackbits(h.view(np.uint8)).reshape(-1, 64), axis=0, dtype=np.int64)
+        yield np.array([digest(joined[s:e], seed) for s, e in zip(starts[:n][cut].tolist(), last[cut].tolist())], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """Majority bits of the 64-bit hashes of all word shingles, repeats included; 0 without words."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for h in shingle_hashes(text, shingle_words, seed):
+        ones += np.add.reduce(np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64), axis=0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
@@ -175,7 +181,12 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows of one id are judged together: the id stays if it is the least of a
     component of one of its rows, with its least text. Rows with a null id stay.
     """
-    known = near_duplicates(docs, **options).where("doc_id is not null")
+    return keep_least(docs, near_duplicates(docs, **options))
+
+
+def keep_least(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay when `known` (doc_id, component_id) has a row for each of its rows."""
+    known = known.where("doc_id is not null")
     status = known.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_stays"), F.count("*").alias("_rows"))
     told = docs.join(stage(status.where("not _stays or _rows > 1"), "dropped"), "doc_id", "left")
     once = told.where("_stays is null").select(*docs.columns)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from matchlens.llm import chat, decontaminate, langid, packing, q_langid, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
+from matchlens.llm import chat, decontaminate, langid, packing, q_langid, quality, similar, simhash, suffix_dedup, token_counts, token_files, toxicity
 from matchlens.llm.common import tokenizer_path
 from matchlens.llm.components import components
 from matchlens.llm.tokens import Encoder
@@ -111,6 +111,63 @@ def test_lower_bound():
     assert fast.tolist() == slow and (fast <= np.bitwise_count(a ^ b)).all()
 
 
+def slow_sets(rows):
+    out = []
+    for _, t in rows:
+        words = words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        out.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def slow_similar(rows):
+    """Least id of the rows that similarity of 0.8 or more reaches, by row."""
+    sets, group = slow_sets(rows), {}
+    for i in range(len(rows)):
+        if i in group:
+            continue
+        todo, group[i] = [i], i
+        while todo:
+            x = todo.pop()
+            for j, s in enumerate(sets):
+                if j not in group and 10 * len(s & sets[x]) >= 8 * len(s | sets[x]):
+                    group[j] = i
+                    todo.append(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[group[k]] = min(i, least.get(group[k], i))
+    return [least.get(group[k]) for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("block", [1 << 17, 500])
+def test_similar(spark, block):
+    rng = np.random.default_rng(5)
+    base = [f"word{i}" for i in rng.integers(0, 5000, 300)]
+    edited = []
+    for i in range(30):
+        # a chain: each copy is edited from the one before, so its ends are far apart; from 20 on the edits are too many
+        for at in rng.integers(0, 300, 4 if i < 20 else 14):
+            base[at] = f"edit{i}"
+        edited.append((100 + i, " ".join(base)))
+    rows = ODD + edited + [(200, edited[3][1].upper()), (2, edited[25][1]), (None, "only a null id has these words here")]
+    got = {(str(r.doc_id), r.component_id) for r in similar.near_duplicates(table(spark, rows), block).collect()}
+    want = slow_similar(rows)
+    assert len(set(want) & set(range(100, 130))) > 5
+    assert got == {(str(i), c) for (i, _), c in zip(rows, want)}
+    kept = similar.one_of_each(table(spark, rows), block)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert similar.near_duplicates(table(spark, [])).count() == 0
+
+
+def test_pipeline_near_dedup_by_five_words(spark, documents):
+    import corpus_pipeline
+
+    rows = [(r.doc_id, r.text) for r in documents.collect()] + [(i + 10_000, t) for i, t in ODD if i is not None]
+    docs = documents.unionByName(table(spark, rows[-len(ODD) + 1:]))
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert kept == sorted(set(slow_similar(rows)))
+
+
 def test_components_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (102, 100), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components(links).collect()}
