@@ -89,13 +89,13 @@ def learnable(docs: DataFrame, held_out: Column) -> DataFrame:
 
 
 def train(labelled: DataFrame, max_documents: int = TRAIN_DOCUMENTS) -> Model:
-    """Fit on all of `labelled` (lang, text), or on about `max_documents` of its rows, chosen by a hash of the text.
+    """Fit on all of `labelled` (doc_id, lang, text), or on about `max_documents` of its rows, chosen by a hash of id and text, so that copies are chosen one by one.
 
     Executors send sums only: gram counts by language, a bounded table.
     """
     n = labelled.count()
     if n > max_documents:
-        share = F.pmod(F.xxhash64(F.lit("train"), "text"), F.lit(1_000_000))
+        share = F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(1_000_000))
         labelled = labelled.where(share < int(1_000_000 * max_documents / n))
 
     def summed(batches):

@@ -246,6 +246,18 @@ def test_language_id_edges(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_language_sample_is_bounded_under_copies(spark, monkeypatch):
+    counts = []
+    monkeypatch.setattr(langid, "fitted", lambda languages, found: counts.append(found.sum()))
+    # copies of a text come in one by one, whichever text it is
+    for text in ("the cat", "a dog", "der Hund", "die Maus", "le chat", "un chien"):
+        docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit(text).alias("text"))
+        langid.train(docs.limit(1))
+        langid.train(docs, 400)
+        one, sample = counts[-2:]
+        assert 300 < sample / one < 500
+
+
 def test_codewords_are_distinct_and_decode():
     for n in (2, 4, 9):
         codes = langid.codewords(n)
