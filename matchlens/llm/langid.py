@@ -224,6 +224,6 @@ def identify(docs: DataFrame, max_documents: int = TRAIN_DOCUMENTS) -> DataFrame
 
 
 def only_identified(docs: DataFrame, max_documents: int = TRAIN_DOCUMENTS) -> DataFrame:
-    """`docs` without the rows whose language cannot be told: `und`, or nothing but ambiguity."""
+    """`docs` without the rows whose language cannot be told: `und`, so null texts and texts without a letter (if any row has a language). Ambiguous rows stay."""
     found = identify(docs, max_documents)
     return found.where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
