@@ -39,11 +39,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
     def mapped(batches):
         enc = encoder(path)
-        end = np.array([end_id], dtype="<u4")
+        end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             doc, piece, start, length, crc, held = [], [], [], [], [], []
-            for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = np.concatenate([enc.encode(text), end])
+            for d, encoded in zip(b.column("doc_id").to_pylist(), enc.encode_all(b.column("text").to_pylist()), strict=True):
+                ids = np.frombuffer(encoded + end, dtype="<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     cut = ids[at:at + capacity]
                     doc.append(d)

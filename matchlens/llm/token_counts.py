@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
 from .common import bounded_batches, tidy, tokenizer_path
 from .tokens import encoder
 
@@ -30,7 +31,7 @@ def token_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
     def mapped(batches):
         enc = encoder(path)
         for b in batches:
-            n = np.fromiter((len(enc.encode(t)) for t in b.column("text").to_pylist()), dtype=np.int64, count=b.num_rows)
+            n = np.fromiter(map(len, enc.encode_all(b.column("text").to_pylist())), dtype=np.int64, count=b.num_rows) // 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n)], ["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(mapped), "doc_id long, n_tokens long")
@@ -43,6 +44,7 @@ def histogram(lengths: DataFrame) -> DataFrame:
 
 def limits(counts: DataFrame, block: int = BLOCK) -> DataFrame:
     """`counts` (length, n_docs) with totals for each length as the context limit."""
+    counts = stage(counts, "lengths")  # read twice below; the texts are encoded once
     rows = counts.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / block).alias("block"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # over blocks: few rows

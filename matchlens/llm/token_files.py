@@ -12,7 +12,7 @@ Files are written with pyarrow's file systems: the folder is a path or URI that
 the executors share.
 
 Edge cases: null and empty text is the end id alone. Repeated ids stay, ordered
-by text. A null doc_id comes first and is stored as the least 64-bit integer. An
+by text; texts of one id that begin with the same 64 characters go to one part. A null doc_id comes first and is stored as the least 64-bit integer. An
 empty table gives no parts. Other columns are not read.
 """
 
@@ -34,6 +34,8 @@ from .tokens import encoder
 
 END_ID = 2
 PART_BYTES = 24 << 20
+#: Parts at most; beyond that many, parts are larger.
+MAX_PARTS = 20_000
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -47,12 +49,14 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = rows.repartitionByRange(max(1, -(-size // part_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    parts = max(1, min(-(-size // part_bytes), MAX_PARTS))
+    # the beginning of the text lets rows that share an id, as nulls do, go to several parts
+    ordered = rows.repartitionByRange(parts, F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def mapped(batches):
         enc, fs, part = encoder(path), None, TaskContext.get().partitionId()
         width = 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-        end = np.array([end_id], dtype="<u4")
+        end = np.array([end_id], dtype="<u4").tobytes()
         offsets, docs_seen, first, at = [np.zeros(1, dtype="<u8")], [], None, 0
         for b in batches:
             if not b.num_rows:
@@ -63,13 +67,11 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
                 name = f"{part:06d}-{uuid.uuid4().hex}"
                 out = fs.open_output_stream(f"{root}/_{name}.ids")
                 first = b.column("doc_id")[0].as_py()
-            lengths = []
-            for text in b.column("text").to_pylist():
-                ids = np.concatenate([enc.encode(text), end])
-                out.write(ids.astype(f"<u{width}").tobytes())
-                lengths.append(len(ids))
-            offsets.append(at + np.cumsum(lengths).astype("<u8"))
-            at = int(offsets[-1][-1])
+            blobs = enc.encode_all(b.column("text").to_pylist())
+            out.write(np.frombuffer(end.join([*blobs, b""]), dtype="<u4").astype(f"<u{width}").tobytes())
+            ends = at + np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4 + 1)
+            offsets.append(ends.astype("<u8"))
+            at = int(ends[-1])
             docs_seen.append(b.column("doc_id").fill_null(int(NO_ID)).to_numpy().astype("<i8"))
         if fs is None:
             return
@@ -84,9 +86,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
             pa.array([sum(map(len, docs_seen))], pa.int64()), pa.array([at], pa.int64()),
         ], ["part", "name", "width", "first_id", "n_docs", "n_tokens"])
 
-    parts = stage(ordered.mapInArrow(tidy(mapped), "part int, name string, width int, first_id long, n_docs long, n_tokens long"), "parts")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    return parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
+    files = stage(ordered.mapInArrow(tidy(mapped), "part int, name string, width int, first_id long, n_docs long, n_tokens long"), "parts")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part, 20,000 at most
+    return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
 
 
 def _mapped(fs: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
