@@ -41,7 +41,7 @@ from ..sources.staging import stage
 from .common import WORD, bounded_batches, partitions, tidy
 
 #: Conversations of one shard, about; sampled conversations for each; bytes of all splitter paths.
-SHARD = 4_096
+SHARD = 512
 OVERSAMPLE = 8
 SKELETON_BYTES = 8 << 20
 DIGEST = 32
