@@ -48,6 +48,7 @@ QUERY_BLOCK = 512
 SCALE = 256.0
 #: Products below this add up exactly in doubles.
 EXACT = float(1 << 52)
+HUGE = 1e300
 FIRST_STEP = 32
 
 
@@ -98,26 +99,38 @@ def _matrix(blobs: list[bytes]) -> np.ndarray:
 
 
 def _squares(a: np.ndarray) -> np.ndarray:
-    return np.einsum("ij,ij->i", a, a)
+    """Squared lengths; infinite from `HUGE` on, where nothing is ruled out by a bound."""
+    with np.errstate(over="ignore"):
+        square = np.einsum("ij,ij->i", a, a)
+    return np.where(square < HUGE, square, np.inf)
 
 
 def distances(pivots: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Euclidean distances, a row for each pivot."""
+    """Euclidean distances, a row for each pivot; 0 for vectors of infinite length."""
     m = min(pivots.shape[1], a.shape[1])
-    square = _squares(pivots)[:, None] + _squares(a)[None, :] - 2.0 * (pivots[:, :m] @ a[:, :m].T)
-    return np.sqrt(np.maximum(square, 0.0))
+    length = _squares(a)
+    known = np.isfinite(length)
+    near = np.where(known[:, None], a[:, :m], 0.0)
+    square = _squares(pivots)[:, None] + np.where(known, length, 0.0)[None, :] - 2.0 * (pivots[:, :m] @ near.T)
+    return np.where(known[None, :], np.sqrt(np.maximum(square, 0.0)), 0.0)
 
 
 def choose_pivots(rows: DataFrame, n: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
     """At most `n` vectors of a sample, each the farthest from those before it."""
     some = rows.select("v", F.xxhash64("row", "v").alias("h")).orderBy("h", "v").limit(sample).collect()
     a = _matrix([bytes(r["v"]) for r in some])
+    if len(a):  # outliers are far from everything alike, and their distances are known less exactly
+        a = a[_squares(a) <= 16 * np.median(_squares(a))]
     chosen: list[int] = []
     least = np.full(len(a), np.inf)
     while len(chosen) < min(n, len(a)) and least.max() > 0:
         chosen.append(int(least.argmax()))
         least = np.minimum(least, distances(a[chosen[-1:]], a)[0])
-    return a[chosen]
+    return np.where(np.isfinite(_squares(a[chosen]))[:, None], a[chosen], 0.0)
+
+
+def _reach(pivots: np.ndarray) -> float:
+    return float(np.sqrt(_squares(pivots).max(initial=0.0)))
 
 
 _BLOCK_SCHEMA = "block long, n int, width int, ids binary, no_id binary, rows binary, v binary, squares binary, dist binary, lo array<double>, hi array<double>, most double"
@@ -171,17 +184,21 @@ def _scores(q: np.ndarray, a: np.ndarray, exact: bool) -> np.ndarray:
     return np.array([min(max(sum(int(x) * y for x, y in zip(row, whole, strict=True)), limits.min), limits.max) for row in a[:, :m]], dtype=np.int64)
 
 
-def meet(q: Block, x: Block, known: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray, int]:
-    """For each query the places in `x` of its best `k` that reach its `known` k-th score, the k-th score now, and how many were scored."""
+def meet(q: Block, x: Block, known: np.ndarray, k: int, reach: float) -> tuple[list[np.ndarray], np.ndarray, int]:
+    """For each query the places in `x` of its best `k` that reach its `known` k-th score, the k-th score now, and how many were scored.
+
+    `reach` is the greatest length of a pivot: distances are known to about a millionth of the lengths that they come from.
+    """
     found, least, scored = [], known.copy(), 0
-    exact = float(q.squares.max()) * float(x.squares.max()) < EXACT * EXACT
+    most = float(q.squares.max()), float(x.squares.max())
+    exact = max(most) < np.inf and most[0] * most[1] < EXACT * EXACT
     for i in range(len(q.ids)):
         gap = np.zeros(len(x.ids))
         for p in range(len(x.dist)):
             np.maximum(gap, np.abs(x.dist[p] - q.dist[p, i]), out=gap)
         sums = q.squares[i] + x.squares
         slack = 1e-6 + 1e-9 * sums  # more than rounding can be
-        bound = (sums - np.maximum(gap - 1e-6 - 1e-7 * np.sqrt(sums), 0.0) ** 2) / 2 + slack
+        bound = (sums - np.maximum(gap - 1e-6 * (1 + reach + np.sqrt(sums)), 0.0) ** 2) / 2 + slack
         open_ = np.flatnonzero((bound >= known[i]) & (x.rows != q.rows[i]))
         order = open_[np.argsort(-bound[open_], kind="stable")]
         best, best_scores, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, FIRST_STEP
@@ -204,7 +221,7 @@ _FOUND = "array<struct<query_row:long,query_id:long,row:long,vec_id:long,score:l
 _MET_SCHEMA = f"q_block long, x_block long, least double, known binary, n_scored long, found {_FOUND}"
 
 
-def _meet_pairs(pairs: DataFrame, queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+def _meet_pairs(pairs: DataFrame, queries: DataFrame, candidates: DataFrame, k: int, reach: float) -> DataFrame:
     """Pairs (q_block, x_block, known) of blocks to what they find; staged."""
 
     def mapped(batches):
@@ -212,7 +229,7 @@ def _meet_pairs(pairs: DataFrame, queries: DataFrame, candidates: DataFrame, k:
             for r in b.to_pylist():
                 q, x = Block.of(r, "q_"), Block.of(r, "x_")
                 known = np.full(len(q.ids), -np.inf) if r["known"] is None else np.frombuffer(r["known"], "<f8")
-                found, least, scored = meet(q, x, known, k)
+                found, least, scored = meet(q, x, known, k, reach)
                 each = np.repeat(np.arange(len(found)), [len(f) for f, _ in found])
                 at, score = (np.concatenate(part).astype(np.int64) for part in zip(*found, strict=True))
                 rows = pa.StructArray.from_arrays([
@@ -234,14 +251,14 @@ def _meet_pairs(pairs: DataFrame, queries: DataFrame, candidates: DataFrame, k:
         return stage(both.mapInArrow(tidy(mapped), _MET_SCHEMA), "met")
 
 
-def _block_bounds(queries: DataFrame, candidates: DataFrame, n_blocks: int) -> DataFrame:
+def _block_bounds(queries: DataFrame, candidates: DataFrame, n_blocks: int, reach: float) -> DataFrame:
     """(q_block, x_block, bound): the greatest score that a pair of blocks can hold."""
     q = queries.select(F.col("block").alias("q_block"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"), F.col("most").alias("q_most"),
                        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("x_block"))
     x = candidates.select(F.col("block").alias("x_block"), F.col("lo").alias("x_lo"), F.col("hi").alias("x_hi"), F.col("most").alias("x_most"))
     gap = F.expr("coalesce(array_max(transform(sequence(0, size(q_lo) - 1), i -> greatest(q_lo[i] - x_hi[i], x_lo[i] - q_hi[i], 0D))), 0D)")
     sums = F.col("q_most") + F.col("x_most")
-    held = F.greatest(gap - 1e-6 - F.sqrt(sums) * 1e-7, F.lit(0.0))
+    held = F.greatest(gap - (F.sqrt(sums) + F.lit(1 + reach)) * 1e-6, F.lit(0.0))
     return q.join(x, "x_block").select("q_block", "x_block", ((sums - held * held) / 2 + 1e-6 + sums * 1e-9).alias("bound"))
 
 
@@ -275,11 +292,11 @@ def search(embeddings: DataFrame, every: int, k: int, pivots: int, block: int, q
     keys = (F.col("cell"), F.col("d"), F.col("row"))
     candidates = _blocks(ranked(placed, *keys), points, block)
     queries = _blocks(ranked(placed.where(F.col("vec_id") % every == 0), *keys), points, query_block)
-    n_blocks = candidates.count()
-    bounds = stage(_block_bounds(queries, candidates, n_blocks), "bounds")
+    n_blocks, reach = candidates.count(), _reach(points)
+    bounds = stage(_block_bounds(queries, candidates, n_blocks, reach), "bounds")
     first = bounds.groupBy("q_block").agg(F.max_by("x_block", F.struct("bound", "x_block")).alias("x_block"))
-    met = _meet_pairs(first.withColumn("known", F.lit(None).cast("binary")), queries, candidates, k)
+    met = _meet_pairs(first.withColumn("known", F.lit(None).cast("binary")), queries, candidates, k, reach)
     known = met.select("q_block", F.col("x_block").alias("first"), "known", "least")
     rest = bounds.join(known, "q_block").where((F.col("x_block") != F.col("first")) & (F.col("bound") >= F.col("least")))
-    all_met = met.unionByName(_meet_pairs(rest.select("q_block", "x_block", "known"), queries, candidates, k))
+    all_met = met.unionByName(_meet_pairs(rest.select("q_block", "x_block", "known"), queries, candidates, k, reach))
     return all_met.select(F.inline("found")), all_met
