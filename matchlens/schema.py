@@ -121,11 +121,16 @@ class Corpus:
             df.createOrReplaceTempView(name)
 
 
-def open_corpus(spark: SparkSession, root: str, catalog: DataFrame | None = None) -> Corpus:
-    """Read a corpus directory written by `sources.sinks.replace_matches`.
+def open_corpus(spark: SparkSession, root: str, catalog: DataFrame | None = None, version: int | None = None) -> Corpus:
+    """Open a corpus directory: its newest snapshot (or that of a version), or plain
+    table folders where it has no snapshots.
 
     Every table must be there; schemas are the fixed ones, never inferred.
     """
+    from .sources import snapshots
+
+    if version is not None or snapshots.versions(spark, root):
+        return snapshots.open_snapshot(spark, root, version, catalog)
     reader = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = reader.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [f.name for f in fields(Corpus) if f.name != "catalog"]

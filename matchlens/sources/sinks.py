@@ -9,17 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import frame_seconds, matchup_text, padded_clock
 from ..operators.ordered import ordered_scan, text_place
-from ..schema import MANIFEST_VERSION, SCHEMA_VERSION, TABLES, column_names
+from ..schema import MANIFEST_VERSION, SCHEMA_VERSION
 from .bundles import latest_manifests, read_manifests, read_matches
-from .staging import stage
+from .snapshots import commit
 
 BUCKET = "replay_bucket"
 BUCKETS = 64
-# Order of columns that lets Parquet statistics prune.
-SORT = {
-    "build_order_events": ["replay_id", "owner", "item_lc", "time_seconds"],
-    "unit_count_samples": ["replay_id", "owner", "unit_type_lc", "time_seconds"],
-}
 
 
 def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
@@ -93,8 +88,8 @@ def batch_report(manifests: DataFrame, batch_size: int = 10) -> DataFrame:
     )
 
 
-def ingest(spark: SparkSession, analysis_root: str, corpus_root: str, *, batch_size: int = 10, buckets: int = BUCKETS) -> dict[str, DataFrame]:
-    """Read all analyses below a folder and replace their matches in the corpus.
+def ingest(spark: SparkSession, analysis_root: str, corpus_root: str, *, batch_size: int = 10, buckets: int | None = None) -> dict[str, DataFrame]:
+    """Read all analyses below a folder and replace their matches in the corpus, in one commit.
 
     Returns the batch report and the errors; matches with errors are left out.
     Every archive is opened once for all tables.
@@ -107,15 +102,13 @@ def ingest(spark: SparkSession, analysis_root: str, corpus_root: str, *, batch_s
     return {"batches": batch_report(found.good, batch_size), "errors": faults}
 
 
-def write_tables(tables: dict[str, DataFrame], corpus_root: str, *, buckets: int = BUCKETS) -> None:
-    """Replace the incoming matches in every corpus table."""
+def write_tables(tables: dict[str, DataFrame], corpus_root: str, *, buckets: int | None = None, tag: tuple[str, int] | None = None) -> None:
+    """Replace the incoming matches in every corpus table, all tables in one commit."""
+    commit(tables, corpus_root, tag=tag, parts=buckets)
     spark = tables["replays"].sparkSession
-    ids = stage(tables["replays"].select("replay_id"), "ids")
-    for name, df in tables.items():
-        layout = column_names(TABLES[name])
-        replace_matches(df.select(*layout), f"{corpus_root}/{name}", ids, buckets=buckets, sort=SORT.get(name, ()))
-    meta = spark.range(1).select(F.lit("schema_version").alias("key"), F.lit(SCHEMA_VERSION).alias("value"))
-    meta.write.mode("overwrite").parquet(f"{corpus_root}/schema_metadata")
+    if not _exists(spark, f"{corpus_root}/schema_metadata"):
+        meta = spark.range(1).select(F.lit("schema_version").alias("key"), F.lit(SCHEMA_VERSION).alias("value"))
+        meta.write.mode("overwrite").parquet(f"{corpus_root}/schema_metadata")
 
 
 def series_documents(samples: DataFrame, keys: Sequence[str], fields: Sequence[str], schema_version: str, slice_seconds: float | None = None) -> DataFrame:
