@@ -14,8 +14,9 @@ from ..operators import pattern
 from ..operators.ordered import ordered_scan
 from ..operators.starters import STARTERS
 from ..schema import TABLES, Corpus, column_names, open_corpus
-from ..sources import bundles, inventory, sinks, staging
+from ..sources import bundles, inventory, sinks, snapshots, staging
 from ..sql import capped_query
+from ..streaming import jobs
 from .adapters import Tables
 from .event_queries import PLAYER
 from .registry import query
@@ -160,13 +161,11 @@ def _put_files(files: DataFrame) -> None:
     files.mapInPandas(put, "n bigint").agg(F.sum("n")).collect()
 
 
-def _ingested(t: Tables) -> tuple[Corpus, dict[str, DataFrame]]:
-    """Analyses of all suppliers written as files and taken in twice, and the report of the second time."""
-    root, store = staging.new_path(t.spark, "analyses"), staging.new_path(t.spark, "corpus")
+def _analyses(t: Tables, root: str) -> tuple[DataFrame, DataFrame]:
+    """(path, content) of the archives and of the manifests of all suppliers, as files below `root`."""
     archives = staging.stage(_archives(t), "archives")
     name = F.concat(F.lit("player_"), F.col("owner").cast("string"), F.lit(".zip"))
     folder = F.concat(F.lit(f"{root}/"), F.col("replay_id").cast("string"), F.lit("/"))
-    _put_files(archives.select(F.concat(folder, name).alias("path"), "content"))
     people = archives.groupBy("replay_id").agg(
         F.array_sort(F.collect_list(F.struct("owner", F.lit("n").alias("name"), F.lit("zerg").alias("race"), name.alias("zip_filename")))).alias("players")
     )
@@ -174,23 +173,35 @@ def _ingested(t: Tables) -> tuple[Corpus, dict[str, DataFrame]]:
         F.lit("replay-analysis-manifest-v1").alias("schema_version"), F.col("replay_id").cast("string").alias("replay_id"),
         F.lit("ZvZ").alias("matchup"), "players",
     ))
-    _put_files(people.select(F.concat(folder, F.lit("manifest.json")).alias("path"), text.cast("binary").alias("content")))
+    manifests = people.select(F.concat(folder, F.lit("manifest.json")).alias("path"), text.cast("binary").alias("content"))
+    return archives.select("replay_id", F.concat(folder, name).alias("path"), "content"), manifests
+
+
+def _ingested(t: Tables) -> tuple[Corpus, dict[str, DataFrame]]:
+    """Analyses of all suppliers written as files and taken in twice, and the report of the second time."""
+    root, store = staging.new_path(t.spark, "analyses"), staging.new_path(t.spark, "corpus")
+    for files in _analyses(t, root):
+        _put_files(files.select("path", "content"))
     for _ in range(2):
         report = sinks.ingest(t.spark, root, store, buckets=4)
     return open_corpus(t.spark, store), report
 
 
-@query(
-    base="m",
-    sql="""
+_SERIES_TOTALS = """
 WITH c AS (SELECT *, (row_number() OVER (PARTITION BY owner ORDER BY time_seconds, replay_id * 100000000 + seq) - 1) // 200 AS chunk FROM lines),
 e AS (SELECT owner AS replay_id, CAST(chunk AS INT) AS owner, count(*) AS samples, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS minerals, CAST(sum(l_linenumber) AS BIGINT) AS workers
  FROM c WHERE owner % 11 NOT IN (3, 4) GROUP BY ALL)
-SELECT CAST(replay_id AS VARCHAR) AS replay_id, owner, 'ZvZ' AS matchup, samples, minerals, workers, samples AS events, CAST(1 AS BIGINT) AS supplies FROM e""",
-)
+SELECT CAST(replay_id AS VARCHAR) AS replay_id, owner, 'ZvZ' AS matchup, samples, minerals, workers, samples AS events, CAST(1 AS BIGINT) AS supplies FROM e"""
+
+
+@query(base="m", sql=_SERIES_TOTALS)
 def ingest_end_to_end(t: Tables) -> DataFrame:
     """Files in, corpus tables out: every series of every match without a fault, once though taken in twice."""
     c, _ = _ingested(t)
+    return _series_totals(c)
+
+
+def _series_totals(c: Corpus) -> DataFrame:
     economy = c.economy_samples.groupBy(*K).agg(F.count(F.lit(1)).alias("samples"), F.sum("minerals").alias("minerals"), F.sum("workers").alias("workers"))
     events = c.build_order_events.groupBy(*K).agg(F.count(F.lit(1)).alias("events"))
     supplies = c.supply_samples.groupBy(*K).agg(F.count(F.lit(1)).alias("supplies"))
@@ -200,6 +211,65 @@ def ingest_end_to_end(t: Tables) -> DataFrame:
     )
 
 
+@query(base="m", sql=_SERIES_TOTALS)
+def stream_ingest(t: Tables) -> DataFrame:
+    """All manifests first, archives after them in two parts: the stream takes a match in when its last archive is there."""
+    root, store, mark = (staging.new_path(t.spark, x) for x in ("analyses", "corpus", "checkpoint"))
+    archives, manifests = _analyses(t, root)
+    last = F.pmod(F.hash("path"), F.lit(2)) == 1
+    for files in (manifests, archives.where(~last), archives.where(last)):
+        _put_files(files.select("path", "content"))
+        jobs.ingest_stream(t.spark, root, store, mark, buckets=4).awaitTermination()
+    return _series_totals(open_corpus(t.spark, store))
+
+
+def _as_stored(t: Tables) -> dict[str, DataFrame]:
+    """The corpus tables with the types that are stored."""
+    out = {}
+    for name, df in t.corpus.tables().items():
+        layout = [part.split() for part in TABLES[name].split(",")]
+        out[name] = df.select(*[F.col(c).cast(kind).alias(c) for c, kind in layout])
+    return out
+
+
+@query(
+    base="m",
+    sql="""
+WITH e AS (SELECT replay_id, count(*) AS all_events, count(*) FILTER (event_seq % 2 = 0) AS even_events FROM build_order_events GROUP BY ALL),
+s AS (SELECT replay_id, count(*) AS samples FROM economy_samples GROUP BY ALL),
+m AS (SELECT replay_id, matchup, coalesce(all_events, 0) AS all_events, coalesce(even_events, 0) AS even_events, coalesce(samples, 0) AS samples
+ FROM replays LEFT JOIN e USING (replay_id) LEFT JOIN s USING (replay_id))
+SELECT 'failed' AS after, CAST(replay_id AS VARCHAR) AS replay_id, matchup, all_events AS events, samples FROM m
+UNION ALL
+SELECT 'committed', CAST(replay_id AS VARCHAR), CASE WHEN replay_id % 4 = 0 THEN 'again' ELSE matchup END,
+ CASE WHEN replay_id % 4 = 0 THEN even_events ELSE all_events END, CASE WHEN replay_id % 4 = 0 THEN 0 ELSE samples END FROM m""",
+)
+def ingest_atomic(t: Tables) -> DataFrame:
+    """A quarter of the matches replaced in all tables: once with a failure between tables, which readers must not see, then whole."""
+    root = staging.new_path(t.spark, "corpus")
+    tables = _as_stored(t)
+    snapshots.commit(tables, root)
+    chosen = F.col("replay_id").cast("bigint") % 4 == 0
+    changed = {n: df.where(chosen) for n, df in tables.items()}
+    changed["replays"] = changed["replays"].withColumn("matchup", F.lit("again"))
+    changed["build_order_events"] = changed["build_order_events"].where("event_seq % 2 = 0")
+    changed["economy_samples"] = changed["economy_samples"].limit(0)
+    fails = changed["supply_samples"].withColumn("current", F.raise_error(F.lit("forced failure")).cast("int"))
+    states = []
+    for after, incoming in (("failed", {**changed, "supply_samples": fails}), ("committed", changed)):
+        try:
+            snapshots.commit(incoming, root)
+        except Exception as error:
+            if after != "failed" or "forced failure" not in str(error):
+                raise
+        c = open_corpus(t.spark, root)
+        events = c.build_order_events.groupBy("replay_id").agg(F.count(F.lit(1)).alias("events"))
+        samples = c.economy_samples.groupBy("replay_id").agg(F.count(F.lit(1)).alias("samples"))
+        states.append(c.replays.join(events, "replay_id", "left").join(samples, "replay_id", "left").select(
+            F.lit(after).alias("after"), "replay_id", "matchup", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("samples", F.lit(0)).alias("samples")))
+    return states[0].unionByName(states[1])
+
+
 @query(
     base="m",
     sql="""

@@ -1,8 +1,9 @@
 """Incremental forms of the operators on Structured Streaming.
 
 Late-data policy: rows more than the watermark delay behind are dropped by the
-window aggregates; the keyed operators report a row older than what they have
-already seen as `late`, for a side table.
+window aggregates here (`late.py` has windows and sessions that keep them in a
+side table); the keyed operators report a row older than what they have already
+seen as `late`, for a side table.
 """
 
 from __future__ import annotations
@@ -10,17 +11,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import loss_lane
-from ..sources.bundles import ARCHIVE_MISSING, latest_manifests, parse_manifests, read_manifests, read_matches
+from ..sources.bundles import ARCHIVE_MISSING, latest_manifests, parse_manifests, read_matches
 from ..sources.sinks import write_tables
 from ..sources.staging import stage
 
 DELAY = "10 minutes"
 HOLD_MS = 600_000
+#: What the binary file source reports; contents are read only where they are selected.
+FILE_LISTING = "path string, modificationTime timestamp, length long, content binary"
 
 
 def loss_windows(
@@ -201,55 +204,111 @@ def research_starts(
     )
 
 
-def manifest_stream(spark: SparkSession, root: str, per_trigger: int = 1000) -> DataFrame:
-    """New manifests below a folder, each seen once per checkpoint."""
+def analysis_stream(spark: SparkSession, root: str, per_trigger: int = 1000) -> DataFrame:
+    """Paths of new manifests and archives below a folder, each seen once per checkpoint; no contents."""
     return (
-        spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").option("wholetext", True)
-        .option("maxFilesPerTrigger", per_trigger).text(root)
-        .select(F.col("_metadata.file_path").alias("manifest_path"), F.col("value").alias("text"))
+        spark.readStream.format("binaryFile").schema(FILE_LISTING)
+        .option("recursiveFileLookup", True).option("pathGlobFilter", "{manifest.json,*.zip}")
+        .option("maxFilesPerTrigger", per_trigger).load(root).select(F.col("path").alias("path"))
     )
 
 
-def ingest_batch(corpus_root: str, errors_path: str, buckets: int) -> Callable[[DataFrame, int], None]:
-    """Replace the matches of one batch; running a batch again changes nothing."""
+def _plain(path: Column | str) -> Column:
+    """File sources report file:/x or file:///x."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def open_manifests(spark: SparkSession, corpus_root: str, before: int | None = None) -> DataFrame | None:
+    """Manifests that wait for an archive, after the last batch (or the last before a batch)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{corpus_root}/_open")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    # a folder counts once Spark has marked it as whole
+    done = [f.getPath() for f in fs.listStatus(folder) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    numbers = sorted(int(p.getName().removeprefix("batch=")) for p in done)
+    numbers = [n for n in numbers if before is None or n < before]
+    return spark.read.parquet(f"{corpus_root}/_open/batch={numbers[-1]}") if numbers else None
+
+
+def current_errors(spark: SparkSession, corpus_root: str) -> DataFrame:
+    """What is wrong now: the errors of each match's last attempt, of each manifest's last reading, and archives still waited for."""
+    errors = spark.read.option("basePath", f"{corpus_root}/_errors").parquet(f"{corpus_root}/_errors")
+    tried = spark.read.option("basePath", f"{corpus_root}/_attempts").parquet(f"{corpus_root}/_attempts")
+    last = tried.groupBy("subject").agg(F.max("batch").alias("batch"))
+    subject = F.coalesce("replay_id", _plain("path"))
+    return errors.withColumn("subject", subject).join(last, ["subject", "batch"], "left_semi").drop("subject", "batch")
+
+
+def ingest_batch(corpus_root: str, stream: str, buckets: int | None) -> Callable[[DataFrame, int], None]:
+    """Take in what one batch of paths completes; running a batch again changes nothing.
+
+    New manifests join those that wait for an archive. A match whose archives are
+    not all there stays in the table of open manifests and is tried again when a
+    batch brings an archive of its folder; all others are committed or have errors.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        found = parse_manifests(stage(batch, "batch"))
-        manifests = latest_manifests(found.good)
-        # At most maxFilesPerTrigger folders: only they are listed, not the whole root.
-        folders = [r[0] for r in manifests.select(F.regexp_replace("manifest_path", "/[^/]*$", "")).distinct().collect()]
-        faults = found.errors.withColumn("replay_id", F.lit(None).cast("string"))
+        paths = stage(batch.select(_plain("path").alias("path")), "batch")
+        folder = F.regexp_replace("path", "/[^/]*$", "")
+        # At most maxFilesPerTrigger names: only these files are read, not the whole root.
+        named = [r[0] for r in paths.where(F.col("path").endswith("/manifest.json")).collect()]
+        texts = (
+            spark.read.option("wholetext", True).text(named).select(_plain(F.col("_metadata.file_path")).alias("manifest_path"), F.col("value").alias("text"))
+            if named else spark.createDataFrame([], "manifest_path string, text string")
+        )
+        found = parse_manifests(stage(texts, "texts"))
+        waiting = open_manifests(spark, corpus_root, batch_id)
+        fresh = found.good if waiting is None else found.good.unionByName(waiting.select(*found.good.columns))
+        manifests = stage(latest_manifests(fresh), "manifests")
+        own = F.regexp_replace("manifest_path", "/[^/]*$", "").alias("folder")
+        touched = paths.select(folder.alias("folder")).distinct()
+        due = stage(manifests.select("*", own).join(touched, "folder", "left_semi").drop("folder"), "due")
+        folders = [r[0] for r in due.select(own).distinct().collect()]
+        columns = ["replay_id", "path", "member", "reason"]
+        faults = found.errors.withColumn("replay_id", F.lit(None).cast("string")).select(*columns)
+        missing = None
         if folders:
-            tables, errors = read_matches(spark, manifests, folders)
-            write_tables(tables, corpus_root, buckets=buckets)
-            faults = faults.unionByName(errors)
-        faults.write.mode("overwrite").parquet(f"{errors_path}/batch={batch_id}")
+            tables, errors = read_matches(spark, due, folders)
+            missing = errors.where(F.col("reason") == ARCHIVE_MISSING).select("replay_id").distinct()
+            write_tables(tables, corpus_root, buckets=buckets, tag=(stream, batch_id))
+            faults = faults.unionByName(errors.select(*columns))
+        rest = manifests.join(due.select("replay_id"), "replay_id", "left_anti")
+        if missing is not None:
+            rest = rest.unionByName(due.join(missing, "replay_id", "left_semi"))
+        faults.write.mode("overwrite").parquet(f"{corpus_root}/_errors/batch={batch_id}")
+        tried = due.select(F.col("replay_id").alias("subject")).unionByName(texts.select(F.col("manifest_path").alias("subject")))
+        tried.distinct().write.mode("overwrite").parquet(f"{corpus_root}/_attempts/batch={batch_id}")
+        rest.write.mode("overwrite").parquet(f"{corpus_root}/_open/batch={batch_id}")
 
     return run
 
 
 def ingest_stream(
-    spark: SparkSession, root: str, corpus_root: str, checkpoint: str, *, per_trigger: int = 1000, buckets: int = 64
+    spark: SparkSession, root: str, corpus_root: str, checkpoint: str, *, per_trigger: int = 1000, buckets: int | None = None
 ):
-    """Keep the corpus up to date with an analysis folder; returns the started query."""
+    """Keep the corpus up to date with an analysis folder; returns the started query.
+
+    The stream sees manifests and archives as files of their own, so a match is
+    taken in when the last of them arrives, in whatever order they come.
+    """
     return (
-        manifest_stream(spark, root, per_trigger).writeStream
-        .foreachBatch(ingest_batch(corpus_root, f"{corpus_root}/_errors", buckets))
+        analysis_stream(spark, root, per_trigger).writeStream
+        .foreachBatch(ingest_batch(corpus_root, checkpoint, buckets))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def retry_missing(spark: SparkSession, root: str, corpus_root: str, *, buckets: int = 64) -> DataFrame:
-    """Ingest again the matches whose archive was not there yet when the stream saw their manifest.
+def retry_missing(spark: SparkSession, root: str, corpus_root: str, *, buckets: int | None = None) -> DataFrame:
+    """Take in, without a stream, the open manifests whose archives are there by now; returns the errors that remain.
 
-    The stream sees a manifest once, so this is a job to run from time to time.
-    Matches that have arrived meanwhile are replaced by themselves. Returns the
-    errors that remain.
+    A running stream does this by itself when the archive arrives.
     """
-    late = spark.read.parquet(f"{corpus_root}/_errors").where(F.col("reason") == ARCHIVE_MISSING).select("replay_id").distinct()
-    manifests = latest_manifests(read_manifests(spark, root).good).join(late, "replay_id", "left_semi")
-    tables, errors = read_matches(spark, manifests, root)
+    waiting = open_manifests(spark, corpus_root)
+    if waiting is None:
+        return spark.createDataFrame([], "replay_id string, path string, member string, reason string")
+    tables, errors = read_matches(spark, waiting, root)
     write_tables(tables, corpus_root, buckets=buckets)
     return errors
 

@@ -274,6 +274,55 @@ def test_sql(spark, one):
     assert bounded_sql(spark, "SELECT 'reflect(' AS a")[0][0].a == "reflect("
 
 
+HIDDEN = r"""SELECT reflect/**/('java.lang.System', 'getProperty', 'java.version')
+SELECT `reflect`('java.lang.System', 'getProperty', 'java.version')
+SELECT 1 -- it's\n, reflect('java.lang.System', 'getProperty', 'java.version')
+SELECT * FROM parquet/**/.`/tmp/x`
+SELECT 1) AS q UNION ALL SELECT * FROM (SELECT 2
+SELECT * FROM replays WHERE EXISTS (SELECT try_reflect('a', 'b'))
+SELECT item FROM (SELECT * FROM build_order_events) WHERE owner IN (SELECT id FROM secret)
+SELECT count(*) OVER w FROM replays WINDOW w AS (PARTITION BY java_method('java.lang.System', 'nanoTime'))
+WITH a AS (SELECT * FROM secret) SELECT * FROM a
+SELECT * FROM (WITH secret AS (SELECT 1 AS b) SELECT * FROM secret), secret
+WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS c) SELECT * FROM a
+SELECT * FROM IDENTIFIER('secret')
+SELECT IDENTIFIER('reflect')('java.lang.System', 'nanoTime')
+SELECT TRANSFORM(item) USING 'cat' AS (x) FROM build_order_events
+SELECT transform(array(1), x -> reflect('java.lang.System', 'nanoTime'))
+SELECT max(reflect('java.lang.System', 'nanoTime')) FROM replays HAVING count(*) > 0
+SELECT * FROM replays ORDER BY reflect('java.lang.System', 'nanoTime')
+SELECT * FROM replays, LATERAL (SELECT reflect('java.lang.System', 'nanoTime') AS r)
+SELECT own(item) FROM build_order_events
+SELECT x FROM replays LATERAL VIEW own(1) e AS x
+SELECT spark_catalog.default.own(1)
+SELECT * FROM spark_catalog.default.replays
+SELECT current_user()
+FROM replays INSERT INTO x SELECT *
+EXPLAIN SELECT 1
+SHOW TABLES
+CACHE TABLE replays
+BEGIN SELECT 1; END"""
+
+
+def test_sql_guard_reads_the_plan(spark, one):
+    one.create_views()
+    spark.range(1).createOrReplaceTempView("secret")
+    spark.udf.register("own", lambda x: x)
+    for bad in HIDDEN.splitlines():
+        with pytest.raises(Exception) as seen:
+            bounded_sql(spark, bad.replace("\\n", "\n"))
+        assert isinstance(seen.value, ValueError) or "PARSE" in str(seen.value), bad
+    fine = """WITH a AS (SELECT owner, item, count(*) AS n FROM build_order_events GROUP BY owner, item), b AS (SELECT * FROM a WHERE n > 0)
+SELECT upper(item) AS i, row_number() OVER (PARTITION BY owner ORDER BY n, item) AS r, transform(array(1, 2), x -> x + n) AS t,
+ CASE WHEN EXISTS (SELECT 1 FROM replays WHERE duration_seconds > ?) THEN 'reflect(' ELSE "it's" END AS c
+FROM b JOIN players USING (owner) WHERE item IN (SELECT item FROM build_order_events) /* reflect('a') */ ORDER BY i LIMIT 10 -- java_method('"""
+    assert bounded_sql(spark, fine, [0])[0]
+    assert bounded_sql(spark, "SELECT * FROM VALUES (1, 'a'), (2, 'b') AS t(x, y)")[0][1].y == "b"
+    assert bounded_sql(spark, "SELECT x FROM replays LATERAL VIEW explode(array(1, 2)) e AS x UNION SELECT 3")[1] == ["x"]
+    rows, _, cut = bounded_sql(spark, "SELECT id FROM range(5)", max_rows=4)
+    assert len(rows) == 4 and cut
+
+
 def test_starters(one):
     for report in STARTERS.values():
         whole = report(one).collect()

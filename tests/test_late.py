@@ -104,3 +104,38 @@ def test_sessions(spark, source, tmp_path):
     # a row that is not late may still fall between sessions that have closed; then it is a session of its own
     both, want = done + still, slow_sessions(kept, 15)
     assert sum((want - both).values()) <= 2 and (want & both).total() > 50
+
+
+def test_stream_takes_in_a_manifest_ahead_of_its_archive(spark, tmp_path):
+    from fixtures import write_match
+
+    from matchlens.schema import open_corpus
+    from matchlens.streaming import jobs
+
+    root, store, mark = tmp_path / "in", str(tmp_path / "corpus"), str(tmp_path / "cp")
+    p = {"owner": 1, "name": "x", "race": "zerg", "lines": ["00:10 Drone"]}
+
+    def step():
+        jobs.ingest_stream(spark, str(root), store, mark, per_trigger=3, buckets=2).awaitTermination()
+        waiting = {r.replay_id for r in jobs.open_manifests(spark, store).collect()}
+        wrong = {(r.replay_id, r.reason) for r in jobs.current_errors(spark, store).collect()}
+        return {r.replay_id for r in open_corpus(spark, store).replays.collect()}, waiting, wrong
+
+    folder = write_match(root, "a", "m1", [p, {**p, "owner": 2}])
+    one, two = (folder / f"player_{i}.zip" for i in (1, 2))
+    held = one.read_bytes(), two.read_bytes()
+    one.unlink(), two.unlink()
+    write_match(root, "b", "m2", [p])
+    gone = {("m1", "archive not found")}
+    assert step() == ({"m2"}, {"m1"}, gone)
+    one.write_bytes(held[0])
+    write_match(root, "c", "m3", [{**p, "lines": ["oops"]}])
+    have, waiting, wrong = step()
+    assert (have, waiting) == ({"m2"}, {"m1"}) and wrong == gone | {("m3", "invalid line: oops")}
+    two.write_bytes(held[1])
+    have, waiting, wrong = step()
+    assert (have, waiting) == ({"m1", "m2"}, set()) and wrong == {("m3", "invalid line: oops")}
+    assert open_corpus(spark, store).players.where("replay_id = 'm1'").count() == 2
+    before = step()
+    jobs.ingest_batch(store, mark, 2)(spark.createDataFrame([(f"file:{two}",)], "path string"), 1)  # a batch once more after a failure
+    assert step()[0] == before[0]
