@@ -4,7 +4,7 @@ The tokenizer in use lower-cases, cuts text into parts by a pattern and drops
 white space; nothing it does looks across parts. A text of printable Latin-1 and
 white space is therefore cut here, by the same pattern spelt out for those
 characters, and each part is given to the tokenizer's model once; its ids are
-kept as bytes, for a bounded number of parts, as long as the worker lives. Other
+kept as bytes, for a bounded number of parts, as long as the task runs. Other
 texts, and texts that may hold a special token, are cut at white space and each
 piece goes through the whole tokenizer. Other tokenizer files are encoded text
 by text.
@@ -22,21 +22,17 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Parts kept by one worker, in two generations: some 100 MB.
-KEPT = 600_000
+#: Parts kept by one task, in two generations: some 70 MB.
+KEPT = 400_000
 #: The pattern of the tokenizer file for which texts are cut here.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Anything but printable Latin-1 and white space; what is left is not changed by normalization.
 _odd = re.compile("[^\t-\r -~¡-ÿ]").search
-_WORKERS_OWN: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file: what one task has learnt serves the next. One file's encoder is kept."""
-    if path not in _WORKERS_OWN:
-        _WORKERS_OWN.clear()
-        _WORKERS_OWN[path] = Encoder(path)
-    return _WORKERS_OWN[path]
+    """A task's encoder for a file; it goes when the task ends, since a worker lives on for stages that need the memory."""
+    return Encoder(path)
 
 
 def _byte_letters() -> dict[int, str]:
