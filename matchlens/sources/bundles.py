@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import (
@@ -31,10 +31,9 @@ REQUIRED = ("player.json", "build_order.txt", "economy.json", "supply.json")
 OPTIONAL = ("unit_counts.json", "deaths.json")
 CORRUPT = "_corrupt_record"
 ARCHIVE_MISSING = "archive not found"
-# Parts of a line: the clock, then supply in brackets where it is given, then the item.
-CLOCK = r"\A[0-9]+:[0-5][0-9]\z"
-SUPPLY = r"\A\[[0-9]+/[0-9]+\]\z"
-LINE_BREAK = "[\n\r\u0085\u2028\u2029]"
+# A line: the clock, then supply in brackets where it is given, then the item, all on one line ("." stops at line breaks).
+LINE = r"\A\s*([0-9]+):([0-5][0-9])\s+(?:\[([0-9]+)/([0-9]+)\][ \t\x0B\f]+)?([^\s\x85\x{2028}\x{2029}](?:.*[^\s\x85\x{2028}\x{2029}])?)\s*\z"
+CUT = "\u0001"
 
 
 @dataclass
@@ -199,25 +198,20 @@ def parse_lines(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_line_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    words = F.split(F.regexp_replace("raw_line", r"^\s+|\s+$", ""), r"\s+", 3)
-    cut = lines.withColumn("_w", words)
-    w = F.col("_w")
-    rest = F.regexp_replace("raw_line", r"^\s*\S+\s+|\s+$", "")
-    fits = (F.size(w) > 1) & w[0].rlike(CLOCK) & ~rest.rlike(LINE_BREAK)
-    supplied = (F.size(w) == 3) & w[1].rlike(SUPPLY)
-    clock = F.split(w[0], ":")
-    supply = F.when(supplied, F.split(F.btrim(w[1], F.lit("[]")), "/"))
-    good = cut.where(fits).select(
-        "replay_id",
-        "owner",
-        (clock[0].cast("bigint") * 60 + clock[1].cast("int")).cast("double").alias("time_seconds"),
-        supply[0].cast("int").alias("supply_used"),
-        supply[1].cast("int").alias("supply_max"),
-        F.when(supplied, w[2]).when(F.size(w) == 2, w[1]).otherwise(rest).alias("item"),
-        "raw_line",
-        F.col("event_seq").cast("bigint").alias("event_seq"),
-    )
-    bad = cut.where(~fits).select(
+    """One pattern judges a line, and the same pattern cuts it, once: its parts are bound as a lambda's argument."""
+    fits = F.col("raw_line").rlike(LINE)
+    parts = F.split(F.regexp_replace("raw_line", LINE, CUT.join(f"${i}" for i in range(1, 6))), CUT, 5)
+
+    def typed(w: Column) -> Column:
+        number = lambda i: F.when(w[i] != "", w[i].cast("int"))
+        return F.struct(
+            (w[0].cast("bigint") * 60 + w[1].cast("int")).cast("double").alias("time_seconds"),
+            number(2).alias("supply_used"), number(3).alias("supply_max"), w[4].alias("item"))
+
+    good = lines.where(fits).select(
+        "replay_id", "owner", "raw_line", F.col("event_seq").cast("bigint").alias("event_seq"), F.inline(F.transform(F.array(parts), typed))
+    ).select("replay_id", "owner", "time_seconds", "supply_used", "supply_max", "item", "raw_line", "event_seq")
+    bad = lines.where(~fits).select(
         "replay_id", F.col("zip_path").alias("path"), F.lit("build_order.txt").alias("member"),
         F.concat(F.lit("invalid line: "), "raw_line").alias("reason"),
     )
