@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import SLICE, ordered_scan
+from .ordered import ordered_scan
 
 SAMPLE = "sample"
 
@@ -85,13 +85,13 @@ def asof_rows(
     rows, carried = _tagged(samples, probes, keys, payload, time, probe_time, tie)
     order = ["_t", "_side", "_tie"]
     scanned = ordered_scan(
-        rows, keys, order, {SAMPLE: ("fill", F.col("_sample"))}, max_rows=max_rows, keep_slice=True
+        rows, keys, order, {SAMPLE: ("fill", F.col("_sample"))}, max_rows=max_rows
     )
     if following or clamp:
         # Backwards a sample at the probe's own time must come before the probe.
         scanned = scanned.withColumn("_back", -F.col("_side"))
         scanned = ordered_scan(
-            scanned, keys, ["_t", "_back", "_tie"], {"next": ("fill", F.col("_sample"))}, reverse=True, max_rows=max_rows, keep_slice=True
+            scanned, keys, ["_t", "_back", "_tie"], {"next": ("fill", F.col("_sample"))}, reverse=True, max_rows=max_rows
         )
     out = scanned.where(F.col("_side") == 1)
     if clamp:

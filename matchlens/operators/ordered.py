@@ -2,18 +2,18 @@
 
 A window function puts all rows of its partition key into one task. That is
 fine for ordinary keys and ruinous when one key holds a third of the table. The
-scans here cut every hot key into time slices:
+scans here cut every hot key into slices of about equal numbers of rows:
 
 1. count rows per key (partial aggregation, one small row per key and task);
-2. keys above `max_rows` get slices of their time range. At most
-   `total_rows / max_rows` keys can be hot, which bounds that broadcast;
+2. rows of keys above `max_rows` are dealt by ranges of (key, order) and written
+   with the number of their range, the slice. At most `total_rows / max_rows`
+   keys can be hot, which bounds that broadcast;
 3. run the window inside (key, slice);
 4. bring in what earlier slices contribute (last row, last filled value, or
    sum), aggregated to one row per slice and carried forward over the slices.
 
-The join of step 4 is on (key, slice), the partitioning the window needs
-anyway, so it adds no shuffle of the rows. Inputs that are small as a whole
-cannot hold a hot key, and skip steps 1, 2 and 4.
+Where no key is hot, the window runs as it is. Inputs that are small as a whole
+cannot hold a hot key, and skip even the count.
 
 A sliced scan reads its input up to three times. Where scans follow each other
 the plan would multiply, so an input that already reads many sources is first
@@ -57,33 +57,40 @@ def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
     return size is not None and size <= limit
 
 
-def with_slice(df: DataFrame, keys: Sequence[str], order: str, max_rows: int | None = None) -> DataFrame:
-    """Add the slice number: null for ordinary keys, 0..n along `order` for hot ones.
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """Equal keys; a null key is a key like any other, and may be hot."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & left[k].eqNullSafe(right[k])
+    return out
 
-    `max_rows=None` means the default bound, with small inputs left unsliced.
+
+def with_slice(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None) -> DataFrame:
+    """Add the slice number where a key is hot: null for ordinary keys, ascending along `order` for hot ones.
+
+    Rows of hot keys are dealt by ranges of (keys, order), so slices have about
+    as many rows each, also where all rows share a moment and only the
+    tie-breaking columns tell them apart. Without a hot key the rows come back as
+    they are. `max_rows=None` means the default bound, with small inputs not
+    counted.
     """
     if SLICE in df.columns:
         return df
     if max_rows is None and is_small(df):
         return df
-    df = hold(df)
+    keys, df = list(keys), hold(df)
     bound = max_rows or MAX_ROWS
-    at = F.col(order).cast("double")
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-        .where(F.col("_n") > bound)
-        .select(*keys, "_lo", ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") * 4 / bound)).alias("_width"))
-    )
-    number = F.when(F.col("_width") > 0, F.floor((at - F.col("_lo")) / F.col("_width"))).when(
-        F.col("_width").isNotNull(), F.lit(0)
-    )
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound)
+    n = hot.agg(F.sum("_n")).first()[0]
+    if not n:
+        return df
+    rows = stage(df, "scan")
     # Bounded by pigeonhole: no more than total_rows / max_rows keys are hot.
-    return (
-        df.join(F.broadcast(hot), list(keys), "left")
-        .withColumn(SLICE, number.cast("bigint"))
-        .drop("_lo", "_width")
-    )
+    hot = F.broadcast(hot.select(*keys))
+    ranged = rows.join(hot, _same(rows, hot, keys), "left_semi").repartitionByRange(-(-4 * n // bound), *keys, *order)
+    cut = stage(ranged.withColumn(SLICE, F.spark_partition_id().cast("bigint")), "slices")
+    rest = rows.join(hot, _same(rows, hot, keys), "left_anti").withColumn(SLICE, F.lit(None).cast("bigint"))
+    return cut.unionByName(rest)
 
 
 def ordered_scan(
@@ -105,15 +112,12 @@ def ordered_scan(
     * `"total"`: the running sum up to and including this row;
     * `"peak"`: the running maximum up to and including this row.
 
-    With `reverse` the scan runs from the end. The first column of `order` must
-    be numeric; together the columns must give every row its own place, or the
-    result on tied rows is arbitrary.
+    With `reverse` the scan runs from the end. The columns of `order` together
+    must give every row its own place, or the result on tied rows is arbitrary.
     """
     keys, order = list(keys), list(order)
-    sliced = with_slice(df, keys, order[0], max_rows)
+    sliced = with_slice(df, keys, order, max_rows)
     hot_aware = SLICE in sliced.columns
-    if hot_aware:
-        sliced = hold(sliced)
     sort = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     part = keys + ([SLICE] if hot_aware else [])
     base = Window.partitionBy(*part).orderBy(*sort)
@@ -166,7 +170,8 @@ def ordered_scan(
     )
 
     rows = sliced.select("*", *[c.alias(f"_local_{n}") for n, c in local.items()])
-    joined = rows.join(carry, keys + [SLICE], "left")
+    joined = rows.join(carry, _same(rows, carry, keys) & (rows[SLICE] == carry[SLICE]), "left").select(
+        *[rows[c] for c in rows.columns], *[carry[f"_carry_{n}"] for n in local])
     finals = []
     for name, (kind, _) in outputs.items():
         here, past = F.col(f"_local_{name}"), F.col(f"_carry_{name}")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchlens.operators import asof, changes, combat, events, intervals
-from matchlens.operators.ordered import ordered_scan, text_place
+from matchlens.operators.ordered import SLICE, ordered_scan, text_place, with_slice
 from matchlens.operators.quantiles import summarize
 
 SKEWED = {"k": 0.5}
@@ -58,6 +58,25 @@ def test_scan_slices_do_not_matter(rows, reverse, max_rows):
             prev = r.v
 
 
+def test_a_burst_at_one_moment_is_cut_too(spark):
+    """One key with all rows at one time, a null key that is hot, and ordinary keys: no slice is above the bound, scans are right."""
+    data = [(1, 5.0, i) for i in range(700)] + [(None, float(i % 3), i) for i in range(500)] + [(k, float(i), i) for k in (7, 8) for i in range(40)]
+    df = spark.createDataFrame(data, "k int, t double, id int").repartition(5)
+    cut = with_slice(df, ["k"], ["t", "id"], 100)
+    sizes = {(r.k, r[SLICE]): r["count"] for r in cut.groupBy("k", SLICE).count().collect()}
+    assert max(sizes.values()) <= 100 and sum(sizes.values()) == len(data)
+    assert {k for k, s in sizes if s is None} == {7, 8} and len(sizes) > 12
+    outputs = {"n": ("total", F.lit(1).cast("bigint")), "before": ("previous", F.col("id")), "top": ("peak", F.col("id"))}
+    got = {(r.k, r.id): (r.n, r.before, r.top) for r in ordered_scan(df, ["k"], ["t", "id"], outputs, max_rows=100).collect()}
+    for key in (1, None, 7, 8):
+        run = sorted((t, i) for k, t, i in data if k == key)
+        top = None
+        for at, (_, i) in enumerate(run):
+            top = i if top is None else max(top, i)
+            assert got[key, i] == (at + 1, run[at - 1][1] if at else None, top)
+    assert SLICE not in with_slice(df, ["k"], ["t", "id"], 1000).columns
+
+
 def test_asof_matches_brute_force(rows):
     samples = rows.where(~F.col("probe")).select("k", "t", "id", "v")
     probes = rows.where("probe").select("k", "t", F.col("id").alias("pid"))
