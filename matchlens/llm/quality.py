@@ -26,9 +26,8 @@ CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "other")
 #: Reference of documents without a known language.
 POOLED = "*"
 
-#: Number of common words in a language's reference, and their greatest length.
+#: Number of common words in a language's reference.
 COMMON_WORDS = 16
-COMMON_WORD_CHARS = 4
 #: Distances above which a document is rejected, and least lengths to be judged.
 CLASS_LIMIT = 0.25
 WORD_LIMIT = 0.75
@@ -116,13 +115,14 @@ def _classes() -> dict[str, Column]:
     }
 
 
-def common_words(docs: DataFrame, size: int = COMMON_WORDS, max_chars: int = COMMON_WORD_CHARS) -> dict[str, list[tuple[str, int]]]:
-    """The most frequent short words of each language (and of all) with their counts, over all documents.
+def common_words(docs: DataFrame, size: int = COMMON_WORDS) -> dict[str, list[tuple[str, int]]]:
+    """The most frequent words of each language (and of all) with their counts, over all documents and words of any length.
 
-    What reaches the driver is at most `size` words for each language.
+    Words are counted once, in the tasks first; what reaches the driver is at
+    most `size` words for each language.
     """
     words = docs.select("lang", F.explode(word_array(text_or_empty())).alias("word"))
-    counts = words.where((F.length("word") <= max_chars) & (F.col("word") != "")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = stage(words.where(F.col("word") != "").groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     pooled = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "word", "n")
     each = counts.where("lang is not null").unionByName(pooled)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))

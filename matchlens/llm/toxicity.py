@@ -10,7 +10,9 @@ from the trees and fits the calibration.
 
 Edge cases: null, empty and wordless texts have all-zero features and are scored
 like any other. With no labels, or one label only, every score is the share of
-label 1 (0 without labels). Labels without an id or a value are ignored; of
+label 1 (0 without labels). With so few labels that the part for the trees or
+the one for calibration lacks one of the two, all train the trees and the trees'
+probability is the score. Labels without an id or a value are ignored; of
 repeated labels of one document the greatest counts. Documents are scored row by
 row; repeated rows, null ids and other columns do no harm.
 """
@@ -174,13 +176,21 @@ def score(docs: DataFrame, labels: DataFrame, max_documents: int = TRAIN_DOCUMEN
         constant = F.lit(float(share["share"] or 0.0))
         return docs.select("doc_id", constant.alias("score"), (constant >= 0.5).cast("int").alias("predicted"))
     part = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(3)) == 0
+    # with few labels a part may lack one of the two: then all rows train the trees and their probability is the score
+    calibrated = sample.select(part.alias("part"), "label").distinct().count() == 4
+    if not calibrated:
+        part = F.lit(False)
     lexicon = learn_lexicon(sample.where(~part))
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     dense = stage(with_features(sample, lexicon), "toxicity-features")
     trees_on = assembler.transform(dense.where(~part)).select("features", "label")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, seed=5).fit(trees_on)
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8 if calibrated else 1.0, seed=5).fit(trees_on)
     raw = lambda df: model.transform(df).withColumn("raw", vector_to_array("probability")[1])
-    isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="fitted").fit(raw(assembler.transform(dense.where(part))))
-    scored = isotonic.transform(raw(assembler.transform(with_features(docs.select("doc_id", "text"), lexicon))))
+    scored = raw(assembler.transform(with_features(docs.select("doc_id", "text"), lexicon)))
+    if calibrated:
+        isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="fitted").fit(raw(assembler.transform(dense.where(part))))
+        scored = isotonic.transform(scored)
+    else:
+        scored = scored.withColumn("fitted", F.col("raw"))
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fitted")))
     return scored.select("doc_id", value.alias("score"), (value >= 0.5).cast("int").alias("predicted"))

@@ -202,3 +202,37 @@ def test_skeleton_holds_every_node_of_several_shards(spark):
         for i in range(0, len(prefix), 32):
             at = nodes.get((at, prefix[i:i + 32]), -1) if at >= 0 else -1
         assert len(some) == 1 or at >= 0
+
+
+# ---- 4 and 10: no cut by word length; few labels
+
+
+def test_quality_reference_counts_words_of_any_length(spark):
+    """A language whose common words are long: its reference holds them, and ordinary texts of it are kept."""
+    from matchlens.llm import quality
+
+    rng = np.random.default_rng(4)
+    common = [f"gewoehnlichwort{c}" for c in "abcdefghij"]
+    texts = [" ".join(str(rng.choice(common)) if rng.random() < 0.6 else f"selten{rng.integers(10**9)}" for _ in range(120)) for _ in range(60)]
+    rows = [(i, t, "long") for i, t in enumerate(texts)] + [(1000 + i, "of the and to in " * 30 + str(i), "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = quality.common_words(docs, 10)
+    counts = Counter(w for _, t, lang in rows if lang == "long" for w in t.split())
+    assert found["long"] == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:10]
+    kept = {r.doc_id for r in quality.quality(docs, size=10).where("kept").collect()}
+    assert set(range(60)) <= kept
+
+
+@pytest.mark.parametrize("n", [4, 6, 9])
+def test_toxicity_with_few_labels(spark, n):
+    """Labels of both kinds, too few for a calibration part of both: scores tell the texts apart as far as they were learned."""
+    from matchlens.llm import toxicity
+
+    rows = [(i, "you are an idiot, shut up!!! IDIOT" if i % 2 else "a calm text about the weather in spring") for i in range(1, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5][:n]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    assert len({i % 2 for i in ids}) == 2
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels, trees=3).collect()}
+    assert len(got) == 59 and min(got[i] for i in got if i % 2) > max(got[i] for i in got if i % 2 == 0)
+    assert toxicity.score(docs.limit(0), labels, trees=3).count() == 0
