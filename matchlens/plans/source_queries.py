@@ -555,3 +555,16 @@ def bounded_sql(t: Tables) -> DataFrame:
     )
     # at most cap + 1 rows reach this window
     return df.withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(0))) > cap).limit(cap)
+
+
+@query(
+    base="m",
+    sql="""SELECT owner, name, n, true AS truncated FROM (SELECT owner, name, count(*) AS n FROM players GROUP BY owner, name ORDER BY n DESC, owner LIMIT 7)""",
+)
+def bounded_sql_truncated(t: Tables) -> DataFrame:
+    """A statement with more rows than its cap: the first of them, and the flag."""
+    t.corpus.create_views()
+    text = """WITH who AS (SELECT owner, name, count(*) AS n FROM players GROUP BY owner, name)
+SELECT owner, name, n FROM who WHERE n >= ? AND EXISTS (SELECT 1 FROM replays) /* all of them */ ORDER BY n DESC, owner"""
+    df, cap = capped_query(t.spark, text, [1], max_rows=7)
+    return df.withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(0))) > cap).orderBy(F.desc("n"), "owner").limit(cap)
