@@ -44,6 +44,8 @@ FIRST = 20
 CHUNK = 1 << 18
 #: Bytes of texts whose entries are combined before the shuffle.
 COMBINED = 6 << 20
+#: Entries of the first round, and bytes of windows of the second, that a task sorts at a time.
+SORTED_ENTRIES, SORTED_BYTES = 1 << 17, 1 << 20
 #: An anchor rank with so many different surroundings is dealt by window; grows with the input beyond 10^5 such ranks.
 HOT = 2_000
 #: Surroundings of one rank in one batch that are reported towards HOT.
@@ -193,6 +195,15 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return (_mix(h * _ODD) % _U(n)).astype(np.int64)
 
 
+def _parts(rank: np.ndarray, n: int):
+    """Places of `n` parts, equal ranks in the same one."""
+    to = (_mix(rank + _ODD) % _U(n)).astype(np.int32) if n > 1 else np.zeros(len(rank), dtype=np.int32)
+    for k in range(n):
+        at = np.flatnonzero(to == k)
+        if len(at):
+            yield at
+
+
 # ---- round 1 -----------------------------------------------------------------
 
 _ENTRY = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ranks", pa.binary()), ("around", pa.binary()), ("docs", pa.binary())])
@@ -267,15 +278,17 @@ def _first_round_ranks(batches):
             docs.append(np.frombuffer(d, "<i8"))
     if not ranks:
         return
-    rank, around, doc = np.concatenate(ranks), np.concatenate(arounds), np.concatenate(docs)
-    order = np.lexsort((doc, around, rank))
-    rank, around, doc = rank[order], around[order], doc[order]
-    low, high, _ = _spread(doc, _groups(rank))
-    shared = low < high
-    later = shared & (doc > _least(doc, _groups(rank, around)))
-    yield from _answers(doc[later], _pair_key(rank[later], around[later].astype(np.uint64)), _COVERED)
-    still = shared & ~later
-    yield from _answers(doc[still], rank[still], _OPEN)
+    ranks, arounds, docs = np.concatenate(ranks), np.concatenate(arounds), np.concatenate(docs)
+    for at in _parts(ranks, -(-len(ranks) // SORTED_ENTRIES)):
+        rank, around, doc = ranks[at], arounds[at], docs[at]
+        order = np.lexsort((doc, around, rank))
+        rank, around, doc = rank[order], around[order], doc[order]
+        low, high, _ = _spread(doc, _groups(rank))
+        shared = low < high
+        later = shared & (doc > _least(doc, _groups(rank, around)))
+        yield from _answers(doc[later], _pair_key(rank[later], around[later].astype(np.uint64)), _COVERED)
+        still = shared & ~later
+        yield from _answers(doc[still], rank[still], _OPEN)
 
 
 # ---- round 2 -----------------------------------------------------------------
@@ -389,36 +402,43 @@ def _second_round_ranks(length: int):
                 held.append(b.filter(pa.array(~decided)))
         if not held:
             return
-        t = pa.Table.from_batches(held).combine_chunks()
-        doc, tag, at, stop, rank = (t.column(c).to_numpy() for c in ("doc_id", "tag", "at", "stop", "rank"))
-        data = np.frombuffer(b"".join(t.column("bytes").to_pylist()), dtype=np.uint8)
-        sizes = stop - at
-        begins = np.cumsum(sizes) - sizes
-        n = sizes - length + 1
-        piece = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
-        place = begins[piece] + inner
-        table = _tables()[0]
-        hashes = np.concatenate([  # the hash of every window, some megabytes at a time
-            _gram_hashes(table[data[i:i + CHUNK + length - 1]], length) for i in range(0, max(len(data) - length + 1, 0), CHUNK)])
-        key = _mix(hashes[place] + rank.view(np.uint64)[piece] * _ODD)
-        order = np.lexsort((doc[piece], key))
-        new = _groups(key[order])
-        lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        later = doc[piece[order]] > doc[piece[lead]]
-        mine, theirs = order[later], lead[later]
-        same = np.ones(len(mine), dtype=bool)
-        for i in range(0, len(mine), 1 << 16):
-            cut = slice(i, i + (1 << 16))
-            x, y = place[mine[cut]][:, None] + np.arange(length), place[theirs[cut]][:, None] + np.arange(length)
-            same[cut] = (data[x] == data[y]).all(axis=1)
-        mine = mine[same]
-        own, first, last = _merged(piece[mine], at[piece[mine]] + inner[mine], at[piece[mine]] + inner[mine])
-        yield from _ranges(doc[own], tag[own], first, last + length)
+        table = pa.Table.from_batches(held)
+        size = table.column("bytes").nbytes
+        for at in _parts(table.column("rank").to_numpy().view(np.uint64), -(-size // SORTED_BYTES)):
+            yield from _later_windows(table.take(pa.array(at)).combine_chunks(), length)
 
     return mapped
 
 
+def _later_windows(t: pa.Table, length: int):
+    """Ranges of the windows of these pieces that a document of smaller id has too."""
+    doc, tag, at, stop, rank = (t.column(c).to_numpy() for c in ("doc_id", "tag", "at", "stop", "rank"))
+    data = np.frombuffer(b"".join(t.column("bytes").to_pylist()), dtype=np.uint8)
+    sizes = stop - at
+    begins = np.cumsum(sizes) - sizes
+    n = sizes - length + 1
+    piece = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    place = begins[piece] + inner
+    table = _tables()[0]
+    hashes = np.concatenate([  # the hash of every window, some megabytes at a time
+        _gram_hashes(table[data[i:i + CHUNK + length - 1]], length) for i in range(0, max(len(data) - length + 1, 0), CHUNK)])
+    key = _mix(hashes[place] + rank.view(np.uint64)[piece] * _ODD)
+    order = np.lexsort((doc[piece], key))
+    new = _groups(key[order])
+    lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    later = doc[piece[order]] > doc[piece[lead]]
+    mine, theirs = order[later], lead[later]
+    same = np.ones(len(mine), dtype=bool)
+    for i in range(0, len(mine), 1 << 13):
+        cut = slice(i, i + (1 << 13))
+        x, y = place[mine[cut]][:, None] + np.arange(length), place[theirs[cut]][:, None] + np.arange(length)
+        same[cut] = (data[x] == data[y]).all(axis=1)
+    mine = mine[same]
+    own, first, last = _merged(piece[mine], at[piece[mine]] + inner[mine], at[piece[mine]] + inner[mine])
+    yield from _ranges(doc[own], tag[own], first, last + length)
+
+
 # ---- result ------------------------------------------------------------------
 
 ADDED = ("n_bytes", "n_removed", "n_spans", "kept")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -223,6 +224,27 @@ def test_anchors_of_long_text_cover_every_window():
     assert covered.all()
 
 
+def test_suffix_rounds_in_parts(monkeypatch):
+    """A task that sorts its entries and windows in parts gives what it gives in one."""
+    rng = np.random.default_rng(3)
+    shared = ["".join(chr(97 + c) for c in rng.integers(0, 26, 90)) for _ in range(12)]
+    texts = [" ".join(shared[k] + str(i) for k in rng.integers(0, 12, 6)) for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(40), pa.int64()), "text": texts})
+    entries = [b for k in range(0, 40, 10) for b in suffix_dedup._first_round_entries(1, 50)([batch.slice(k, 10)])]
+    pieces = pa.RecordBatch.from_pydict({
+        "doc_id": pa.array(range(40), pa.int64()), "tag": pa.array([0] * 40, pa.int64()), "at": pa.array([0] * 40, pa.int64()),
+        "stop": pa.array([len(t) for t in texts], pa.int64()), "rank": pa.array([i % 7 for i in range(40)], pa.int64()), "bytes": [t.encode() for t in texts]})
+
+    def both():
+        rounds = (suffix_dedup._first_round_ranks(iter(entries)), suffix_dedup._second_round_ranks(50)(iter([pieces])))
+        return [sorted(tuple(r.values()) for b in out for r in b.to_pylist()) for out in rounds]
+
+    whole = both()
+    monkeypatch.setattr(suffix_dedup, "SORTED_ENTRIES", 16)
+    monkeypatch.setattr(suffix_dedup, "SORTED_BYTES", 2_000)
+    assert both() == whole and all(whole)
+
+
 # ---- 3
 
 
