@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import loss_lane, normalize_key, titleize
-from .ordered import first_n, ordered_scan
+from .ordered import first_n, ordered_scan, row_place
 from .samples import CHECKPOINTS, catalog_by_key
 from .scope import K
 
@@ -75,15 +75,23 @@ def category_rank(category: Column) -> Column:
     return F.when(category == "worker", 0).when(category == "unit", 1).when(category == "building", 2).otherwise(3)
 
 
-def in_combat_order(events: DataFrame) -> DataFrame:
-    """Time, enemy first, category, display name, original order."""
-    return events.orderBy(
-        "time_seconds",
-        F.when(F.col("side") == "enemy", 0).otherwise(1),
-        category_rank(F.col("category")),
-        "display_name",
-        "frame",
-    )
+def _combat_order(events: DataFrame, original: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    keyed = events.withColumn("_own", F.when(F.col("side") == "enemy", 0).otherwise(1)).withColumn("_kind", category_rank(F.col("category")))
+    return keyed, ["time_seconds", "_own", "_kind", "display_name", *original]
+
+
+def in_combat_order(events: DataFrame, original: Sequence[str] = ("frame",)) -> DataFrame:
+    """Time, enemy first, category, display name, then the columns of the original order."""
+    keyed, order = _combat_order(events, original)
+    return keyed.orderBy(*order).drop("_own", "_kind")
+
+
+def combat_places(
+    events: DataFrame, keys: Sequence[str] = ("replay_id", "self_owner"), original: Sequence[str] = ("frame",), *, max_rows: int | None = None
+) -> DataFrame:
+    """Events with `place`, 1-based in combat order per viewer; matches of any size are cut into slices."""
+    keyed, order = _combat_order(events, original)
+    return row_place(keyed, keys, order, "place", max_rows).drop("_own", "_kind")
 
 
 def _totals(extra: Sequence[Column] = ()) -> list[Column]:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import reduction, scope
+from ..operators import combat, losses, reduction, scope
 from ..operators.ordered import row_place
 from ..operators.starters import STARTERS
 from ..schema import Corpus, with_folded
 from ..sources import bundles, sinks, staging
 from ..streaming import jobs
 from .adapters import Tables
+from .event_queries import PLAYER
 from .registry import query
 
 K = ["replay_id", "owner"]
@@ -211,3 +212,77 @@ def archive_counts_and_deaths(t: Tables) -> DataFrame:
     counts = tables["unit_count_samples"].select(*K, "frame", F.lit("count").alias("kind"), "unit_type", F.col("unit_type_lc").alias("folded"), F.col("count").alias("value"))
     deaths = tables["death_events"].select(*K, "frame", F.lit("death").alias("kind"), "unit_type", F.col("category").alias("folded"), F.col("dead_owner").alias("value"))
     return counts.unionByName(deaths)
+
+
+# The order of losses.
+
+_SEEN = """v AS (SELECT c.*, p.owner AS self_owner, CASE WHEN c.owner = p.owner THEN 'own' ELSE 'enemy' END AS side
+ FROM combat c JOIN players p USING (replay_id))"""
+
+
+@query(
+    base="m",
+    sql=f"""
+WITH {_SEEN}
+SELECT replay_id, self_owner, death_id, side, unit_key, row_number() OVER (PARTITION BY replay_id, self_owner ORDER BY time_seconds,
+ side = 'own', CASE category WHEN 'worker' THEN 0 WHEN 'unit' THEN 1 WHEN 'building' THEN 2 ELSE 3 END, display_name, death_id) AS place FROM v""",
+)
+def combat_places(t: Tables) -> DataFrame:
+    """Every loss's place in its match's report, as each participant sees it."""
+    events = combat.combat_events(t.corpus.death_events, t.catalog)
+    return combat.combat_places(combat.seen_from(events, t.corpus.players), original=("death_id",)).select("replay_id", "self_owner", "death_id", "side", "unit_key", "place")
+
+
+@query(
+    base="m",
+    sql=f"""
+SELECT p.replay_id, p.owner, count(d.death_id) AS n,
+ coalesce(string_agg(d.unit_type || '@' || d.frame, ',' ORDER BY d.time_seconds, d.frame), '') AS listed FROM players p
+LEFT JOIN death_events d ON d.replay_id = p.replay_id AND d.owner = p.owner AND d.time_seconds BETWEEN 600 AND 1200
+WHERE p.name = '{PLAYER}' GROUP BY ALL""",
+)
+def deaths_between_nested(t: Tables) -> DataFrame:
+    """Deaths of a window gathered per target by (time, frame); a target without any has an empty list."""
+    c = t.corpus
+    found = losses.losses_between(c.death_events, scope.targets(c.players, c.replays, player=PLAYER), 600, 1200, nested=True)
+    shown = F.transform("deaths", lambda d: F.concat(d["unit_type"], F.lit("@"), d["frame"].cast("string")))
+    return found.select(*K, F.size("deaths").cast("bigint").alias("n"), F.concat_ws(",", shown).alias("listed"))
+
+
+@query(
+    base="m",
+    sql=f"""
+WITH {_SEEN},
+cp AS (SELECT unnest([180, 240, 300, 360, 420, 480, 600, 720]) AS checkpoint),
+live AS (SELECT replay_id, checkpoint, count(*) AS n FROM combat JOIN cp ON time_seconds <= checkpoint GROUP BY ALL),
+kept AS (SELECT replay_id, checkpoint FROM (SELECT *, lag(n, 1, 0) OVER (PARTITION BY replay_id ORDER BY checkpoint) AS before FROM live) WHERE n <> before),
+u AS (SELECT *, row_number() OVER (PARTITION BY replay_id, self_owner, side, unit_key ORDER BY time_seconds, display_name, frame) AS n FROM v),
+k AS (SELECT *, row_number() OVER (PARTITION BY replay_id, self_owner, side, category ORDER BY time_seconds, display_name, frame) AS n FROM v
+ WHERE category IN ('worker', 'unit', 'building')),
+g AS (SELECT *, time_seconds - lag(time_seconds) OVER (PARTITION BY replay_id ORDER BY time_seconds) AS d FROM combat),
+s AS (SELECT *, sum(CASE WHEN d IS NULL OR d > 15 THEN 1 ELSE 0 END) OVER (PARTITION BY replay_id ORDER BY time_seconds) AS session FROM g)
+SELECT 'checkpoint' AS part, c.replay_id, c.owner, unit_key AS label, CAST(checkpoint AS DOUBLE) AS at_seconds, count(*) AS value
+ FROM combat c JOIN kept USING (replay_id) WHERE time_seconds <= checkpoint GROUP BY ALL
+UNION ALL SELECT 'milestone', replay_id, self_owner, side || ' unit ' || unit_key, time_seconds, n FROM u WHERE n = 1
+UNION ALL SELECT 'milestone', replay_id, self_owner, side || ' category ' || CASE category WHEN 'unit' THEN 'army' ELSE category END, time_seconds, n FROM k WHERE n = 1
+UNION ALL SELECT 'session', replay_id, NULL, CAST(CAST(session AS BIGINT) AS VARCHAR), min(time_seconds), count(*) FROM s GROUP BY replay_id, session
+UNION ALL SELECT DISTINCT 'unknown_cost', replay_id, NULL, display_name, CAST(NULL AS DOUBLE), 1 FROM combat WHERE NOT known_cost""",
+)
+def combat_ledger(t: Tables) -> DataFrame:
+    """All four parts of every match's loss report, as rows of one shape."""
+    events = combat.combat_events(t.corpus.death_events, t.catalog)
+    parts = combat.combat_ledger(events, t.corpus.players)
+    none, text = F.lit(None), lambda c: F.col(c).cast("string")
+
+    def rows(part, owner, label, at, value):
+        return parts[part[0]].select(
+            F.lit(part[1]).alias("part"), "replay_id", owner.alias("owner"), label.alias("label"), at.cast("double").alias("at_seconds"),
+            value.cast("bigint").alias("value"))
+
+    owner_type = t.corpus.players.schema["owner"].dataType
+    return (
+        rows(("checkpoints", "checkpoint"), F.col("owner"), F.col("unit_key"), F.col("checkpoint"), F.col("losses"))
+        .unionByName(rows(("milestones", "milestone"), F.col("self_owner"), F.concat_ws(" ", "side", "kind", "label"), F.col("time_seconds"), F.col("n")))
+        .unionByName(rows(("sessions", "session"), none.cast(owner_type), text("session"), F.col("session_start"), F.col("losses")))
+        .unionByName(rows(("unknown_cost", "unknown_cost"), none.cast(owner_type), F.col("display_name"), none, F.lit(1)))
+    )

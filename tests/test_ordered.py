@@ -260,3 +260,19 @@ def test_chained_starts(spark):
     lines = spark.createDataFrame([("m", 0, "(2) 1:10 drone -> what -> Hatchery->drone"), ("m", 1, "bad")], "k string, line int, text string")
     got = [(r.item, r.time_seconds, r.track) for r in events.chained_starts(lines, catalog, ["k"]).orderBy("link").collect()]
     assert got == [("Drone", 70.0, 1), ("Hatchery", 82.0, 1), ("Drone", 157.0, 1)]
+
+
+@pytest.mark.parametrize("max_rows", [None, 10])
+def test_combat_places(spark, max_rows):
+    """Enemy first, then category, name and original order; a match of one moment is cut into slices."""
+    from matchlens.operators import combat
+
+    kinds = ["worker", "unit", "building", "air", None]
+    rows = [("m", 1, float(i // 40), ["own", "enemy"][i % 2], kinds[i % 5], f"u{i % 3}", i) for i in range(80)]
+    rows += [(None, 1, None, "own", "unit", None, 500), ("n", 2, 1.0, "own", "unit", "x", 7)]
+    df = spark.createDataFrame(rows, "replay_id string, self_owner int, time_seconds double, side string, category string, display_name string, frame long")
+    out = combat.combat_places(df, max_rows=max_rows)
+    assert out.columns == [*df.columns, "place"]
+    got = {(r.replay_id, r.frame): r.place for r in out.collect()}
+    want = sorted(rows[:80], key=lambda r: (r[2], r[3] == "own", {"worker": 0, "unit": 1, "building": 2}.get(r[4], 3), r[5], r[6]))
+    assert got == {**{("m", r[6]): k + 1 for k, r in enumerate(want)}, (None, 500): 1, ("n", 7): 1}
