@@ -7,14 +7,18 @@ that the new watermark closes go to `closed`, and the rest is the state of the
 next batch. All of it are DataFrame aggregates; no task holds a key.
 
     root/marks/batch=7   (watermark): greatest event time up to this batch, less the delay
-    root/open/batch=7    windows still open after this batch
-    root/closed/batch=7  windows closed by this batch
+    root/open/batch=7    windows that a later batch may change, with `ended` where they end at or before the watermark
+    root/closed/batch=7  windows settled by this batch
     root/late/batch=7    its rows that came too late, with all their columns
 
 A batch reads the state of the one before and overwrites only its own folders,
 so a batch that is repeated after a failure writes the same again. The rows of
 closed, open and late windows add up to the rows of the stream. A row without an
 event time is late. State is `open` alone; older states are deleted.
+
+A session may be joined for one gap after it has ended, by a row that is not
+late itself and no further away than the gap. It counts as closed, but stays in
+`open` until no such row can come.
 """
 
 from __future__ import annotations
@@ -45,6 +49,9 @@ class Windows:
     def ends(self) -> Column:
         return F.col("window_end")
 
+    def settled(self) -> Column:
+        return self.ends()
+
     def row_end(self) -> Column:
         """As `window` has it, but null where the time is: `window` would drop the row."""
         width = F.lit(self.seconds * 1_000_000)
@@ -76,16 +83,22 @@ class Sessions:
     def ends(self) -> Column:
         return self._after(F.col("last_ts"))
 
+    def settled(self) -> Column:
+        """One gap after the end: rows in time are then more than a gap away."""
+        return self._after(self.ends())
+
     def row_end(self) -> Column:
         return self._after(F.col(self.ts))
 
     def of_rows(self, rows: DataFrame) -> DataFrame:
-        points = rows.groupBy(*self.keys, self.ts).agg(F.count(F.lit(1)).alias("losses"))
-        return self.merged(points.select(*self.keys, F.col(self.ts).alias("first_ts"), F.col(self.ts).alias("last_ts"), "losses"))
+        return self.merged(rows.select(
+            *self.keys, F.col(self.ts).alias("first_ts"), F.col(self.ts).alias("last_ts"), F.lit(1).cast("bigint").alias("losses")))
 
     def merged(self, parts: DataFrame) -> DataFrame:
         """Intervals that touch within the gap become one: ordered scans for the greatest end before each, then a sum."""
         keys, order = list(self.keys), ["_at", "_end"]
+        # equal intervals are one row, so that the order leaves no ties
+        parts = parts.groupBy(*keys, "first_ts", "last_ts").agg(F.sum("losses").alias("losses"))
         timed = parts.withColumns({"_at": F.unix_micros("first_ts"), "_end": F.unix_micros("last_ts")})
         reached = ordered_scan(timed, keys, order, {"_reach": ("peak", F.col("_end"))})
         before = ordered_scan(reached, keys, order, {"_before": ("previous", F.col("_reach"))})
@@ -126,9 +139,10 @@ def merge_batch(kind: Windows | Sessions, root: str, delay_seconds: int = 600) -
         rows.where(late).write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
         parts = kind.of_rows(rows.where(~late))
         all_open = stage(parts if held is None else kind.merged(held.select(*parts.columns).unionByName(parts)), "windows")
-        closes = F.lit(False) if now is None else F.unix_micros(kind.ends()) <= F.lit(now)
+        by_now = lambda at: F.lit(False) if now is None else F.unix_micros(at) <= F.lit(now)
+        closes = by_now(kind.settled())
         all_open.where(closes).write.mode("overwrite").parquet(f"{root}/closed/batch={batch_id}")
-        all_open.where(~closes).write.mode("overwrite").parquet(f"{root}/open/batch={batch_id}")
+        all_open.where(~closes).withColumn("ended", by_now(kind.ends())).write.mode("overwrite").parquet(f"{root}/open/batch={batch_id}")
         spark.createDataFrame([(now,)], "watermark long").write.mode("overwrite").parquet(f"{root}/marks/batch={batch_id}")  # last: the batch is whole
         for old in [b for b in _batches(spark, root, "open") if b < batch_id - KEPT_STATES]:
             _drop(spark, f"{root}/open/batch={old}")
@@ -144,9 +158,14 @@ def start(rows: DataFrame, kind: Windows | Sessions, root: str, checkpoint: str,
     )
 
 
+def _state(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/open/batch={_batches(spark, root, 'marks')[-1]}")
+
+
 def closed(spark: SparkSession, root: str) -> DataFrame:
-    """All windows that have closed."""
-    return spark.read.option("basePath", f"{root}/closed").parquet(f"{root}/closed").drop("batch")
+    """All windows that have ended; a session's last batches may still join it to another."""
+    settled = spark.read.option("basePath", f"{root}/closed").parquet(f"{root}/closed").drop("batch")
+    return settled.unionByName(_state(spark, root).where("ended").drop("ended"))
 
 
 def late(spark: SparkSession, root: str) -> DataFrame:
@@ -155,6 +174,6 @@ def late(spark: SparkSession, root: str) -> DataFrame:
 
 
 def still_open(spark: SparkSession, root: str) -> DataFrame:
-    """Windows that a later batch may still change."""
-    return spark.read.parquet(f"{root}/open/batch={_batches(spark, root, 'marks')[-1]}")
+    """Windows that have not ended."""
+    return _state(spark, root).where("not ended").drop("ended")
 

@@ -106,6 +106,20 @@ def test_sessions(spark, source, tmp_path):
     assert sum((want - both).values()) <= 2 and (want & both).total() > 50
 
 
+def test_session_joined_after_its_end(spark, tmp_path):
+    """A row in time within the gap of a session that has ended belongs to it; equal times of two batches are one place."""
+    root, kind = str(tmp_path / "out"), late.Sessions(("key",), seconds=15)
+    work = late.merge_batch(kind, root, DELAY)
+    rows = lambda *at: spark.createDataFrame([(k, BASE + timedelta(seconds=t)) for k, t in at], "key string, ts timestamp")
+    work(rows(("a", 10), ("b", 30), ("z", 90)), 0)  # watermark 30: a's session has ended
+    assert {r.key for r in late.closed(spark, root).collect()} == {"a"}
+    work(rows(("a", 20), ("b", 30), ("b", 45), ("z", 200)), 1)
+    found = [*late.closed(spark, root).collect(), *late.still_open(spark, root).collect()]
+    assert {(r.key, seconds(r.first_ts), seconds(r.last_ts), r.losses) for r in found} == {
+        ("a", 10, 20, 2), ("b", 30, 45, 3), ("z", 90, 90, 1), ("z", 200, 200, 1)}
+    assert len(found) == 4 and late.late(spark, root).count() == 0
+
+
 def test_stream_takes_in_a_manifest_ahead_of_its_archive(spark, tmp_path):
     from fixtures import write_match
 
