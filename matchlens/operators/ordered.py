@@ -16,8 +16,10 @@ Where no key is hot, the window runs as it is. Inputs that are small as a whole
 cannot hold a hot key, and skip even the count.
 
 A sliced scan reads its input up to three times. Where scans follow each other
-the plan would multiply, so an input that already reads many sources is first
-written to the shared folder (`hold`).
+the plan would multiply, so an input that already reads many sources, or is
+large and comes from a shuffle, is first written to the shared folder (`hold`).
+A later scan by the same keys can go on with the slices of one before
+(`keep_slice`) and counts nothing.
 """
 
 from __future__ import annotations
@@ -35,12 +37,25 @@ SMALL_INPUT_BYTES = 256 * 1024 * 1024
 
 
 MAX_SOURCES = 12
+SHUFFLED = ("Join", "Aggregate", "Distinct", "Window", "Sort", "RepartitionByExpression")
+
+
+def is_derived(df: DataFrame) -> bool:
+    """Whether a plan shuffles, and so costs more to run again than its rows cost to read."""
+    plans = [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() in SHUFFLED:
+            return True
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return False
 
 
 def hold(df: DataFrame) -> DataFrame:
-    """The same rows; written out first when the plan reads more than a few sources."""
+    """The same rows; written out first when the plan reads more than a few sources, or shuffles large ones."""
     sources = df._jdf.queryExecution().analyzed().collectLeaves().size()
-    return stage(df, "scan") if sources > MAX_SOURCES else df
+    return stage(df, "scan") if sources > MAX_SOURCES or not is_small(df) and is_derived(df) else df
 
 
 def input_bytes(df: DataFrame) -> int | None:
@@ -114,6 +129,7 @@ def ordered_scan(
 
     With `reverse` the scan runs from the end. The columns of `order` together
     must give every row its own place, or the result on tied rows is arbitrary.
+    With `keep_slice` the slices stay as a column, null where no key is hot.
     """
     keys, order = list(keys), list(order)
     sliced = with_slice(df, keys, order, max_rows)
@@ -140,6 +156,7 @@ def ordered_scan(
         return sliced.select(
             "*",
             *[(c if outputs[n][0] in ("total", "peak") else c["v"]).alias(n) for n, c in local.items()],
+            *[F.lit(None).cast("bigint").alias(SLICE)] * keep_slice,
         )
 
     # One row per hot slice: what it hands on to the slices after it.

@@ -8,7 +8,7 @@ before; state kept per snapshot becomes a comparison of snapshot ordinals.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,13 +26,16 @@ from ..functions.text import (
     normalize_type,
     unit_race,
 )
+from ..sources.staging import stage
 from .changes import compact_changes, frame_gaps, map_value
-from .ordered import ordered_scan
+from .ordered import SLICE, is_small, ordered_scan
 
 M, KU = "replay_id", ["replay_id", "owner", "unit_id"]
 K = [M, "owner"]
 # Number of unit ids the game knows; ids beyond it have no name.
 UNIT_IDS = 228
+# Snapshots from sources up to this size are read again rather than written.
+SMALL_TIMELINE_BYTES = 4 * 1024 * 1024
 UNIT_FIELDS = """
 unit_type unit_type_id category build_queue_unit_ids upgrade_in_progress tech_in_progress
 morphing_building morph_target_unit_type_id build_time remaining_build_time
@@ -49,12 +52,19 @@ class Timeline:
     deaths: DataFrame  # replay_id, frame, owner, unit_type, ...
 
 
+def written(raw: DataFrame) -> DataFrame:
+    """The snapshots as a scan: what is derived or large is written once, since every series reads it."""
+    plan = raw._jdf.queryExecution().optimizedPlan()
+    return raw if plan.children().isEmpty() or is_small(raw, SMALL_TIMELINE_BYTES) else stage(raw, "snapshots")
+
+
 def explode_timeline(raw: DataFrame, *, max_rows: int | None = None) -> Timeline:
     """Flatten snapshots (replay_id, frame, owners, deaths); number them per match.
 
     The numbering is joined back by (match, frame), so the wide nested rows are
     not sorted or shuffled for it.
     """
+    raw = written(raw)
     order = ordered_scan(
         raw.select(M, "frame").distinct(), [M], ["frame"], {"ordinal": ("total", F.lit(1).cast("bigint"))}, max_rows=max_rows
     )
@@ -143,49 +153,87 @@ def _with_target_name(rows: DataFrame, known: DataFrame) -> DataFrame:
     ).drop("_tn")
 
 
-def queue_increments(units: DataFrame, *, include_initial: bool = False, max_rows: int | None = None) -> DataFrame:
-    """Per unit row, queue targets whose copies grew since the unit's row before.
+def unit_steps(units: DataFrame, *, include_initial: bool = False, max_rows: int | None = None) -> DataFrame:
+    """Each unit row with the unit's type (`_prev_type`) and queue (`_prev`) one row before, from one scan.
 
     Queues of the very first snapshot are not remembered unless initial events
     are asked for, so what was queued there shows up one snapshot later.
     """
-    rows = units if include_initial else units.where(F.col("ordinal") > 1)
     queue = F.filter(F.coalesce("build_queue_unit_ids", F.array().cast("array<int>")), lambda x: x.isNotNull())
-    seen = ordered_scan(
-        rows.withColumn("_q", queue), KU, ["frame"], {"_prev": ("previous", F.col("_q"))}, max_rows=max_rows
+    remembered = F.when(F.lit(include_initial) | (F.col("ordinal") > 1), F.col("_q"))
+    return ordered_scan(
+        units.withColumn("_q", queue), KU, ["frame"],
+        {"_prev_type": ("previous", F.col("unit_type_id")), "_prev": ("previous", remembered)}, max_rows=max_rows, keep_slice=True,
     )
+
+
+def _stepped(units: DataFrame, include_initial: bool, max_rows: int | None) -> DataFrame:
+    """Rows that may start something, with the row before."""
+    steps = units if "_prev_type" in units.columns else unit_steps(units, include_initial=include_initial, max_rows=max_rows)
+    return steps.where(F.lit(include_initial) | (F.col("ordinal") > 1))
+
+
+def _grown() -> Column:
+    """Targets of a row's queue with the copies that the row before did not have."""
     prev = F.coalesce("_prev", F.array().cast("array<int>"))
     copies = lambda q, x: F.size(F.filter(q, lambda y: y == x))
-    grown = F.filter(
+    return F.filter(
         F.transform(
             F.array_distinct("_q"),
             lambda x: F.struct(x.alias("target"), (copies(F.col("_q"), x) - copies(prev, x)).alias("copies")),
         ),
         lambda s: s["copies"] > 0,
     )
-    return seen.select(
-        *KU, "frame", "ordinal", "morphing_building", "build_time", "remaining_build_time", F.posexplode(grown).alias("pos", "g")
-    ).select("*", "g.target", "g.copies").drop("g")
 
 
-def _type_steps(units: DataFrame, max_rows: int | None) -> DataFrame:
-    return ordered_scan(units, KU, ["frame"], {"_prev_type": ("previous", F.col("unit_type_id"))}, max_rows=max_rows)
+def queue_increments(units: DataFrame, *, include_initial: bool = False, max_rows: int | None = None) -> DataFrame:
+    """Per unit row, queue targets whose copies grew since the unit's row before.
 
+    `units` may come with `unit_steps` done.
+    """
+    return _stepped(units, include_initial, max_rows).select(
+        *KU, "frame", "ordinal", "morphing_building", "build_time", "remaining_build_time", F.posexplode(_grown()).alias("pos", "g")
+    ).select("*", "g.target", "g.copies").drop("g")
 
-def building_candidates(units: DataFrame, known: DataFrame, *, include_initial: bool = False, max_rows: int | None = None) -> DataFrame:
-    """Rows that may start a building: a morph target, or a new or changed building."""
-    steps = _type_steps(units, max_rows).where(F.lit(include_initial) | (F.col("ordinal") > 1))
+
+def _own_start() -> tuple[Column, Column]:
+    """Whether a row morphs, and whether it is a new or changed building."""
     morph = F.col("morph_target_unit_type_id")
-    morphs = morph.isNotNull() & morph.between(0, UNIT_IDS - 1)
     fresh = F.col("_prev_type").isNull() | (F.col("_prev_type") != F.col("unit_type_id"))
-    rows = steps.where(morphs | ((F.col("category") == "building") & fresh)).select(
+    return morph.isNotNull() & morph.between(0, UNIT_IDS - 1), (F.col("category") == "building") & fresh
+
+
+def building_candidates(units: DataFrame, known: DataFrame, *, include_initial: bool = False, max_rows: int | None = None) -> DataFrame:
+    """Rows that may start a building: a morph target, or a new or changed building.
+
+    `units` may come with `unit_steps` done.
+    """
+    morphs, built = _own_start()
+    rows = _stepped(units, include_initial, max_rows).where(morphs | built).select(
         *KU, "frame", F.lit(-1).alias("pos"), "build_time", "remaining_build_time",
-        F.when(morphs, morph).otherwise(F.col("unit_type_id")).alias("target"),
+        F.when(morphs, F.col("morph_target_unit_type_id")).otherwise(F.col("unit_type_id")).alias("target"),
         F.when(~morphs, F.col("unit_type")).alias("target_name"),
     )
     return _with_target_name(rows, known)
 
 
+def start_candidates(
+    units: DataFrame, known: DataFrame, *, include_initial: bool = False, structure: Callable[[Column], Column] = is_building_id,
+    max_rows: int | None = None,
+) -> DataFrame:
+    """`building_candidates` and the buildings that morphing units have queued, in one pass that keeps rows with their unit."""
+    morphs, built = _own_start()
+    queued = F.filter(
+        F.transform(_grown(), lambda g, i: F.struct(i.alias("pos"), g["target"].alias("target"), F.lit(None).cast("string").alias("target_name"))),
+        lambda g: structure(g["target"]) & F.coalesce("morphing_building", F.lit(False)))
+    own = F.struct(
+        F.lit(-1).alias("pos"), F.when(morphs, F.col("morph_target_unit_type_id")).otherwise(F.col("unit_type_id")).alias("target"),
+        F.when(~morphs, F.col("unit_type")).alias("target_name"))
+    both = F.when(morphs | built, F.concat(F.array(own), queued)).otherwise(queued)
+    rows = _stepped(units, include_initial, max_rows).select(*KU, SLICE, "frame", "build_time", "remaining_build_time", F.inline(both))
+    return _with_target_name(rows, known)
+
+
 def building_starts(candidates: DataFrame, *, max_rows: int | None = None) -> DataFrame:
     """Starts per unit: a candidate counts when its target differs from the one before.
 
@@ -233,8 +281,11 @@ def research_starts(units: DataFrame, *, include_initial: bool = False, include_
 
 
 def appearances(units: DataFrame, building: DataFrame, *, include_initial: bool = False, max_rows: int | None = None) -> DataFrame:
-    """New or changed non-building units that did not start a building in that frame."""
-    steps = _type_steps(units, max_rows).where(F.lit(include_initial) | (F.col("ordinal") > 1))
+    """New or changed non-building units that did not start a building in that frame.
+
+    `units` may come with `unit_steps` done.
+    """
+    steps = _stepped(units, include_initial, max_rows)
     fresh = F.col("_prev_type").isNull() | (F.col("_prev_type") != F.col("unit_type_id"))
     shown = (
         (F.col("category") != "building")
@@ -273,17 +324,13 @@ def build_events(
 ) -> DataFrame:
     """All start events (replay_id, owner, frame, name), equal lines collapsed."""
     units, known = _named_units(units, names)
-    queued = queue_increments(units, include_initial=include_initial, max_rows=max_rows)
+    units = unit_steps(units, include_initial=include_initial, max_rows=max_rows)
+    queued = queue_increments(units, include_initial=include_initial)
     queued = _with_target_name(queued.withColumn("target_name", F.lit(None).cast("string")), known).where(
         F.col("target_name").isNotNull() & ~F.col("target_name").isin(*TRANSIENT_TYPES)
     )
-    structure = is_building_id("target")
-    trained = queued.where(~structure).select(*K, "frame", "target_name")
-    candidates = building_candidates(units, known, include_initial=include_initial, max_rows=max_rows).unionByName(
-        queued.where(structure & F.coalesce("morphing_building", F.lit(False))).select(
-            *KU, "frame", "pos", "build_time", "remaining_build_time", "target", "target_name"
-        )
-    )
+    trained = queued.where(~is_building_id("target")).select(*K, "frame", "target_name")
+    candidates = start_candidates(units, known, include_initial=include_initial)
     started = building_starts(candidates, max_rows=max_rows)
     research = research_starts(units, include_initial=include_initial, include_tech=include_tech, max_rows=max_rows)
     out = (
@@ -303,13 +350,15 @@ def in_event_order(events: DataFrame) -> DataFrame:
     return events.orderBy("frame", "owner", "item")
 
 
-def participants_of(timeline: Timeline, events: DataFrame, explicit: Sequence[int] = ()) -> DataFrame:
-    """Owners asked for or with a snapshot, a death or an event, with name and race."""
-    owners = (
-        timeline.owners.select(*K)
-        .union(death_series(timeline.deaths).select(*K))
-        .union(events.select(*K))
-    )
+def participants_of(timeline: Timeline, events: DataFrame | None = None, explicit: Sequence[int] = ()) -> DataFrame:
+    """Owners asked for or with a snapshot, a death or an event, with name and race.
+
+    Events that were built from the timeline's own units need not be given:
+    their owners have snapshots.
+    """
+    owners = timeline.owners.select(*K).union(death_series(timeline.deaths).select(*K))
+    if events is not None:
+        owners = owners.union(events.select(*K))
     if explicit:
         asked = timeline.snapshots.select(M).distinct()
         owners = owners.union(asked.select(M, F.explode(F.array(*[F.lit(int(o)) for o in explicit])).alias("owner")))
@@ -332,6 +381,24 @@ def match_rows(timeline: Timeline, people: DataFrame) -> DataFrame:
     return last.join(sides, M, "left").withColumn("map", F.lit(None).cast("string"))
 
 
+class Series(Mapping):
+    """Named tables, each planned when it is first asked for."""
+
+    def __init__(self, plans: dict[str, Callable[[], DataFrame]]):
+        self._plans, self._made = plans, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._plans[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._plans)
+
+    def __len__(self) -> int:
+        return len(self._plans)
+
+
 def reduce_timeline(
     raw: DataFrame,
     names: DataFrame | None = None,
@@ -341,28 +408,26 @@ def reduce_timeline(
     include_tech: bool = False,
     include_unit_appearances: bool = False,
     max_rows: int | None = None,
-) -> dict[str, DataFrame]:
-    """All series of a set of timelines.
+) -> Mapping[str, DataFrame]:
+    """All series of a set of timelines, each planned when it is asked for.
 
-    Each result reads the snapshots again; pass a written table (see
-    `sources.staging.stage`) rather than raw text when several are used.
+    The series read the snapshots as they are written once.
     """
     t = explode_timeline(raw, max_rows=max_rows)
     if owners is not None:
         keep = F.col("owner").isin(*owners)
         t = Timeline(t.snapshots, t.owners.where(keep), t.units.where(keep), t.deaths.where(keep))
-    events = build_events(
-        t.units, names, include_initial=include_initial, include_tech=include_tech,
-        include_unit_appearances=include_unit_appearances, max_rows=max_rows,
-    )
-    people = participants_of(t, events, owners or ())
-    return {
-        "events": events,
-        "economy": economy_series(t.owners),
-        "supply": supply_series(t.owners, max_rows=max_rows),
-        "unit_counts": count_series(t.owners, max_rows=max_rows),
-        "deaths": death_series(t.deaths),
-        "participants": people,
-        "matches": match_rows(t, people),
-        "sampling": frame_gaps(t.snapshots, max_rows=max_rows),
-    }
+    out = Series({
+        "events": lambda: build_events(
+            t.units, names, include_initial=include_initial, include_tech=include_tech,
+            include_unit_appearances=include_unit_appearances, max_rows=max_rows,
+        ),
+        "economy": lambda: economy_series(t.owners),
+        "supply": lambda: supply_series(t.owners, max_rows=max_rows),
+        "unit_counts": lambda: count_series(t.owners, max_rows=max_rows),
+        "deaths": lambda: death_series(t.deaths),
+        "participants": lambda: participants_of(t, explicit=owners or ()),
+        "matches": lambda: match_rows(t, out["participants"]),
+        "sampling": lambda: frame_gaps(t.snapshots, max_rows=max_rows),
+    })
+    return out

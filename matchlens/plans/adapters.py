@@ -100,41 +100,49 @@ class Tables:
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        p, q = F.col("p"), F.col("q")
-        type_id = F.when(q % 4 == 0, F.lit(131) + p % 3).when(q % 4 == 1, F.lit(106) + p % 3).otherwise(F.lit(36) + p % 3)
-        building = F.col("q") % 4 < 2
-        unit = F.struct(
-            "id",
-            F.concat(F.lit("type_"), type_id.cast("string")).alias("unit_type"),
-            type_id.cast("int").alias("unit_type_id"),
-            F.when(building, "building").otherwise("unit").alias("category"),
-            F.array((F.lit(37) + p % 2).cast("int"), (F.lit(37) + q % 3).cast("int"), (F.lit(132) + q % 2).cast("int")).alias("build_queue_unit_ids"),
-            F.when(q % 5 == 0, p % 4).cast("int").alias("upgrade_in_progress"),
-            F.when(q % 7 == 0, p % 3).cast("int").alias("tech_in_progress"),
-            (q % 3 == 0).alias("morphing_building"),
-            F.when(q % 6 == 0, F.lit(133)).cast("int").alias("morph_target_unit_type_id"),
-            F.when(q % 2 == 0, F.lit(10)).cast("int").alias("build_time"),
-            F.when(q % 4 != 1, q % 12).cast("int").alias("remaining_build_time"),
-        )
-        per_owner = self.unit_rows.groupBy("replay_id", "frame", "owner").agg(
-            F.array_sort(F.collect_list(unit)).alias("units"), F.max("q").alias("mq"), F.min("p").alias("mp"), F.count(F.lit(1)).cast("int").alias("c")
-        )
-        owner = F.struct(
-            F.when(F.col("mq") % 3 == 0, F.concat(F.lit("name"), F.col("owner").cast("string"))).alias("name"),
-            F.when(F.col("mq") < 49, F.col("mq")).alias("minerals"),
-            F.col("mp").alias("gas"),
-            F.lit(None).cast("int").alias("gathered_minerals"),
-            F.lit(None).cast("int").alias("gathered_gas"),
-            F.col("c").alias("workers_alive"),
-            (F.col("mq") % 3).cast("int").alias("supply_current"),
-            F.lit(9).alias("supply_max"),
-            F.map_from_arrays(F.array(F.lit("drone"), F.lit("goliath_turret")), F.array(F.col("c"), (F.col("mq") % 2).cast("int"))).alias("unit_counts"),
-            "units",
-        )
+        def unit(row):
+            p, q = row["p"], row["q"]
+            type_id = F.when(q % 4 == 0, F.lit(131) + p % 3).when(q % 4 == 1, F.lit(106) + p % 3).otherwise(F.lit(36) + p % 3)
+            return F.struct(
+                row["id"].alias("id"),
+                F.concat(F.lit("type_"), type_id.cast("string")).alias("unit_type"),
+                type_id.cast("int").alias("unit_type_id"),
+                F.when(q % 4 < 2, "building").otherwise("unit").alias("category"),
+                F.array((F.lit(37) + p % 2).cast("int"), (F.lit(37) + q % 3).cast("int"), (F.lit(132) + q % 2).cast("int")).alias("build_queue_unit_ids"),
+                F.when(q % 5 == 0, p % 4).cast("int").alias("upgrade_in_progress"),
+                F.when(q % 7 == 0, p % 3).cast("int").alias("tech_in_progress"),
+                (q % 3 == 0).alias("morphing_building"),
+                F.when(q % 6 == 0, F.lit(133)).cast("int").alias("morph_target_unit_type_id"),
+                F.when(q % 2 == 0, F.lit(10)).cast("int").alias("build_time"),
+                F.when(q % 4 != 1, q % 12).cast("int").alias("remaining_build_time"),
+            )
+
+        def owner(side):
+            mq, c = side["mq"], F.size(side["rows"])
+            return F.struct(
+                F.when(mq % 3 == 0, F.concat(F.lit("name"), side["owner"].cast("string"))).alias("name"),
+                F.when(mq < 49, mq).alias("minerals"),
+                F.array_min(F.transform(side["rows"], lambda r: r["p"])).alias("gas"),
+                F.lit(None).cast("int").alias("gathered_minerals"),
+                F.lit(None).cast("int").alias("gathered_gas"),
+                c.alias("workers_alive"),
+                (mq % 3).cast("int").alias("supply_current"),
+                F.lit(9).alias("supply_max"),
+                F.map_from_arrays(F.array(F.lit("drone"), F.lit("goliath_turret")), F.array(c, (mq % 2).cast("int"))).alias("unit_counts"),
+                F.transform(side["rows"], unit).alias("units"),
+            )
+
+        # Dealt by snapshot and gathered while the rows are narrow; a snapshot has ten at most.
+        rows = self.unit_rows.repartition("replay_id", "frame")
+        gathered = rows.groupBy("replay_id", "frame").agg(F.array_sort(F.collect_list(F.struct("owner", "id", "p", "q"))).alias("rows"))
+        of_owner = lambda o: F.filter("rows", lambda r: r["owner"] == o)
+        sides = F.transform(F.array_distinct(F.transform("rows", lambda r: r["owner"])), lambda o: F.struct(
+            o.alias("owner"), of_owner(o).alias("rows"), F.array_max(F.transform(of_owner(o), lambda r: r["q"])).alias("mq")))
         death = "array<struct<id:int,owner:int,unit_type:string,unit_type_id:int,category:string,pos_x:int,pos_y:int>>"
-        return per_owner.groupBy("replay_id", "frame").agg(
-            F.map_from_entries(F.collect_list(F.struct(F.col("owner").cast("string"), owner))).alias("owners")
-        ).withColumn("deaths", F.array().cast(death))
+        return gathered.select("replay_id", "frame", sides.alias("sides")).select(
+            "replay_id", "frame",
+            F.map_from_entries(F.transform("sides", lambda s: F.struct(s["owner"].cast("string"), owner(s)))).alias("owners"),
+            F.array().cast(death).alias("deaths"))
 
 
 K = ["replay_id", "owner", "time_seconds"]

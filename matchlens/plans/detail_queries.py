@@ -41,7 +41,7 @@ SELECT owner AS replay_id, l_linenumber % 2 AS owner, CAST(time_seconds AS INT)
 FROM lines WHERE l_returnflag = 'R' AND (l_partkey % 9 = 0 OR l_partkey % 4 <> 0) GROUP BY ALL""",
 )
 def timeline_deaths(t: Tables) -> DataFrame:
-    """Deaths from snapshots, from the whole reduction; turrets are omitted and the tank has one name."""
+    """Deaths from snapshots, as the reduction has them; turrets are omitted and the tank has one name."""
     out = reduction.reduce_timeline(_with_deaths(t))["deaths"]
     cells = [*K, "frame", "dead_owner", "unit_type", "category", "unit_id", "pos_x"]
     return out.groupBy(*cells).agg(F.count(F.lit(1)).alias("copies"))
@@ -70,10 +70,8 @@ def unit_appearances(t: Tables) -> DataFrame:
     """New or changed units, but those that started a building in the same frame."""
     flat = reduction.explode_timeline(t.snapshots)
     units, known = reduction._named_units(flat.units, None)
-    queued = reduction._with_target_name(reduction.queue_increments(units).withColumn("target_name", F.lit(None).cast("string")), known)
-    candidates = reduction.building_candidates(units, known).unionByName(
-        queued.where(F.col("target").between(106, 172) & F.col("morphing_building")).select(
-            "replay_id", "owner", "unit_id", "frame", "pos", "build_time", "remaining_build_time", "target", "target_name"))
+    units = reduction.unit_steps(units)
+    candidates = reduction.start_candidates(units, known, structure=lambda target: target.between(106, 172))
     out = reduction.appearances(units, reduction.building_starts(candidates))
     return out.groupBy(*K, "frame", "unit_type").agg(F.count(F.lit(1)).alias("units"))
 

@@ -84,13 +84,7 @@ FROM d WHERE last_t IS NULL OR last_t <> target""",
 )
 def build_start_dedupe(t: Tables) -> DataFrame:
     units, known = reduction._named_units(_flat(t).units, None)
-    queued = reduction.queue_increments(units)
-    queued = reduction._with_target_name(queued.withColumn("target_name", F.lit(None).cast("string")), known)
-    cand = reduction.building_candidates(units, known).unionByName(
-        queued.where(F.col("target").between(106, 172) & F.col("morphing_building")).select(
-            "replay_id", "owner", "unit_id", "frame", "pos", "build_time", "remaining_build_time", "target", "target_name"
-        )
-    )
+    cand = reduction.start_candidates(units, known, structure=lambda target: target.between(106, 172))
     return reduction.building_starts(cand).select("replay_id", "owner", "unit_id", "target", "seen_frame", "frame")
 
 

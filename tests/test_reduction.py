@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from matchlens.operators import reduction
+from matchlens.operators import ordered, reduction
 from matchlens.schema import SNAPSHOT
 from matchlens.streaming import jobs
 
@@ -149,6 +149,36 @@ def test_against_state_machine(spark, names, include_initial, max_rows):
     assert {(r.frame, r.owner, r.item) for r in got.collect()} == {(f, o, label[x]) for f, o, x in restated(snaps, include_initial)}
 
 
+def test_series_are_planned_when_asked_for(spark, names):
+    """The deaths need no scan of the units."""
+    series = reduction.reduce_timeline(frames(spark, random_snaps(3)), names)
+    assert {"deaths", "events", "participants"} <= set(series) and not series._made
+    assert series["deaths"].count() == 0 and set(series._made) == {"deaths"}
+
+
+def test_derived_snapshots_are_written_once(spark, names, monkeypatch):
+    snaps = random_snaps(3)
+    raw = frames(spark, snaps).groupBy("replay_id", "frame").agg(F.first("owners").alias("owners"), F.first("deaths").alias("deaths"))
+    want = listed(reduction.build_events(reduction.explode_timeline(raw).units, names))
+    monkeypatch.setattr(reduction, "SMALL_TIMELINE_BYTES", -1)
+    t = reduction.explode_timeline(raw)
+    assert ordered.is_derived(raw) and not ordered.is_derived(t.owners) and not ordered.is_derived(t.deaths)
+    assert listed(reduction.build_events(t.units, names)) == want
+
+
+@pytest.mark.parametrize("max_rows", [None, 5])
+def test_one_scan_for_types_and_queues(spark, names, max_rows):
+    """Candidates of one pass are those of the two steps, and no second scan is planned for them."""
+    units, known = reduction._named_units(reduction.explode_timeline(frames(spark, random_snaps(4)), max_rows=max_rows).units, names)
+    two = reduction.building_candidates(units, known, max_rows=max_rows).unionByName(reduction._with_target_name(
+        reduction.queue_increments(units, max_rows=max_rows).where(F.col("target").between(106, 172) & F.coalesce("morphing_building", F.lit(False)))
+        .withColumn("target_name", F.lit(None).cast("string")), known).select(
+        *reduction.KU, "frame", "pos", "build_time", "remaining_build_time", "target", "target_name"))
+    one = reduction.start_candidates(reduction.unit_steps(units, max_rows=max_rows), known)
+    shown = lambda df: Counter(tuple(r) for r in df.select(*reduction.KU, "frame", "pos", "target", "target_name").collect())
+    assert shown(one) == shown(two) and len(shown(one)) > 20
+
+
 def test_stream_matches_state_machine(spark, tmp_path):
     """Snapshots arriving in three files give the starts of the batch reduction."""
     snaps = random_snaps(2)
