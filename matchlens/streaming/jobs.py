@@ -24,6 +24,9 @@ DELAY = "10 minutes"
 HOLD_MS = 600_000
 #: What the binary file source reports; contents are read only where they are selected.
 FILE_LISTING = "path string, modificationTime timestamp, length long, content binary"
+#: Files of one batch of the ingest stream. A batch costs a commit over all tables, so large backlogs take large batches;
+#: the driver holds their names, some 200 bytes each.
+PER_TRIGGER = 20_000
 
 
 def loss_windows(
@@ -204,7 +207,7 @@ def research_starts(
     )
 
 
-def analysis_stream(spark: SparkSession, root: str, per_trigger: int = 1000) -> DataFrame:
+def analysis_stream(spark: SparkSession, root: str, per_trigger: int = PER_TRIGGER) -> DataFrame:
     """Paths of new manifests and archives below a folder, each seen once per checkpoint; no contents."""
     return (
         spark.readStream.format("binaryFile").schema(FILE_LISTING)
@@ -286,7 +289,7 @@ def ingest_batch(corpus_root: str, stream: str, buckets: int | None) -> Callable
 
 
 def ingest_stream(
-    spark: SparkSession, root: str, corpus_root: str, checkpoint: str, *, per_trigger: int = 1000, buckets: int | None = None
+    spark: SparkSession, root: str, corpus_root: str, checkpoint: str, *, per_trigger: int = PER_TRIGGER, buckets: int | None = None
 ):
     """Keep the corpus up to date with an analysis folder; returns the started query.
 

@@ -153,3 +153,17 @@ def test_stream_takes_in_a_manifest_ahead_of_its_archive(spark, tmp_path):
     before = step()
     jobs.ingest_batch(store, mark, 2)(spark.createDataFrame([(f"file:{two}",)], "path string"), 1)  # a batch once more after a failure
     assert step()[0] == before[0]
+
+
+def test_backlog_is_taken_in_by_one_batch(spark, tmp_path):
+    """More files than a thousand waiting at once cost one commit, not one for every thousand."""
+    from matchlens.streaming import jobs
+
+    root = tmp_path / "in"
+    for i in range(1001):
+        (root / str(i)).mkdir(parents=True)
+        (root / str(i) / "manifest.json").write_text("{}")
+    sizes = []
+    query = jobs.analysis_stream(spark, str(root)).writeStream.foreachBatch(lambda df, _: sizes.append(df.count()))
+    query.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert sizes == [1001]
