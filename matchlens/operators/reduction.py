@@ -9,7 +9,7 @@ before; state kept per snapshot becomes a comparison of snapshot ordinals.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,42 +42,70 @@ morphing_building morph_target_unit_type_id build_time remaining_build_time
 """.split()
 
 
-@dataclass
-class Timeline:
-    """Flat rows of a set of timelines."""
-
-    snapshots: DataFrame  # replay_id, frame, ordinal
-    owners: DataFrame  # ... owner, scalars, unit_counts
-    units: DataFrame  # ... owner, unit columns
-    deaths: DataFrame  # replay_id, frame, owner, unit_type, ...
-
-
 def written(raw: DataFrame) -> DataFrame:
     """The snapshots as a scan: what is derived or large is written once, since every series reads it."""
     plan = raw._jdf.queryExecution().optimizedPlan()
     return raw if plan.children().isEmpty() or is_small(raw, SMALL_TIMELINE_BYTES) else stage(raw, "snapshots")
 
 
+class Timeline:
+    """Flat rows of a set of timelines; `owners` keeps these alone.
+
+    Snapshots are written when their units or their numbers are asked for, which
+    takes several readings. Scalars and deaths by themselves read only their own
+    columns of what was given.
+    """
+
+    def __init__(self, raw: DataFrame, owners: Sequence[int] | None = None, max_rows: int | None = None):
+        self._raw, self._owners, self._max_rows = raw, owners, max_rows
+
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        return rows if self._owners is None else rows.where(F.col("owner").isin(*self._owners))
+
+    @cached_property
+    def _written(self) -> DataFrame:
+        return written(self._raw)
+
+    def _flat(self) -> DataFrame:
+        return self.__dict__.get("_written", self._raw).select(M, "frame", F.explode("owners").alias("_k", "o")).select(
+            M, "frame", F.col("_k").cast("int").alias("owner"), "o.*"
+        )
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        """replay_id, frame, ordinal"""
+        return ordered_scan(
+            self._written.select(M, "frame").distinct(), [M], ["frame"], {"ordinal": ("total", F.lit(1).cast("bigint"))}, max_rows=self._max_rows
+        )
+
+    @property
+    def owners(self) -> DataFrame:
+        """replay_id, frame, owner, scalars, unit_counts"""
+        return self._kept(self._flat().drop("units"))
+
+    @cached_property
+    def units(self) -> DataFrame:
+        """replay_id, frame, owner, ordinal, unit columns"""
+        order = self.snapshots
+        # Only the fields the reduction uses; packed timelines carry more, among them another owner.
+        return self._kept(self._flat().select(M, "frame", "owner", F.explode("units").alias("u")).select(
+            M, "frame", "owner", F.col("u.id").alias("unit_id"), *[F.col(f"u.{f}") for f in UNIT_FIELDS]
+        ).join(order, [M, "frame"]))
+
+    @property
+    def deaths(self) -> DataFrame:
+        """replay_id, frame, owner, unit_type, ..."""
+        raw = self.__dict__.get("_written", self._raw)
+        return self._kept(raw.select(M, "frame", F.explode("deaths").alias("d")).select(M, "frame", "d.*"))
+
+
 def explode_timeline(raw: DataFrame, *, max_rows: int | None = None) -> Timeline:
     """Flatten snapshots (replay_id, frame, owners, deaths); number them per match.
 
     The numbering is joined back by (match, frame), so the wide nested rows are
     not sorted or shuffled for it.
     """
-    raw = written(raw)
-    order = ordered_scan(
-        raw.select(M, "frame").distinct(), [M], ["frame"], {"ordinal": ("total", F.lit(1).cast("bigint"))}, max_rows=max_rows
-    )
-    flat = raw.select(M, "frame", F.explode("owners").alias("_k", "o")).select(
-        M, "frame", F.col("_k").cast("int").alias("owner"), "o.*"
-    )
-    owners = flat.drop("units")
-    # Only the fields the reduction uses; packed timelines carry more, among them another owner.
-    units = flat.select(M, "frame", "owner", F.explode("units").alias("u")).select(
-        M, "frame", "owner", F.col("u.id").alias("unit_id"), *[F.col(f"u.{f}") for f in UNIT_FIELDS]
-    ).join(order, [M, "frame"])
-    deaths = raw.select(M, "frame", F.explode("deaths").alias("d")).select(M, "frame", "d.*")
-    return Timeline(order, owners, units, deaths)
+    return Timeline(raw, max_rows=max_rows)
 
 
 def economy_series(owners: DataFrame) -> DataFrame:
@@ -356,6 +384,7 @@ def participants_of(timeline: Timeline, events: DataFrame | None = None, explici
     Events that were built from the timeline's own units need not be given:
     their owners have snapshots.
     """
+    race = infer_race(timeline.units)
     owners = timeline.owners.select(*K).union(death_series(timeline.deaths).select(*K))
     if events is not None:
         owners = owners.union(events.select(*K))
@@ -365,7 +394,7 @@ def participants_of(timeline: Timeline, events: DataFrame | None = None, explici
     owners = owners.distinct()
     return (
         owners.join(owner_names(timeline.owners), K, "left")
-        .join(infer_race(timeline.units), K, "left")
+        .join(race, K, "left")
         .select(
             *K,
             F.coalesce("name", F.concat(F.lit("Player "), (F.col("owner") + 1).cast("string"))).alias("name"),
@@ -413,10 +442,7 @@ def reduce_timeline(
 
     The series read the snapshots as they are written once.
     """
-    t = explode_timeline(raw, max_rows=max_rows)
-    if owners is not None:
-        keep = F.col("owner").isin(*owners)
-        t = Timeline(t.snapshots, t.owners.where(keep), t.units.where(keep), t.deaths.where(keep))
+    t = Timeline(raw, owners, max_rows)
     out = Series({
         "events": lambda: build_events(
             t.units, names, include_initial=include_initial, include_tech=include_tech,
