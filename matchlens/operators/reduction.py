@@ -83,14 +83,19 @@ class Timeline:
         """replay_id, frame, owner, scalars, unit_counts"""
         return self._kept(self._flat().drop("units"))
 
+    @property
+    def unit_rows(self) -> DataFrame:
+        """replay_id, frame, owner, unit columns; without the number of the snapshot nothing is written or joined"""
+        # Only the fields the reduction uses; packed timelines carry more, among them another owner.
+        return self._kept(self._flat().select(M, "frame", "owner", F.explode("units").alias("u")).select(
+            M, "frame", "owner", F.col("u.id").alias("unit_id"), *[F.col(f"u.{f}") for f in UNIT_FIELDS]
+        ))
+
     @cached_property
     def units(self) -> DataFrame:
         """replay_id, frame, owner, ordinal, unit columns"""
         order = self.snapshots
-        # Only the fields the reduction uses; packed timelines carry more, among them another owner.
-        return self._kept(self._flat().select(M, "frame", "owner", F.explode("units").alias("u")).select(
-            M, "frame", "owner", F.col("u.id").alias("unit_id"), *[F.col(f"u.{f}") for f in UNIT_FIELDS]
-        ).join(order, [M, "frame"]))
+        return self.unit_rows.join(order, [M, "frame"])
 
     @property
     def deaths(self) -> DataFrame:
@@ -201,7 +206,7 @@ def _stepped(units: DataFrame, include_initial: bool, max_rows: int | None) -> D
     return steps.where(F.lit(include_initial) | (F.col("ordinal") > 1))
 
 
-def _grown() -> Column:
+def grown() -> Column:
     """Targets of a row's queue with the copies that the row before did not have."""
     prev = F.coalesce("_prev", F.array().cast("array<int>"))
     copies = lambda q, x: F.size(F.filter(q, lambda y: y == x))
@@ -220,7 +225,7 @@ def queue_increments(units: DataFrame, *, include_initial: bool = False, max_row
     `units` may come with `unit_steps` done.
     """
     return _stepped(units, include_initial, max_rows).select(
-        *KU, "frame", "ordinal", "morphing_building", "build_time", "remaining_build_time", F.posexplode(_grown()).alias("pos", "g")
+        *KU, "frame", "ordinal", "morphing_building", "build_time", "remaining_build_time", F.posexplode(grown()).alias("pos", "g")
     ).select("*", "g.target", "g.copies").drop("g")
 
 
@@ -252,7 +257,7 @@ def start_candidates(
     """`building_candidates` and the buildings that morphing units have queued, in one pass that keeps rows with their unit."""
     morphs, built = _own_start()
     queued = F.filter(
-        F.transform(_grown(), lambda g, i: F.struct(i.alias("pos"), g["target"].alias("target"), F.lit(None).cast("string").alias("target_name"))),
+        F.transform(grown(), lambda g, i: F.struct(i.alias("pos"), g["target"].alias("target"), F.lit(None).cast("string").alias("target_name"))),
         lambda g: structure(g["target"]) & F.coalesce("morphing_building", F.lit(False)))
     own = F.struct(
         F.lit(-1).alias("pos"), F.when(morphs, F.col("morph_target_unit_type_id")).otherwise(F.col("unit_type_id")).alias("target"),

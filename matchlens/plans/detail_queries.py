@@ -10,7 +10,7 @@ from ..operators.ordered import row_place
 from ..operators.starters import STARTERS
 from ..schema import Corpus, with_folded
 from ..sources import bundles, sinks, staging
-from ..streaming import jobs
+from ..streaming import starts
 from .adapters import Tables
 from .event_queries import PLAYER
 from .registry import query
@@ -84,18 +84,17 @@ UNION ALL SELECT replay_id, owner, unit_id, frame, CAST(target AS INT), 'unit',
 )
 def stream_unit_starts(t: Tables) -> DataFrame:
     """Starts of buildings and units as snapshots arrive in four parts, each found by a later run of the stream."""
-    folder, out, checkpoint = (staging.new_path(t.spark, x) for x in ("snapshots", "stream", "checkpoint"))
-    units = reduction.explode_timeline(t.snapshots).units.select(
+    folder, root, checkpoint = (staging.new_path(t.spark, x) for x in ("snapshots", "starts", "checkpoint"))
+    units = reduction.explode_timeline(t.snapshots).unit_rows.select(
         *K, "unit_id", "frame", "unit_type_id", "category", "build_queue_unit_ids", "morph_target_unit_type_id", "morphing_building",
         F.timestamp_micros((F.col("frame") * 42_000).cast("long")).alias("ts"))
     units = staging.stage(units, "units")
     for part, (lo, hi) in enumerate(((-1, 500), (500, 1200), (1200, 1800), (1800, 1 << 30))):
         units.where((F.col("frame") > lo) & (F.col("frame") <= hi)).write.parquet(f"{folder}/{part}")
         stream = t.spark.readStream.schema(units.schema).option("recursiveFileLookup", True).parquet(folder)
-        jobs.run_available(jobs.building_starts(stream, first_frame=100), out, checkpoint)
-    types = "replay_id bigint, owner int, unit_id int, frame bigint, target int, kind string, late boolean"
-    found = t.spark.read.schema(types).parquet(out).where(~F.col("late"))
-    return found.groupBy(*K, "unit_id", "frame", "target", "kind").agg(F.count(F.lit(1)).alias("copies"))
+        starts.start(stream, root, checkpoint, first_frame=100).awaitTermination()
+    found = starts.starts(t.spark, root).where(~F.col("late"))
+    return found.groupBy(*K, "unit_id", F.col("frame").cast("bigint").alias("frame"), "target", "kind").agg(F.sum("copies").alias("copies"))
 
 
 def _wide(t: Tables) -> Corpus:

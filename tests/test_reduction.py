@@ -228,3 +228,45 @@ def test_stream_ingest(spark, tmp_path):
     (folder / "player_1.zip").write_bytes(archive)
     assert jobs.retry_missing(spark, str(root), store, buckets=2).count() == 0
     assert {r.replay_id for r in open_corpus(spark, store).replays.collect()} == {"m1", "m2", "m4"}
+
+
+@pytest.mark.parametrize("max_rows", [None, 5])
+def test_unit_starts_by_batches(spark, tmp_path, monkeypatch, max_rows):
+    """Batches of a stream give the starts of the keyed operator, without a Python call per unit; late rows stand beside them."""
+    from matchlens.streaming import starts
+
+    if max_rows:
+        monkeypatch.setattr(ordered, "is_small", lambda df, limit=0: False)
+        monkeypatch.setattr(ordered, "MAX_ROWS", max_rows)
+    snaps = random_snaps(2)
+    want = {w for w in {(f, o, x) for f, o, x in restated(snaps)} if not isinstance(w[2], str)}
+    units = reduction.explode_timeline(frames(spark, snaps)).unit_rows.withColumn("ts", F.timestamp_seconds(F.col("frame") + 10**9))
+    src, root, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    for lo in (0, 20, 40):
+        units.where((F.col("frame") >= lo) & (F.col("frame") < lo + 20)).write.mode("append").parquet(src)
+        rows = spark.readStream.schema(units.schema).parquet(src)
+        starts.start(rows, root, mark, transient_ids=[36]).awaitTermination()
+    held = spark.read.parquet(f"{root}/state/batch=2")
+    assert {r.unit_id for r in units.select("unit_id").distinct().collect()} == {r.unit_id for r in held.collect()}
+    units.where("frame = 3").write.mode("append").parquet(src)
+    starts.start(spark.readStream.schema(units.schema).parquet(src), root, mark, transient_ids=[36]).awaitTermination()
+    found = starts.starts(spark, root)
+    assert {(r.frame, r.owner, r.target) for r in found.where("not late").collect()} == want
+    assert found.where("batch < 3 and late").count() == 0
+    assert found.where("batch = 3").count() == found.where("late").count() == units.where("frame = 3").count()
+    assert "Python" not in spark._jvm.PythonSQLUtils.explainString(
+        starts.find_starts(units, held)._jdf.queryExecution(), "simple") and spark.read.parquet(f"{root}/state/batch=3").count() == held.count()
+
+
+def test_forgotten_units_are_late_behind_the_watermark(spark):
+    from matchlens.streaming import starts
+
+    row = [(1, 1, 7, 5, 40, "unit", [37], None, False), (1, 1, 8, 5, 40, "unit", [37], None, False)]
+    units = spark.createDataFrame(
+        row, "replay_id long, owner int, unit_id int, frame int, unit_type_id int, category string, build_queue_unit_ids array<int>,"
+        " morph_target_unit_type_id int, morphing_building boolean").withColumn("ts", F.timestamp_seconds(F.lit(100)))
+    held = spark.createDataFrame([(1, 1, 7, 4, 40, [], 0, None)],
+                                 "replay_id long, owner int, unit_id int, frame int, unit_type_id int, _q array<int>, at long, announced int")
+    found = starts.find_starts(units, held, 200_000_000)
+    assert {(r.unit_id, r.late) for r in found.collect()} == {(7, False), (8, True)}
+    assert {(r.unit_id, r.frame) for r in starts.next_state(units, held, found, 200_000_000).collect()} == {(7, 5)}
