@@ -91,13 +91,6 @@ class Tables:
 
     # Snapshot timelines: one match per supplier, one snapshot per ship day.
 
-    @cached_property
-    def unit_rows(self) -> DataFrame:
-        n = F.col("l_linenumber")
-        return self.lines.groupBy(
-            F.col("owner").alias("replay_id"), F.col("time_seconds").cast("int").alias("frame"), (n % 2).alias("owner"), (F.col("l_partkey") % 5).cast("int").alias("id")
-        ).agg(F.min("l_partkey").cast("int").alias("p"), F.min("l_quantity").cast("int").alias("q"), F.min(n).alias("n"))
-
     @cached_property
     def snapshots(self) -> DataFrame:
         def unit(row):
@@ -132,12 +125,19 @@ class Tables:
                 F.transform(side["rows"], unit).alias("units"),
             )
 
-        # Dealt by snapshot and gathered while the rows are narrow; a snapshot has ten at most.
-        rows = self.unit_rows.repartition("replay_id", "frame")
-        gathered = rows.groupBy("replay_id", "frame").agg(F.array_sort(F.collect_list(F.struct("owner", "id", "p", "q"))).alias("rows"))
-        of_owner = lambda o: F.filter("rows", lambda r: r["owner"] == o)
-        sides = F.transform(F.array_distinct(F.transform("rows", lambda r: r["owner"])), lambda o: F.struct(
-            o.alias("owner"), of_owner(o).alias("rows"), F.array_max(F.transform(of_owner(o), lambda r: r["q"])).alias("mq")))
+        # Lines are dealt by snapshot while they are narrow. A snapshot has two sides of five units at most, so its units
+        # are twenty numbers (least part and quantity of each) that one hash aggregate finds, without lists to gather.
+        n, p = F.col("l_linenumber"), F.col("l_partkey")
+        lines = self.lines.select(
+            F.col("owner").alias("replay_id"), F.col("time_seconds").cast("int").alias("frame"), (n % 2 * 5 + p % 5).cast("int").alias("cell"),
+            p.cast("int").alias("p"), F.col("l_quantity").cast("int").alias("q")).repartition("replay_id", "frame")
+        least = lambda c, i: F.min(F.when(F.col("cell") == i, F.col(c))).alias(f"{c}{i}")
+        gathered = lines.groupBy("replay_id", "frame").agg(*[least(c, i) for i in range(10) for c in "pq"])
+        rows = lambda o: F.filter(F.array(*[
+            F.struct(F.lit(i).alias("id"), F.col(f"p{5 * o + i}").alias("p"), F.col(f"q{5 * o + i}").alias("q")) for i in range(5)]), lambda r: r["p"].isNotNull())
+        sides = F.transform(
+            F.filter(F.array(*[F.struct(F.lit(o).alias("owner"), rows(o).alias("rows")) for o in (0, 1)]), lambda s: F.size(s["rows"]) > 0),
+            lambda s: F.struct(s["owner"], s["rows"], F.array_max(F.transform(s["rows"], lambda r: r["q"])).alias("mq")))
         death = "array<struct<id:int,owner:int,unit_type:string,unit_type_id:int,category:string,pos_x:int,pos_y:int>>"
         return gathered.select("replay_id", "frame", sides.alias("sides")).select(
             "replay_id", "frame",

@@ -270,3 +270,10 @@ def test_forgotten_units_are_late_behind_the_watermark(spark):
     found = starts.find_starts(units, held, 200_000_000)
     assert {(r.unit_id, r.late) for r in found.collect()} == {(7, False), (8, True)}
     assert {(r.unit_id, r.frame) for r in starts.next_state(units, held, found, 200_000_000).collect()} == {(7, 5)}
+
+
+def test_snapshots_take_one_shuffle(spark):
+    from matchlens.plans.adapters import Tables
+
+    plan = Tables(spark, "/root/testdata/sf0.001").snapshots._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan
