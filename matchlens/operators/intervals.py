@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import supply_severity, supply_state
-from .ordered import ordered_scan
+from .ordered import SLICE, ordered_scan, with_slice
 from .scope import K
 
 GAP = 5.0
@@ -18,16 +18,21 @@ MARGIN = 120.0
 
 
 def merge_equal(
-    df: DataFrame, keys: Sequence[str], state: str = "state", extra: Sequence[Column] = (), *, max_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], state: str = "state", extra: Sequence[Column] = (), *, max_rows: int | None = None, hot: bool | None = None
 ) -> DataFrame:
-    """Join neighbouring intervals (`start`, `end`) of equal state into one."""
+    """Join neighbouring intervals (`start`, `end`) of equal state into one.
+
+    Where `df` has slices, `hot` tells whether any row is in one; joined
+    intervals then keep the slice in which they start, for the next scan.
+    """
     keys = list(keys)
     seen = ordered_scan(df, keys, ["start"], {"_before": ("previous", F.col(state))}, max_rows=max_rows, keep_slice=True)
     changed = F.when(F.col("_before").eqNullSafe(F.col(state)), 0).otherwise(1)
-    marked = ordered_scan(seen, keys, ["start"], {"_island": ("total", changed.cast("bigint"))}, max_rows=max_rows)
+    marked = ordered_scan(seen, keys, ["start"], {"_island": ("total", changed.cast("bigint"))}, max_rows=max_rows, keep_slice=bool(hot))
+    first_slice = [F.min(SLICE).alias(SLICE)] if hot else [] if hot is None else [F.lit(None).cast("bigint").alias(SLICE)]
     return (
         marked.groupBy(*keys, "_island")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first(state).alias(state), *extra)
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first(state).alias(state), *extra, *first_slice)
         .drop("_island")
     )
 
@@ -84,15 +89,19 @@ def supply_intervals(
         *K, "time_seconds", F.col("frame").cast("bigint").alias("frame"), "current", "max", "range_max"
     )
     points = opening.unionByName(inner).withColumn("state", supply_state("current", "max"))
+    # All scans go along time within K: the slices of the first serve the others, and rows are shuffled once.
+    cut = with_slice(points, K, ["time_seconds", "frame"], max_rows)
+    hot = SLICE in cut.columns
     timed = ordered_scan(
-        points, K, ["time_seconds", "frame"], {"_next": ("previous", F.col("time_seconds"))}, reverse=True, max_rows=max_rows
+        cut if hot else cut.withColumn(SLICE, F.lit(None).cast("bigint")), K, ["time_seconds", "frame"],
+        {"_next": ("previous", F.col("time_seconds"))}, reverse=True, max_rows=max_rows, keep_slice=True,
     )
     raw = timed.select(
-        *K, F.col("time_seconds").alias("start"), F.coalesce("_next", "range_max").alias("end"), "state"
+        *K, SLICE, F.col("time_seconds").alias("start"), F.coalesce("_next", "range_max").alias("end"), "state"
     ).where(F.col("end") > F.col("start"))
-    once = merge_equal(raw, K, max_rows=max_rows)
+    once = merge_equal(raw, K, max_rows=max_rows, hot=hot)
     near = ordered_scan(once, K, ["start"], {"_p": ("previous", F.col("state"))}, max_rows=max_rows, keep_slice=True)
-    near = ordered_scan(near, K, ["start"], {"_n": ("previous", F.col("state"))}, reverse=True, max_rows=max_rows)
+    near = ordered_scan(near, K, ["start"], {"_n": ("previous", F.col("state"))}, reverse=True, max_rows=max_rows, keep_slice=True)
     p, n = supply_severity("_p"), supply_severity("_n")
     absorb = (
         (F.col("state") == "ok")

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from matchlens.operators import asof, changes, combat, events, intervals
+from matchlens.operators import asof, changes, combat, events, intervals, ordered
 from matchlens.operators.ordered import SLICE, ordered_scan, text_place, with_slice
 from matchlens.operators.quantiles import summarize
 
@@ -276,3 +276,15 @@ def test_combat_places(spark, max_rows):
     got = {(r.replay_id, r.frame): r.place for r in out.collect()}
     want = sorted(rows[:80], key=lambda r: (r[2], r[3] == "own", {"worker": 0, "unit": 1, "building": 2}.get(r[4], 3), r[5], r[6]))
     assert got == {**{("m", r[6]): k + 1 for k, r in enumerate(want)}, (None, 500): 1, ("n", 7): 1}
+
+
+def test_supply_intervals_shuffle_once(spark, monkeypatch):
+    """Without a hot key all scans share one shuffle by participant and one count, also where the input is large."""
+    counted = []
+    monkeypatch.setattr(ordered, "is_small", lambda df, limit=0: False)
+    monkeypatch.setattr(ordered, "hold", lambda df: counted.append(1) or df)
+    df = spark.range(200).selectExpr("id % 3 as replay_id", "0 as owner", "cast(id as double) as time_seconds", "cast(id % 17 as int) as current", "10 as max", "id as frame")
+    ranges = spark.range(3).selectExpr("id as replay_id", "0.0D as range_min", "300.0D as range_max")
+    out = intervals.supply_intervals(df, ranges)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert counted == [1] and plan.count("LeftOuter") == 0 and out.count() > 20
