@@ -112,7 +112,7 @@ WITH r AS (SELECT replay_id, owner, CASE WHEN unit_type_id BETWEEN 0 AND 34 OR u
 SELECT replay_id, owner, arg_min(race, (-n, race)) AS race FROM r GROUP BY ALL""",
 )
 def race_mode(t: Tables) -> DataFrame:
-    return reduction.infer_race(_flat(t).units)
+    return reduction.infer_race(_flat(t).unit_rows)
 
 
 @query(

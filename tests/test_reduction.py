@@ -277,3 +277,10 @@ def test_snapshots_take_one_shuffle(spark):
 
     plan = Tables(spark, "/root/testdata/sf0.001").snapshots._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan
+
+
+def test_race_needs_no_snapshot_numbers(spark):
+    from matchlens.plans import QUERIES
+
+    plan = QUERIES["race_mode"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
