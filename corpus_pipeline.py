@@ -20,7 +20,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one document, the one of least id, of each group linked by five-word similarity of 0.8 or more."""
+    """Leaves one document, the one of least id, of each group linked by five-word similarity of 0.8 or more.
+
+    Fingerprints (operator 1) and MinHash bands propose the links, the texts' sets decide.
+    """
     return similar.one_of_each(docs)
 
 

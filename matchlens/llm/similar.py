@@ -1,16 +1,18 @@
-"""Near-duplicates by the Jaccard similarity of word shingle sets: MinHash bands find candidates, the sets themselves decide.
+"""Near-duplicates by the Jaccard similarity of word shingle sets: SimHash and MinHash bands find candidates, the sets themselves decide.
 
 A text's set is that of its `SHINGLE_WORDS`-word runs (64-bit hashes, ASCII case
 folded; a shorter text is one run). Two texts are linked if their sets' Jaccard
 similarity is at least 0.8, in whole numbers 9 * common >= 4 * (sizes' sum).
 
-Equal sets are one point. `BANDS` bands of `ROWS` minima propose candidates: a
-pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 32, 3
-in a million, more similar ones less. Candidates are compared in two rounds:
+Equal sets are one point. Candidates come from two sources. The grid of `simhash`
+proposes what its fingerprints link. `BANDS` bands of `ROWS` minima propose what
+lies further apart in bits: a pair of similarity 0.8 shares no band with
+probability (1 - 0.8 ** 5) ** 32, 3 in a million, more similar ones less.
+Candidates are compared in two rounds:
 
-1. Each point with one other, the least point of all its buckets (a bucket: the
-   points of one band value). This joins most of a group of near copies and is
-   linear in its size.
+1. Each point with those that the grid links to it, and with the least point of
+   all its buckets (a bucket: the points of one band value). This joins most of a
+   group of near copies and is linear in its size.
 2. What is left are buckets that hold more than one component. The largest
    component of such a bucket is its core; a core's points are compared with the
    points of other components in its buckets (its fringe), and those with each
@@ -35,9 +37,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
+from . import simhash
 from .common import bounded_batches, tidy
 from .components import components
-from .simhash import SEED, keep_least, shingle_hashes
+from .simhash import SEED, fingerprint, keep_least, shingle_hashes
 
 SHINGLE_WORDS = 5
 #: Least similarity of a link.
@@ -78,13 +81,14 @@ def bands(members: np.ndarray, permuted: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the shingle set, its size n and its bands, one row for each input row."""
+    """doc_id, fingerprint fp of `simhash` (signed), key of the shingle set, its size n and its bands, one row for each input row."""
 
     def mapped(batches):
         permuted = permutations()
         for batch in batches:
-            keys, sizes, found = [], [], []
+            prints, keys, sizes, found = [], [], [], []
             for text in batch.column("text").to_pylist():
+                prints.append(fingerprint(text))
                 members = shingle_set(text)
                 keys.append(set_key(members))
                 sizes.append(len(members))
@@ -92,10 +96,11 @@ def sketches(docs: DataFrame) -> DataFrame:
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             values = np.concatenate([np.zeros(0, dtype=np.int64), *found])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
-                ["doc_id", "key", "n", "bands"])
+                [batch.column("doc_id"), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
+                ["doc_id", "fp", "key", "n", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(mapped), "doc_id long, key binary, n long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(mapped), "doc_id long, fp long, key binary, n long, bands array<long>")
 
 
 def joined(nodes: list[int], labels: list[int], sets: list[np.ndarray], split: int) -> list[tuple[int, int]]:
@@ -170,11 +175,21 @@ def _block(of: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(of), blocks).cast("int")
 
 
-def star_links(shared: DataFrame, sets: DataFrame, block_shingles: int) -> DataFrame:
-    """First round: each point with the least point of its buckets, where their sizes allow a link."""
+def print_links(known: DataFrame, points: DataFrame) -> DataFrame:
+    """(node, n, first): points whose fingerprints the grid of `simhash` links, each with the lesser one, and points of one fingerprint with its least."""
+    placed = stage(known.select("key", "fp").distinct().join(points.select("key", "node", "n"), "key").select("fp", "node", "n"), "prints")
+    prints = stage(placed.groupBy("fp").agg(F.min_by(F.struct("node", "n"), "node").alias("p")).select("fp", "p.node", "p.n"), "print-points")
+    equal = placed.join(prints.select("fp", F.col("node").alias("first")), "fp").where("first < node").select("node", "n", "first")
+    far = simhash.links(prints.select("fp", "node")).select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("first")).where("first < node").distinct()
+    return equal.union(far.join(prints.groupBy("node").agg(F.first("n").alias("n")), "node").select("node", "n", "first")).distinct()
+
+
+def star_links(shared: DataFrame, near: DataFrame, points: DataFrame, sets: DataFrame, block_shingles: int) -> DataFrame:
+    """First round: each point with its `first` in `near` (node, n, first) and the least point of its buckets, where their sizes allow a link."""
     less, more = SIMILARITY
-    sizes = shared.where("node = first").groupBy("first").agg(F.first("n").alias("first_n"))
     stars = shared.groupBy("node").agg(F.min("first").alias("first"), F.first("n").alias("n")).where("first < node")
+    stars = stars.select("node", "n", "first").union(near).distinct()
+    sizes = points.groupBy(F.col("node").alias("first")).agg(F.first("n").alias("first_n"))
     stars = stars.join(sizes, "first").where(F.least("n", "first_n") * more >= F.greatest("n", "first_n") * less)
     stars = stage(stars, "stars")
     heads = stars.groupBy("first").agg(_blocks(F.sum("n"), block_shingles).alias("blocks"))
@@ -204,11 +219,12 @@ def fringe_links(shared: DataFrame, roots: DataFrame, sets: DataFrame, block_shi
         "core", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("right"), "node", "label", "members"))
 
 
-def links(docs: DataFrame, points: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(node, key, n, bands), key distinct, to links (u, v) of nodes; similar points that share a band reach each other through links."""
-    shared = stage(buckets(points), "buckets")
-    sets = stage(shingle_sets(docs, points.join(shared.select("node").distinct(), "node", "left_semi")), "sets")
-    first = stage(star_links(shared, sets, block_shingles), "first-links")
+def links(docs: DataFrame, points: DataFrame, near: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(node, key, n, bands), key distinct, and candidates `near` (node, n, first) to links (u, v) of nodes; similar points that share a band reach each other through links."""
+    shared, near = stage(buckets(points), "buckets"), stage(near, "near")
+    asked = shared.select("node").union(near.select("node")).union(near.select("first")).distinct()
+    sets = stage(shingle_sets(docs, points.join(asked, "node", "left_semi")), "sets")
+    first = stage(star_links(shared, near, points, sets, block_shingles), "first-links")
     second = fringe_links(shared, components(first), sets, block_shingles)
     return first.unionByName(second)
 
@@ -218,7 +234,8 @@ def near_duplicates(docs: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> Da
     bounded_batches(docs.sparkSession)
     known = stage(sketches(docs), "sketches")
     points = stage(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "points")
-    roots = components(links(docs, points.where("node is not null"), block_shingles))
+    own = points.where("node is not null")
+    roots = components(links(docs, own, print_links(known, own), block_shingles))
     classes = points.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
     return known.join(classes, "key").select("doc_id", "component_id")
 

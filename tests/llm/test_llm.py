@@ -169,6 +169,20 @@ def test_pipeline_near_dedup_by_five_words(spark, documents):
     assert kept == sorted(set(slow_similar(rows)))
 
 
+def test_similar_gets_links_from_fingerprints(spark, monkeypatch):
+    """Without any MinHash bucket the grid of operator 1 still proposes what is within its bits, and the sets decide."""
+    bands = similar.buckets
+    monkeypatch.setattr(similar, "buckets", lambda points: bands(points).where("false"))
+    rng = np.random.default_rng(7)
+    base = [f"word{i}" for i in rng.integers(0, 5000, 3000)]
+    # the second has all runs of the first and one more; the last three share runs with no other
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "more"])), (3, "a b c"), (4, "a b c " * 40), (5, " ".join(base[::-1]))]
+    near = [(simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).bit_count(), (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[4][1])).bit_count()]
+    assert near[0] <= simhash.MAX_BITS < near[1]
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(table(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
 def test_components_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (102, 100), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components(links).collect()}
