@@ -185,12 +185,14 @@ def _member_archives(t: Tables) -> tuple[DataFrame, DataFrame]:
 
     sides = day.groupBy(*K).agg(
         document(F.collect_list(counts)).alias("unit_counts.json"), document(F.collect_list(F.when(F.col("r") > 0, death))).alias("deaths.json"))
-    wanted = sides.select(*K, F.lit("n").alias("name"), F.lit("zerg").alias("race"), F.concat_ws("/", F.lit("z"), F.col("replay_id").cast("string"), F.col("owner").cast("string")).alias("zip_path"))
+    zip_path = F.concat_ws("/", F.lit("z"), F.col("replay_id").cast("string"), F.col("owner").cast("string")).alias("zip_path")
     fixed = {
         "player.json": F.to_json(F.struct("owner")), "build_order.txt": F.lit("00:01 Drone"), "economy.json": F.lit('{"samples":[]}'), "supply.json": F.lit('{"samples":[]}')}
     parts = F.array(*[F.struct(F.lit(m).alias("member"), v.alias("text")) for m, v in {**fixed, "unit_counts.json": F.col("`unit_counts.json`"), "deaths.json": F.col("`deaths.json`")}.items()])
-    members = sides.join(wanted.select(*K, "zip_path"), K).select(*K, "zip_path", F.inline(parts), F.lit(None).cast("string").alias("problem"))
-    return staging.stage(members, "members"), wanted
+    members = staging.stage(sides.select(*K, zip_path, F.inline(parts), F.lit(None).cast("string").alias("problem")), "members", ["member"])
+    # Every archive has one such member.
+    wanted = members.where(F.col("member") == "player.json").select(*K, F.lit("n").alias("name"), F.lit("zerg").alias("race"), "zip_path")
+    return members, wanted
 
 
 @query(
@@ -205,7 +207,8 @@ def archive_counts_and_deaths(t: Tables) -> DataFrame:
     """The optional members of archives, flattened: unit counts and deaths."""
     members, wanted = _member_archives(t)
     manifests = t.read("supplier").select(F.col("s_suppkey").alias("replay_id"))
-    tables, _ = bundles.read_series(bundles.judge_bundles(members, wanted), manifests)
+    tables, errors = bundles.parse_series(bundles.judge_bundles(members, wanted), manifests)
+    tables = bundles.faultless(tables, staging.stage(errors, "errors"))
     counts = tables["unit_count_samples"].select(*K, "frame", F.lit("count").alias("kind"), "unit_type", F.col("unit_type_lc").alias("folded"), F.col("count").alias("value"))
     deaths = tables["death_events"].select(*K, "frame", F.lit("death").alias("kind"), "unit_type", F.col("category").alias("folded"), F.col("dead_owner").alias("value"))
     return counts.unionByName(deaths)
