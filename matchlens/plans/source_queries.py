@@ -126,12 +126,15 @@ def _archives(t: Tables) -> DataFrame:
                 out.append((r.replay_id, r.owner, f"z/{r.replay_id}_{r.owner}.zip", buf.getvalue()))
             yield pd.DataFrame(out, columns=["replay_id", "owner", "zip_path", "content"])
 
+    staging.bounded_batches(t.spark)
     return rows.mapInPandas(pack, "replay_id bigint, owner int, zip_path string, content binary")
 
 
 def _read_archives(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
     archives = _archives(t)
-    wanted = _chunked(t).select(F.col("owner").alias("replay_id"), F.col("chunk").alias("owner")).distinct().select(
+    # Chunks are numbered without gaps, so the number of a supplier's lines tells them all.
+    chunks = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK).cast("int"))).alias("owner")
+    wanted = t.lines.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).select(F.col("owner").alias("replay_id"), chunks).select(
         *K, F.lit("n").alias("name"), F.lit("zerg").alias("race"),
         F.concat(F.lit("z/"), F.col("replay_id").cast("string"), F.lit("_"), F.col("owner").cast("string"), F.lit(".zip")).alias("zip_path"),
     )

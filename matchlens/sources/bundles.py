@@ -25,7 +25,7 @@ from ..schema import (
     SUPPLY_DOC,
     with_folded,
 )
-from .staging import stage
+from .staging import BATCH_BYTES, bounded_batches, stage
 
 REQUIRED = ("player.json", "build_order.txt", "economy.json", "supply.json")
 OPTIONAL = ("unit_counts.json", "deaths.json")
@@ -107,14 +107,17 @@ def latest_manifests(manifests: DataFrame) -> DataFrame:
 def expand_archives(files: DataFrame, keys: list[str], only: tuple[str, ...] | None = None) -> DataFrame:
     """Rows (keys, member, text, problem) of zip archives in a `content` column; of the members in `only`, where given.
 
-    Archives are opened inside the scan's tasks, one at a time.
+    Archives are opened inside the scan's tasks, one at a time, and members are
+    handed on before they add up to more than a batch and one archive.
     """
+    bounded_batches(files.sparkSession)
     fields = {f.name: f.dataType.simpleString() for f in files.schema.fields}
     ddl = ", ".join(f"{k} {fields[k]}" for k in keys) + ", member string, text string, problem string"
     names = [*keys, "member", "text", "problem"]
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            rows, size = [], 0
             for rec in pdf.to_dict("records"):
                 base = [rec[k] for k in keys]
                 out = []
@@ -125,7 +128,12 @@ def expand_archives(files: DataFrame, keys: list[str], only: tuple[str, ...] | N
                                 out.append((*base, info.filename, archive.read(info).decode("utf-8", "replace"), None))
                 except (zipfile.BadZipFile, TypeError, OSError, RuntimeError, NotImplementedError) as error:
                     out = [(*base, None, None, f"unreadable archive: {error}")]
-                yield pd.DataFrame(out, columns=names)
+                rows += out
+                size += sum(len(row[-2] or "") for row in out)
+                if size >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select(*keys, "content").mapInPandas(expand, ddl)
 

@@ -29,6 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+#: Bytes of rows that a Python task takes in at a time, and of members or files it hands on at a time.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Lower the session's Arrow batches to about `size` bytes where they are larger or unlimited; a lower setting stays.
+
+    Archives and documents can be large, and a batch is held several times over on its way to Python and back.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name)).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= size:
+        spark.conf.set(name, str(size))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
 import struct
+import zipfile
 
+import pandas as pd
 from fixtures import write_bundle, write_match
 from pyspark.sql import functions as F
 
@@ -230,3 +233,38 @@ def test_json_line_is_parsed_once(spark):
     assert [(r.frame, r.owners, r.deaths) for r in good.collect()] == [(1, {}, [])] and [r.reason for r in bad.collect()] == ["not a JSON snapshot: {oops"]
     for df in (good, bad):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_archive_members_come_in_bounded_batches(spark, monkeypatch):
+    """However many archives a batch has, members are handed on before they add up; the session's batches are bounded in bytes."""
+    monkeypatch.setattr(bundles, "BATCH_BYTES", 1000)
+
+    class Files:
+        schema = spark.createDataFrame([], "zip_path string, content binary").schema
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, function, _):
+            return function
+
+    def archive(text):
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w") as z:
+            z.writestr("a", text)
+            z.writestr("b", "")
+        return buf.getvalue()
+
+    rows = [(f"z{i}", archive(str(i % 10) * 300) if i % 7 else b"broken") for i in range(100)]
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 30))
+    expand = bundles.expand_archives(Files(), ["zip_path"])
+    assert int(spark.conf.get(name)) <= 8 << 20
+    spark.conf.set(name, before)
+    out = list(expand(iter([pd.DataFrame(rows, columns=["zip_path", "content"])])))
+    assert max(frame["text"].str.len().sum() for frame in out) <= 1300 and len(out) > 10
+    found = pd.concat(out)
+    assert found["problem"].notna().sum() == 15 and sorted(found.loc[found["member"] == "a", "text"]) == sorted(str(i % 10) * 300 for i in range(100) if i % 7)
+    assert found["zip_path"].nunique() == 100
