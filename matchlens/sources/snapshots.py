@@ -30,6 +30,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ordered
 from ..schema import SCHEMA_VERSION, TABLES, Corpus, column_names
 from .staging import stage
 
@@ -157,7 +158,10 @@ def commit(
 
     A match of `ids` without new rows is removed. With a `tag` (stream, batch) a
     batch that is in force already is not written again. `parts` is how many
-    partitions rows are dealt to before AQE joins small and splits large ones.
+    partitions rows of small sources are dealt to before AQE joins small and
+    splits large ones. Rows of large sources are written in the partitions they
+    come in, which Spark has already sized; to deal them again would shuffle the
+    whole commit once more.
     """
     spark = next(iter(tables.values())).sparkSession
     missing = set(FACTS) - set(tables)
@@ -170,7 +174,8 @@ def commit(
     ids = stage((tables["replays"] if ids is None else ids).select(F.col(KEY).cast("string")).distinct(), "ids")
     for table in FACTS:
         rows = tables[table].select(*column_names(TABLES[table]))
-        rows = rows.hint("rebalance") if parts is None else rows.hint("rebalance", parts)
+        if ordered.is_small(rows):
+            rows = rows.hint("rebalance") if parts is None else rows.hint("rebalance", parts)
         rows.sortWithinPartitions(*SORT.get(table, [KEY])).write.parquet(f"{root}/{table}/commit={name}")
     seen: list[Snapshot] = []
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from matchlens.operators import ordered
 from matchlens.schema import TABLES, open_corpus
 from matchlens.sources import sinks, snapshots
 
@@ -107,3 +108,15 @@ def test_compaction(spark, tmp_path):
     assert held.replays.count() == 5
     snapshots.compact(spark, root, below_bytes=0)  # nothing is small: no rows move
     assert state(spark, root)[0]["e"] == "5"
+
+
+def test_large_commit_is_not_dealt_again(spark, tmp_path, monkeypatch):
+    """Rows of large sources are written in the partitions they come in; what readers see is the same."""
+    rows = {n: df.repartition(3, "replay_id") for n, df in tables(spark, "abcdefghijkl", "v1").items()}
+    seen, files = [], []
+    for root, small in ((str(tmp_path / "small"), True), (str(tmp_path / "large"), False)):
+        monkeypatch.setattr(ordered, "is_small", lambda df, small=small: small)
+        snapshots.commit(rows, root, parts=1)
+        seen.append(state(spark, root))
+        files.append(len(spark.read.parquet(f"{root}/build_order_events").inputFiles()))
+    assert seen[0] == seen[1] and files[0] == 1 and files[1] > 1
