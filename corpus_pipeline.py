@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchlens.llm import decontaminate, langid, packing, similar, suffix_dedup
 from matchlens.llm.common import load
-from matchlens.sources.staging import stage
+from matchlens.sources.staging import bounded_batches, stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = load(spark, sf_dir, "documents")
     for i, (name, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)
