@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import frame_seconds, matchup_text, padded_clock
-from ..operators.ordered import ordered_scan, text_place
+from ..operators.ordered import MAX_ROWS, ordered_scan, text_place
 from ..schema import MANIFEST_VERSION, SCHEMA_VERSION
 from .bundles import latest_manifests, read_manifests, read_matches
 from .snapshots import commit
@@ -73,7 +73,8 @@ def batch_report(manifests: DataFrame, batch_size: int = 10) -> DataFrame:
     if batch_size < 1:
         raise ValueError("batch size must be positive")
     rows = text_place(manifests.select("manifest_path", "replay_id"), "manifest_path").withColumn("_all", F.lit(0))
-    placed = ordered_scan(rows, ["_all"], ["_place", "manifest_path"], {"rn": ("total", F.lit(1).cast("bigint"))})
+    # All rows are of one key, so they are counted however few bytes they have.
+    placed = ordered_scan(rows, ["_all"], ["_place", "manifest_path"], {"rn": ("total", F.lit(1).cast("bigint"))}, max_rows=MAX_ROWS)
     per = placed.groupBy(F.ceil(F.col("rn") / batch_size).alias("batch_number")).agg(
         F.count(F.lit(1)).alias("manifest_count"),
         F.array_sort(F.collect_list(F.struct("rn", "replay_id")))["replay_id"].alias("replay_ids"),
