@@ -124,6 +124,7 @@ def ordered_scan(
 
     * `"previous"`: the expression on the row before (null on the first row);
     * `"fill"`: the latest non-null value up to and including this row;
+    * `"past"`: the latest non-null value of the rows before;
     * `"total"`: the running sum up to and including this row;
     * `"peak"`: the running maximum up to and including this row.
 
@@ -138,13 +139,14 @@ def ordered_scan(
     part = keys + ([SLICE] if hot_aware else [])
     base = Window.partitionBy(*part).orderBy(*sort)
     upto = base.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = base.rowsBetween(Window.unboundedPreceding, -1)
 
     local = {}
     for name, (kind, expr) in outputs.items():
         if kind == "previous":
             local[name] = F.lag(F.struct(expr.alias("v"))).over(base)
-        elif kind == "fill":
-            local[name] = F.last(F.when(expr.isNotNull(), F.struct(expr.alias("v"))), ignorenulls=True).over(upto)
+        elif kind in ("fill", "past"):
+            local[name] = F.last(F.when(expr.isNotNull(), F.struct(expr.alias("v"))), ignorenulls=True).over(upto if kind == "fill" else earlier)
         elif kind == "total":
             local[name] = F.sum(expr).over(upto)
         elif kind == "peak":
@@ -166,7 +168,7 @@ def ordered_scan(
     for name, (kind, expr) in outputs.items():
         if kind == "previous":
             ends.append(latest(F.struct(expr.alias("v")), place).alias(name))
-        elif kind == "fill":
+        elif kind in ("fill", "past"):
             ends.append(
                 latest(F.struct(expr.alias("v")), F.when(expr.isNotNull(), place)).alias(name)
             )
@@ -178,7 +180,7 @@ def ordered_scan(
     for name, (kind, _) in outputs.items():
         if kind == "previous":
             carried.append(F.lag(name).over(by_slice).alias(f"_carry_{name}"))
-        elif kind == "fill":
+        elif kind in ("fill", "past"):
             carried.append(F.last(name, ignorenulls=True).over(before).alias(f"_carry_{name}"))
         else:
             carried.append((F.sum if kind == "total" else F.max)(name).over(before).alias(f"_carry_{name}"))

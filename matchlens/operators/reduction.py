@@ -66,11 +66,22 @@ class Timeline:
     def _written(self) -> DataFrame:
         return written(self._raw)
 
-    def _flat(self) -> DataFrame:
-        return self.__dict__.get("_written", self._raw).select(M, "frame", F.explode("owners").alias("_k", "o")).select(
+    def _flat(self, explode: Callable = F.explode) -> DataFrame:
+        return self.__dict__.get("_written", self._raw).select(M, "frame", explode("owners").alias("_k", "o")).select(
             M, "frame", F.col("_k").cast("int").alias("owner"), "o.*"
         )
 
+    def _numbered(self, fields: Sequence[str]) -> DataFrame:
+        """replay_id, frame, owner, ordinal, unit_id and the fields of units, and the slice of a hot match; snapshots without units count too"""
+        rows = self._flat(F.explode_outer).select(M, "frame", "owner", F.explode_outer("units").alias("u")).select(
+            M, "frame", "owner", F.col("u").isNotNull().alias("_unit"), F.col("u.id").alias("unit_id"), *[F.col(f"u.{f}") for f in fields])
+        # A row opens a snapshot when the row before is of another frame; both scans go over the rows as they lie.
+        stepped = ordered_scan(rows, [M], ["frame"], {"_before": ("previous", F.struct("frame"))}, max_rows=self._max_rows, keep_slice=True)
+        opens = F.when(F.col("_before").isNull() | ~F.col("_before.frame").eqNullSafe(F.col("frame")), 1).otherwise(0)
+        placed = ordered_scan(stepped, [M], ["frame"], {"ordinal": ("total", opens.cast("bigint"))}, max_rows=self._max_rows, keep_slice=True)
+        kept = placed.where(F.col("_unit") & F.col(M).isNotNull() & F.col("frame").isNotNull())
+        return self._kept(kept.drop("_unit", "_before"))
+
     @cached_property
     def snapshots(self) -> DataFrame:
         """replay_id, frame, ordinal"""
@@ -93,9 +104,14 @@ class Timeline:
 
     @cached_property
     def units(self) -> DataFrame:
-        """replay_id, frame, owner, ordinal, unit columns"""
-        order = self.snapshots
-        return self.unit_rows.join(order, [M, "frame"])
+        """replay_id, frame, owner, ordinal, unit columns, and the slice of a hot match, which serves scans by unit too"""
+        _ = self._written
+        return self._numbered(UNIT_FIELDS)
+
+    @property
+    def researching(self) -> DataFrame:
+        """replay_id, frame, owner, ordinal, what a unit researches; for one reading, so that nothing wide is written"""
+        return self._numbered(["upgrade_in_progress", "tech_in_progress"])
 
     @property
     def deaths(self) -> DataFrame:
@@ -107,8 +123,8 @@ class Timeline:
 def explode_timeline(raw: DataFrame, *, max_rows: int | None = None) -> Timeline:
     """Flatten snapshots (replay_id, frame, owners, deaths); number them per match.
 
-    The numbering is joined back by (match, frame), so the wide nested rows are
-    not sorted or shuffled for it.
+    Units are numbered where they lie by match, and later scans by unit, by owner
+    and by what is researched go on there without another shuffle.
     """
     return Timeline(raw, max_rows=max_rows)
 
@@ -255,6 +271,13 @@ def start_candidates(
     max_rows: int | None = None,
 ) -> DataFrame:
     """`building_candidates` and the buildings that morphing units have queued, in one pass that keeps rows with their unit."""
+    return _candidates(units, known, include_initial, structure, max_rows, F.lit(False), [])
+
+
+def _candidates(
+    units: DataFrame, known: DataFrame, include_initial: bool, structure: Callable[[Column], Column], max_rows: int | None, shown: Column, carried: Sequence[str],
+) -> DataFrame:
+    """Start candidates; a `shown` row that starts nothing itself comes without a target."""
     morphs, built = _own_start()
     queued = F.filter(
         F.transform(grown(), lambda g, i: F.struct(i.alias("pos"), g["target"].alias("target"), F.lit(None).cast("string").alias("target_name"))),
@@ -262,9 +285,15 @@ def start_candidates(
     own = F.struct(
         F.lit(-1).alias("pos"), F.when(morphs, F.col("morph_target_unit_type_id")).otherwise(F.col("unit_type_id")).alias("target"),
         F.when(~morphs, F.col("unit_type")).alias("target_name"))
-    both = F.when(morphs | built, F.concat(F.array(own), queued)).otherwise(queued)
-    rows = _stepped(units, include_initial, max_rows).select(*KU, SLICE, "frame", "build_time", "remaining_build_time", F.inline(both))
-    return _with_target_name(rows, known)
+    idle = F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("int").alias("target"), F.lit(None).cast("string").alias("target_name"))
+    both = F.when(morphs | built, F.concat(F.array(own), queued)).when(shown, F.concat(F.array(idle), queued)).otherwise(queued)
+    rows = _stepped(units, include_initial, max_rows).select(
+        *KU, SLICE, "frame", "build_time", "remaining_build_time", *carried, F.coalesce(shown, F.lit(False)).alias("_shown"), F.inline(both))
+    return _with_target_name(rows, known).drop(*([] if carried else ["_shown"]))
+
+
+def _usable_target() -> Column:
+    return F.col("target_name").isNotNull() & ~F.col("target_name").isin(*TRANSIENT_TYPES)
 
 
 def building_starts(candidates: DataFrame, *, max_rows: int | None = None) -> DataFrame:
@@ -273,7 +302,7 @@ def building_starts(candidates: DataFrame, *, max_rows: int | None = None) -> Da
     Short-lived types are dropped first. Within a frame the unit's own type
     comes before its queue.
     """
-    rows = candidates.where(F.col("target_name").isNotNull() & ~F.col("target_name").isin(*TRANSIENT_TYPES))
+    rows = candidates.where(_usable_target())
     seen = ordered_scan(rows, KU, ["frame", "pos"], {"_last": ("previous", F.col("target"))}, max_rows=max_rows)
     kept = seen.where(~F.col("_last").eqNullSafe(F.col("target")))
     return kept.select(
@@ -295,10 +324,11 @@ def research_starts(units: DataFrame, *, include_initial: bool = False, include_
     kinds = [F.struct(F.lit("upgrade").alias("kind"), F.col("upgrade_in_progress").alias("ident"))]
     if include_tech:
         kinds.append(F.struct(F.lit("tech").alias("kind"), F.col("tech_in_progress").alias("ident")))
+    # Slices cut between frames, so equal rows lie in one.
+    at = [*K, "frame", "ordinal", *[SLICE] * (SLICE in units.columns)]
     rows = (
-        units.select(*K, "frame", "ordinal", F.explode(F.array(*kinds)).alias("r"))
-        .select(*K, "frame", "ordinal", "r.kind", "r.ident")
-        .where(F.col("ident").isNotNull())
+        units.select(*at, F.explode(F.filter(F.array(*kinds), lambda k: k["ident"].isNotNull())).alias("r"))
+        .select(*at, "r.kind", "r.ident")
         .distinct()
     )
     seen = ordered_scan(
@@ -313,20 +343,28 @@ def research_starts(units: DataFrame, *, include_initial: bool = False, include_
     )
 
 
-def appearances(units: DataFrame, building: DataFrame, *, include_initial: bool = False, max_rows: int | None = None) -> DataFrame:
+def appearances(
+    units: DataFrame, known: DataFrame, *, include_initial: bool = False, structure: Callable[[Column], Column] = is_building_id,
+    max_rows: int | None = None,
+) -> DataFrame:
     """New or changed non-building units that did not start a building in that frame.
 
-    `units` may come with `unit_steps` done.
+    `units` may come with `unit_steps` done. What a unit starts is decided as in
+    `building_starts`, in the same scan, so that starts are not joined back.
     """
-    steps = _stepped(units, include_initial, max_rows)
     fresh = F.col("_prev_type").isNull() | (F.col("_prev_type") != F.col("unit_type_id"))
     shown = (
-        (F.col("category") != "building")
+        fresh
+        & (F.col("category") != "building")
         & ~F.col("category").isin(*IGNORED_CATEGORIES)
         & ~F.col("unit_type").isin(*TRANSIENT_TYPES)
     )
-    own = building.where(F.col("pos") == -1).select(*KU, F.col("seen_frame").alias("frame"))
-    return steps.where(fresh & shown).join(own, [*KU, "frame"], "left_anti").select(*K, "frame", "unit_type")
+    rows = _candidates(units, known, include_initial, structure, max_rows, shown, ["unit_type"])
+    usable = _usable_target()
+    seen = ordered_scan(
+        rows, KU, ["frame", "pos"], {"_last": ("past", F.when(usable, F.col("target")))}, max_rows=max_rows)
+    started = usable & ~F.col("_last").eqNullSafe(F.col("target"))
+    return seen.where(F.col("_shown") & (F.col("pos") == -1) & ~started).select(*K, "frame", "unit_type")
 
 
 def infer_race(units: DataFrame) -> DataFrame:
@@ -372,7 +410,7 @@ def build_events(
         .unionByName(research.select(*K, "frame", F.col("name").alias("raw")))
     )
     if include_unit_appearances:
-        seen = appearances(units, started, include_initial=include_initial, max_rows=max_rows)
+        seen = appearances(units, known, include_initial=include_initial, max_rows=max_rows)
         out = out.unionByName(seen.select(*K, "frame", F.col("unit_type").alias("raw")))
     return out.select(*K, "frame", display_name("raw").alias("item")).distinct().withColumn(
         "time_seconds", F.floor(frame_seconds("frame")).cast("double")

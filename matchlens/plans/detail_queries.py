@@ -71,8 +71,7 @@ def unit_appearances(t: Tables) -> DataFrame:
     flat = reduction.explode_timeline(t.snapshots)
     units, known = reduction._named_units(flat.units, None)
     units = reduction.unit_steps(units)
-    candidates = reduction.start_candidates(units, known, structure=lambda target: target.between(106, 172))
-    out = reduction.appearances(units, reduction.building_starts(candidates))
+    out = reduction.appearances(units, known, structure=lambda target: target.between(106, 172))
     return out.groupBy(*K, "frame", "unit_type").agg(F.count(F.lit(1)).alias("units"))
 
 

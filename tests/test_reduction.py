@@ -284,3 +284,31 @@ def test_race_needs_no_snapshot_numbers(spark):
 
     plan = QUERIES["race_mode"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_units_are_shuffled_once(spark, names):
+    """Numbering, research and appearances go on where the units of a match lie."""
+    snaps = random_snaps(5)
+    t = reduction.explode_timeline(frames(spark, snaps))
+
+    def shuffles(df):
+        df._jdf.queryExecution().assertAnalyzed()
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(replay_id")
+
+    assert shuffles(reduction.research_starts(t.researching)) == 1
+    units, known = reduction._named_units(t.units, names)
+    assert shuffles(reduction.appearances(reduction.unit_steps(units), known).groupBy(*reduction.K, "frame").count()) == 1
+
+
+@pytest.mark.parametrize("max_rows", [None, 5])
+def test_appearances_are_units_that_started_nothing(spark, names, max_rows):
+    """The one scan gives what the starts joined back gave, also where snapshots without units are counted."""
+    snaps = [(-1, {}, []), *random_snaps(6)]
+    t = reduction.explode_timeline(frames(spark, snaps), max_rows=max_rows)
+    assert {(r.frame, r.ordinal) for r in t.units.select("frame", "ordinal").collect()} <= {(f, i + 1) for i, (f, _, _) in enumerate(snaps)}
+    units, known = reduction._named_units(t.units, names)
+    steps = reduction.unit_steps(units, max_rows=max_rows)
+    own = reduction.building_starts(reduction.start_candidates(steps, known), max_rows=max_rows).where("pos = -1").select(*reduction.KU, F.col("seen_frame").alias("frame"))
+    fresh = steps.where("ordinal > 1 and (_prev_type is null or _prev_type <> unit_type_id) and category <> 'building' and unit_type not in ('egg', 'cocoon', 'lurker_egg')")
+    want = Counter(tuple(r) for r in fresh.join(own, [*reduction.KU, "frame"], "left_anti").select(*reduction.K, "frame", "unit_type").collect())
+    assert Counter(tuple(r) for r in reduction.appearances(steps, known, max_rows=max_rows).collect()) == want and len(want) > 20
