@@ -102,7 +102,7 @@ SELECT replay_id, owner, frame, kind, CAST(ident AS INT) AS ident, CASE kind WHE
 FROM l WHERE ordinal > 1 AND (p IS NULL OR p < ordinal - 1)""",
 )
 def research_starts(t: Tables) -> DataFrame:
-    return reduction.research_starts(_flat(t).units, include_tech=True).select(*K, "frame", "kind", "ident", "name")
+    return reduction.research_starts(_flat(t).researching, include_tech=True).select(*K, "frame", "kind", "ident", "name")
 
 
 @query(
