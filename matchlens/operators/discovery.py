@@ -23,18 +23,15 @@ def corpus_summary(parts: DataFrame) -> DataFrame:
         "race",
         "name_lc",
     )
-    # Distinct matches per value: first one row per (value, match), then count.
-    long = rows.select(
-        "replay_id",
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in ("matchup", "map", "race")],
-                F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value")),
-            )
-        ).alias("d"),
-    ).select("replay_id", "d.dimension", "d.value")
-    per_match = long.groupBy("dimension", "value", "replay_id").agg(F.count(F.lit(1)).alias("c"))
-    sized = per_match.groupBy("dimension", "value").agg(
+    # A match has one matchup and one map, so its rows shrink to one per race before they are dealt by dimension.
+    per_race = rows.groupBy("replay_id", "matchup", "map", "race").agg(F.count(F.lit(1)).alias("c"))
+    # At most one entry per race of the match.
+    per_match = per_race.groupBy("replay_id", "matchup", "map").agg(
+        F.sum("c").alias("c"), F.collect_list(F.struct(F.lit("race").alias("dimension"), F.col("race").alias("value"), "c")).alias("races"))
+    whole = F.array(*[
+        F.struct(F.lit(d).alias("dimension"), v.alias("value"), F.col("c"))
+        for d, v in (("matchup", F.col("matchup")), ("map", F.col("map")), ("all", F.lit("all")))])
+    sized = per_match.select(F.inline(F.concat(whole, "races"))).groupBy("dimension", "value").agg(
         F.count(F.lit(1)).alias("match_count"), F.sum("c").alias("player_rows")
     )
     names = rows.groupBy("name_lc").agg(F.count(F.lit(1)).alias("c")).agg(

@@ -288,3 +288,16 @@ def test_supply_intervals_shuffle_once(spark, monkeypatch):
     out = intervals.supply_intervals(df, ranges)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert counted == [1] and plan.count("LeftOuter") == 0 and out.count() > 20
+
+
+def test_summary_shrinks_matches_before_they_are_dealt(spark):
+    from matchlens.operators import discovery
+
+    rows = [(m, o, "PvZ" if m % 2 else None, " " if m % 3 else "Map", 100.0, "f", f"n{o}", f"n{o}", "Zerg" if o else "Protoss", "zerg", 1, 1) for m in range(6) for o in range(3)]
+    parts = spark.createDataFrame(rows, "replay_id int, owner int, matchup string, map string, duration_seconds double, source_replay_filename string, name string, name_lc string, race string, race_lc string, as_self bigint, as_opponent bigint")
+    out = discovery.corpus_summary(parts)
+    got = {tuple(r) for r in out.collect()}
+    assert got == {("matchup", "PvZ", 3, 9), ("matchup", "unknown", 3, 9), ("map", "Map", 2, 6), ("map", "unknown", 4, 12), ("race", "Zerg", 6, 12), ("race", "Protoss", 6, 6),
+                   ("all", "all", 6, 18), ("players", "all", 3, 18)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [replay_id" in plan[plan.index("Generate"):]
