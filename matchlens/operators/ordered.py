@@ -12,7 +12,8 @@ scans here cut every hot key into slices of about equal numbers of rows:
 4. bring in what earlier slices contribute (last row, last filled value, or
    sum), aggregated to one row per slice and carried forward over the slices.
 
-Where no key is hot, the window runs as it is. Inputs that are small as a whole
+Where no key is hot, the window runs as it is, over as many partitions as the
+counted rows need. Inputs that are small as a whole
 cannot hold a hot key, and skip even the count.
 
 A sliced scan reads its input up to three times. Where scans follow each other
@@ -33,6 +34,8 @@ from ..sources.staging import stage
 
 SLICE = "_slice"
 MAX_ROWS = 5_000_000
+# Rows of ordinary keys that a task of a counted input sorts, about; a share of the bytes packs many more of narrow rows.
+TASK_ROWS = 1_000_000
 SMALL_INPUT_BYTES = 256 * 1024 * 1024
 
 
@@ -95,10 +98,12 @@ def with_slice(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_row
         return df
     keys, df = list(keys), hold(df)
     bound = max_rows or MAX_ROWS
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound)
-    n = hot.agg(F.sum("_n")).first()[0]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total, n = counts.agg(F.sum("_n"), F.sum(F.when(F.col("_n") > bound, F.col("_n")))).first()
     if not n:
-        return df
+        parts = -(-(total or 0) // TASK_ROWS)
+        return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+    hot = counts.where(F.col("_n") > bound)
     rows = stage(df, "scan")
     # Bounded by pigeonhole: no more than total_rows / max_rows keys are hot.
     hot = F.broadcast(hot.select(*keys))

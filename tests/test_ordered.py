@@ -290,6 +290,17 @@ def test_supply_intervals_shuffle_once(spark, monkeypatch):
     assert counted == [1] and plan.count("LeftOuter") == 0 and out.count() > 20
 
 
+def test_counted_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """Losses of ordinary matches go to as many tasks as their rows need, not to as few as their bytes fill."""
+    monkeypatch.setattr(ordered, "is_small", lambda df: False)
+    monkeypatch.setattr(ordered, "TASK_ROWS", 5)
+    rows = spark.range(400).selectExpr(
+        "id % 40 as replay_id", "id % 40 as self_owner", "id as frame", "cast(id as double) as time_seconds", "'own' as side", "'unit' as category", "'x' as display_name")
+    out = combat.combat_places(rows)
+    assert ", 80), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.replay_id, r.place) for r in out.collect()) == [(m, n) for m in range(40) for n in range(1, 11)]
+
+
 def test_summary_shrinks_matches_before_they_are_dealt(spark):
     from matchlens.operators import discovery
 
