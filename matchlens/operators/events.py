@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower_text, clock, percent
+from ..sources.staging import stage
 from .asof import asof_rows
-from .ordered import first_n, ordered_scan
+from .ordered import first_n, is_small
 from .quantiles import NAMES, summarize
 from .scope import K, first_opponents, selfs
 
+# Catalogs from sources up to this size may be met by broadcast as they are planned.
+SMALL_CATALOG_BYTES = 1024 * 1024
 EVENT = ["time_seconds", "supply_used", "supply_max", "item", "raw_line"]
 
 
@@ -225,23 +228,28 @@ def chained_starts(lines: DataFrame, catalog: DataFrame, keys: Sequence[str], *,
     """
     pattern = r"^(?:\((\d+)\)\s+)?(-?\d+):(\d{2})\s+(.+)$"
     raw = F.trim(F.col(text))
-    minutes = F.regexp_extract(raw, pattern, 2)
-    hint = F.regexp_extract(raw, pattern, 1)
+    # The names are never empty where the line fits. Only a line with a hint needs the pattern for its clock.
+    names, hinted = F.regexp_extract(raw, pattern, 4), raw.startswith("(")
+    minutes = F.when(hinted, F.regexp_extract(raw, pattern, 2)).otherwise(F.substring_index(raw, ":", 1))
+    seconds = F.when(hinted, F.regexp_extract(raw, pattern, 3)).otherwise(raw.substr(F.length(minutes) + 2, F.lit(2)))
     sign = F.when(minutes.startswith("-"), -1).otherwise(1)
-    parsed = lines.where(raw.rlike(pattern)).select(
+    parsed = lines.where(names != "").select(
         *keys,
         F.col(line).alias("line"),
-        F.when(hint == "", 0).otherwise(hint.cast("int") - 1).alias("track"),
-        (sign * (F.abs(minutes.cast("int")) * 60 + F.regexp_extract(raw, pattern, 3).cast("int"))).alias("_t0"),
-        F.posexplode(F.split(F.regexp_extract(raw, pattern, 4), r"\s*->\s*")).alias("link", "_name"),
+        F.when(hinted, F.regexp_extract(raw, pattern, 1).cast("int") - 1).otherwise(0).alias("track"),
+        (sign * (F.abs(minutes.cast("int")) * 60 + seconds.cast("int"))).alias("_t0"),
+        F.posexplode(F.split(names, r"\s*->\s*")).alias("link", "_name"),
     )
     dim = catalog.groupBy(F.lower("name").alias("_key")).agg(
         F.min_by(F.struct("name", "race", "type", "buildTime", "builtFrom"), "name").alias("_d")
     )
+    # As a table of its own, what is left of a large catalog shows its size, and lines need no shuffle to meet a small one.
+    if not is_small(dim, SMALL_CATALOG_BYTES):
+        dim = stage(dim, "catalog")
     known = parsed.withColumn("_key", F.lower(F.trim("_name"))).join(dim, "_key")
-    out = ordered_scan(
-        known.withColumn("_b", F.col("_d")["buildTime"]), [*keys, "line"], ["link"], {"_total": ("total", F.col("_b"))}
-    )
+    # No line is hot, so none is counted.
+    chain = Window.partitionBy(*keys, "line").orderBy("link").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = known.withColumn("_b", F.col("_d")["buildTime"]).withColumn("_total", F.sum("_b").over(chain))
     return out.select(
         *keys,
         "line",

@@ -301,6 +301,22 @@ def test_counted_rows_are_dealt_by_their_number(spark, monkeypatch):
     assert sorted((r.replay_id, r.place) for r in out.collect()) == [(m, n) for m in range(40) for n in range(1, 11)]
 
 
+def test_lines_of_large_inputs_are_not_counted(spark, monkeypatch):
+    """A chain is one line of text: nothing is written or counted for it, and a hint, a sign and odd spaces are read as before."""
+    def refuse(*a):
+        raise AssertionError("staged")
+
+    monkeypatch.setattr(ordered, "is_small", lambda df: False)
+    monkeypatch.setattr(ordered, "stage", refuse)
+    texts = ["(2)  1:05 a ->b", " -0:30   B", "(3) -2:10 a", "1:5 a", "1:05 ", "x 1:05 a", "10:00\ta->  A", "(x) 1:05 a", None]
+    lines = spark.createDataFrame([(0, i, x) for i, x in enumerate(texts)], "k int, line int, text string").repartition(3, "k")
+    catalog = spark.createDataFrame([("A", "z", "u", 7.0, "d"), ("b", "z", "u", 1.0, "d")], "name string, race string, type string, buildTime double, builtFrom string")
+    got = events.chained_starts(lines, catalog, ["k"]).select("line", "link", "track", "item", "time_seconds").collect()
+    assert sorted(tuple(r) for r in got) == [
+        (0, 0, 1, "A", 65.0), (0, 1, 1, "b", 72.0), (1, 0, 0, "b", -30.0), (2, 0, 2, "A", -130.0),
+        (6, 0, 0, "A", 600.0), (6, 1, 0, "A", 607.0)]
+
+
 def test_summary_shrinks_matches_before_they_are_dealt(spark):
     from matchlens.operators import discovery
 
