@@ -46,6 +46,15 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, str(rows))
 
 
+def exploded_join(exploded: DataFrame, other: DataFrame, on: str) -> DataFrame:
+    """An inner join of rows that come from an explode, never by a broadcast.
+
+    Spark sizes an exploded table by the file below it, however many rows it
+    makes of a row, and would send one of many times the threshold to the driver.
+    """
+    return exploded.hint("merge").join(other, on)
+
+
 def tidy(mapped):
     """A function for mapInArrow that gives a task's memory back to the system at its end; workers live on for other stages."""
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from .common import bounded_batches, tidy
+from .common import bounded_batches, exploded_join, tidy
 from .components import components
 
 SEED = 42
@@ -135,7 +135,7 @@ def links(points: DataFrame, max_bits: int = MAX_BITS, cell_points: int = CELL_P
     placed = cells(points, max_bits)
     sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / cell_points).cast("int")
-    held = placed.join(sizes, "cell").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    held = exploded_join(placed, sizes, "cell").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda b: F.struct(F.least(b, F.col("block")).alias("a"), F.greatest(b, F.col("block")).alias("b")),

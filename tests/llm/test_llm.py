@@ -104,6 +104,17 @@ def test_simhash_links_in_blocks(spark):
         assert {i: roots.get(i, i) for i in range(len(fps))} == want
 
 
+def not_broadcast(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_cells_are_not_broadcast(spark):
+    """Spark takes the cells for as small as the points they come from, and would send them to the driver."""
+    found = simhash.links(spark.createDataFrame([(1, 1), (3, 2)], "fp long, node long"))
+    assert not_broadcast(found) and {(r.u, r.v) for r in found.collect()} == {(1, 2)}
+
+
 def test_lower_bound():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**64, (2, 1000), dtype=np.uint64)
