@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import stage
 from . import simhash
-from .common import bounded_batches, tidy
+from .common import bounded_batches, exploded_join, tidy
 from .components import components
 from .simhash import SEED, fingerprint, keep_least, shingle_hashes
 
@@ -149,7 +149,7 @@ def buckets(points: DataFrame) -> DataFrame:
     """(band, node, n, first) of the bands that more than one point has; first is the bucket's least point."""
     placed = points.select(F.explode("bands").alias("band"), "node", "n")
     shared = placed.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    return placed.join(shared.drop("last"), "band")
+    return exploded_join(placed, shared.drop("last"), "band")
 
 
 def shingle_sets(docs: DataFrame, points: DataFrame) -> DataFrame:

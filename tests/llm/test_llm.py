@@ -115,6 +115,12 @@ def test_cells_are_not_broadcast(spark):
     assert not_broadcast(found) and {(r.u, r.v) for r in found.collect()} == {(1, 2)}
 
 
+def test_bands_are_not_broadcast(spark):
+    """As the cells: 32 rows of each point are sized as one."""
+    found = similar.buckets(spark.createDataFrame([(1, 5, [7, 8]), (2, 5, [8, 9])], "node long, n long, bands array<long>"))
+    assert not_broadcast(found) and {tuple(r) for r in found.collect()} == {(8, 1, 5, 1), (8, 2, 5, 1)}
+
+
 def test_lower_bound():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**64, (2, 1000), dtype=np.uint64)
