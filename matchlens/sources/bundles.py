@@ -6,12 +6,14 @@ the error table, and a match with any error contributes no rows.
 
 from __future__ import annotations
 
+import functools
 import io
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ from ..schema import (
     SUPPLY_DOC,
     with_folded,
 )
+from . import files
 from .staging import BATCH_BYTES, bounded_batches, stage
 
 REQUIRED = ("player.json", "build_order.txt", "economy.json", "supply.json")
@@ -57,6 +60,9 @@ def _error(df: DataFrame, path, member, reason) -> DataFrame:
 
 def manifest_texts(spark: SparkSession, root: str) -> DataFrame:
     """(manifest_path, text) of every file named exactly manifest.json below root."""
+    folders = files.roots(spark, root)
+    if files.reachable(folders, FileType.Directory):
+        return stage(texts_of(files.below(spark, folders, "manifest.json")), "texts")
     return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "manifest.json")
@@ -66,6 +72,21 @@ def manifest_texts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def texts_of(paths: DataFrame) -> DataFrame:
+    """(manifest_path, text) of manifests given by `path`; only these files are read."""
+    spark = paths.sparkSession
+    first = paths.first()
+    if first is None:
+        return spark.createDataFrame([], "manifest_path string, text string")
+    if files.reachable([first.path], FileType.File):
+        uri = F.udf(lambda path: files.as_uri(path), "string")
+        held = files.contents(paths.select("path"), needed=True)
+        return held.select(uri("path").alias("manifest_path"), F.col("content").cast("string").alias("text"))
+    # Spark's reader takes their names from the driver.
+    named = [r.path for r in paths.select("path").collect()]
+    return spark.read.option("wholetext", True).text(named).select(F.col("_metadata.file_path").alias("manifest_path"), F.col("value").alias("text"))
+
+
 def parse_manifests(texts: DataFrame) -> Manifests:
     """Typed manifests, and the reasons for those that are not usable."""
     doc = F.from_json("text", f"{MANIFEST}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
@@ -104,14 +125,14 @@ def latest_manifests(manifests: DataFrame) -> DataFrame:
     return manifests.groupBy("replay_id").agg(F.max_by(F.struct(*cols), "manifest_path").alias("m")).select("replay_id", "m.*")
 
 
-def expand_archives(files: DataFrame, keys: list[str], only: tuple[str, ...] | None = None) -> DataFrame:
+def expand_archives(archives: DataFrame, keys: list[str], only: tuple[str, ...] | None = None) -> DataFrame:
     """Rows (keys, member, text, problem) of zip archives in a `content` column; of the members in `only`, where given.
 
     Archives are opened inside the scan's tasks, one at a time, and members are
     handed on before they add up to more than a batch and one archive.
     """
-    bounded_batches(files.sparkSession)
-    fields = {f.name: f.dataType.simpleString() for f in files.schema.fields}
+    bounded_batches(archives.sparkSession)
+    fields = {f.name: f.dataType.simpleString() for f in archives.schema.fields}
     ddl = ", ".join(f"{k} {fields[k]}" for k in keys) + ", member string, text string, problem string"
     names = [*keys, "member", "text", "problem"]
 
@@ -135,38 +156,58 @@ def expand_archives(files: DataFrame, keys: list[str], only: tuple[str, ...] | N
                     rows, size = [], 0
             yield pd.DataFrame(rows, columns=names)
 
-    return files.select(*keys, "content").mapInPandas(expand, ddl)
+    return archives.select(*keys, "content").mapInPandas(expand, ddl)
+
 
+def manifest_folder() -> Column:
+    return F.regexp_replace("manifest_path", "/[^/]*$", "")
 
-def wanted_archives(manifests: DataFrame) -> DataFrame:
-    """(replay_id, owner, name, race, zip_path): the archives manifests point at."""
+
+def wanted_archives(manifests: DataFrame, *more: str) -> DataFrame:
+    """(replay_id, owner, name, race, zip_path): the archives manifests point at; `folder` too, if asked for."""
     p = F.col("p")
-    folder = F.regexp_replace("manifest_path", "/[^/]*$", "")
+    folder = manifest_folder()
     return manifests.select("replay_id", "manifest_path", F.explode("players").alias("p")).select(
         "replay_id",
         p["owner"].alias("owner"),
         p["name"].alias("name"),
         p["race"].alias("race"),
         F.concat_ws("/", folder, p["zip_filename"]).alias("zip_path"),
+        *[folder.alias(m) for m in more],
     )
 
 
-def open_archives(spark: SparkSession, manifests: DataFrame, root: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def _plain(path: Column | str) -> Column:
+    """File sources report file:/x or file:///x."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def open_archives(spark: SparkSession, manifests: DataFrame, root: str | None) -> tuple[DataFrame, DataFrame]:
     """The known members of exactly the archives named by the manifests, and the
-    archives wanted; other archives are never read past their path."""
-    wanted = wanted_archives(manifests)
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
+    archives wanted; other archives are never opened. An archive lies below `root`,
+    or where that is None below its manifest's folder."""
+    wanted = wanted_archives(manifests).withColumn("zip_path", _plain("zip_path"))
+    if root is not None:
+        folders, kind = files.roots(spark, root), FileType.Directory
+    else:
+        folders, kind = [r.manifest_path for r in manifests.select("manifest_path").take(1)], None
+    if files.reachable(folders, kind):
+        # By path, so that no listing of all files goes to the driver.
+        own = wanted_archives(manifests, "folder").withColumns({"zip_path": _plain("zip_path"), "folder": _plain("folder")})
+        inside = files.visible(F.col("zip_path"), F.col("folder")) if root is None else functools.reduce(
+            Column.__or__, [files.visible(F.col("zip_path"), _plain(F.lit(f))) for f in folders])
+        named = own.where(inside & F.col("zip_path").endswith(".zip")).select("replay_id", "owner", "zip_path")
+        return expand_archives(files.contents(named, "zip_path"), ["replay_id", "owner", "zip_path"], (*REQUIRED, *OPTIONAL)), wanted
+    within = [r[0] for r in manifests.select(manifest_folder()).distinct().collect()] if root is None else root
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(within)
         .select(F.col("path").alias("zip_path"), "content")
     )
-    # The file source reports file:/x, the metadata column file:///x.
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    wanted = wanted.withColumn("zip_path", plain("zip_path"))
-    found = files.withColumn("zip_path", plain("zip_path")).join(wanted, "zip_path")
+    found = listed.withColumn("zip_path", _plain("zip_path")).join(wanted, "zip_path")
     return expand_archives(found, ["replay_id", "owner", "zip_path"], (*REQUIRED, *OPTIONAL)), wanted
 
 
-def read_bundles(spark: SparkSession, manifests: DataFrame, root: str | list[str]) -> Bundles:
+def read_bundles(spark: SparkSession, manifests: DataFrame, root: str | None) -> Bundles:
     """Members of the archives named by the manifests. A missing archive, member
     or owner match is an error row."""
     return judge_bundles(*open_archives(spark, manifests, root))
@@ -242,8 +283,8 @@ def read_series(bundles: Bundles, manifests: DataFrame) -> tuple[dict[str, DataF
     return faultless(tables, errors), errors
 
 
-def read_matches(spark: SparkSession, manifests: DataFrame, root: str | list[str]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """`read_series` of the archives under a folder, for writing.
+def read_matches(spark: SparkSession, manifests: DataFrame, root: str | None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """`read_series` of the archives under a folder (None: under their manifests' own), for writing.
 
     Manifests, members and errors are each written once to the shared folder, so
     every archive is opened once and judged once, however many tables follow. A

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import loss_lane
-from ..sources.bundles import ARCHIVE_MISSING, latest_manifests, parse_manifests, read_matches
+from ..sources.bundles import ARCHIVE_MISSING, latest_manifests, parse_manifests, read_matches, texts_of
 from ..sources.sinks import write_tables
 from ..sources.staging import stage
 
@@ -255,25 +255,21 @@ def ingest_batch(corpus_root: str, stream: str, buckets: int | None) -> Callable
         spark = batch.sparkSession
         paths = stage(batch.select(_plain("path").alias("path")), "batch")
         folder = F.regexp_replace("path", "/[^/]*$", "")
-        # At most maxFilesPerTrigger names: only these files are read, not the whole root.
-        named = [r[0] for r in paths.where(F.col("path").endswith("/manifest.json")).collect()]
-        texts = (
-            spark.read.option("wholetext", True).text(named).select(_plain(F.col("_metadata.file_path")).alias("manifest_path"), F.col("value").alias("text"))
-            if named else spark.createDataFrame([], "manifest_path string, text string")
-        )
-        found = parse_manifests(stage(texts, "texts"))
+        # Only these files are read, not the whole root.
+        texts = texts_of(paths.where(F.col("path").endswith("/manifest.json"))).withColumn("manifest_path", _plain("manifest_path"))
+        texts = stage(texts, "texts")
+        found = parse_manifests(texts)
         waiting = open_manifests(spark, corpus_root, batch_id)
         fresh = found.good if waiting is None else found.good.unionByName(waiting.select(*found.good.columns))
         manifests = stage(latest_manifests(fresh), "manifests")
         own = F.regexp_replace("manifest_path", "/[^/]*$", "").alias("folder")
         touched = paths.select(folder.alias("folder")).distinct()
         due = stage(manifests.select("*", own).join(touched, "folder", "left_semi").drop("folder"), "due")
-        folders = [r[0] for r in due.select(own).distinct().collect()]
         columns = ["replay_id", "path", "member", "reason"]
         faults = found.errors.withColumn("replay_id", F.lit(None).cast("string")).select(*columns)
         missing = None
-        if folders:
-            tables, errors = read_matches(spark, due, folders)
+        if not due.isEmpty():
+            tables, errors = read_matches(spark, due, None)
             missing = errors.where(F.col("reason") == ARCHIVE_MISSING).select("replay_id").distinct()
             write_tables(tables, corpus_root, buckets=buckets, tag=(stream, batch_id))
             faults = faults.unionByName(errors.select(*columns))

@@ -268,3 +268,42 @@ def test_archive_members_come_in_bounded_batches(spark, monkeypatch):
     found = pd.concat(out)
     assert found["problem"].notna().sum() == 15 and sorted(found.loc[found["member"] == "a", "text"]) == sorted(str(i % 10) * 300 for i in range(100) if i % 7)
     assert found["zip_path"].nunique() == 100
+
+
+def test_files_are_listed_and_opened_by_tasks(spark, tmp_path, monkeypatch):
+    """No listing of the files goes to the driver, and tasks find and open what Spark's sources would."""
+    root = tmp_path / "in"
+    for folder, rid in (("a", "m1"), ("b/c/d", "m2"), ("_no", "m3"), ("b/.no", "m4"), ("_k=1", "m5"), ("g h", "m6"), ("é", "m7"), ("_metadata", "m8")):
+        write_match(root, folder, rid, [player(1, "x", "zerg", ["00:10 Drone"])])
+    named = {"up": "../a/player_1.zip", "under": "e/f.zip", "dot": "./p.zip", "hid": "_p.zip", "hid2": "_e/p.zip", "copy": "p.zip._COPYING_",
+             "kind": "p.txt", "none": "q.zip", "empty": "r.zip", "folder": "s.zip", "double": "e//f.zip", "root": "/p.zip"}
+    for rid, name in named.items():
+        d = write_match(root, rid, rid, [player(1, "x", "zerg", ["00:10 Drone"])])
+        (d / "manifest.json").write_text((d / "manifest.json").read_text().replace("player_1.zip", name))
+        for at in ("e", "_e", "s.zip"):
+            (d / at).mkdir()
+        for at in ("e/f.zip", "p.zip", "_p.zip", "_e/p.zip", "p.zip._COPYING_", "p.txt"):
+            (d / at).write_bytes((d / "player_1.zip").read_bytes())
+        (d / "r.zip").write_bytes(b"")
+    (root / "void").mkdir()
+    (root / "void/manifest.json").write_bytes(b"")
+    (root / "text").mkdir()
+    (root / "text/manifest.json").write_bytes(b"\xff{nope")
+
+    def seen(at):
+        texts = bundles.manifest_texts(spark, at)
+        found = bundles.parse_manifests(texts)
+        manifests = bundles.latest_manifests(found.good)
+        members, wanted = bundles.open_archives(spark, manifests, at)
+        plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (texts, members)]
+        return plans, sorted(map(tuple, texts.collect())), {tuple(r) for r in members.collect()}, {r.path for r in found.errors.collect()}
+
+    for at in (str(root), f"{root}/", f"file://{root}", f"{root}/[a-b]*"):
+        plans, *own = seen(at)
+        assert " parquet" in plans[0] and "binaryFile" not in plans[1]
+        with monkeypatch.context() as m:
+            m.setattr(bundles.files, "reachable", lambda *_: False)
+            plans, *theirs = seen(at)
+        assert "binaryFile" in plans[1] and own == theirs
+    assert len(own[0]) == 2 and {m[0] for m in own[1]} == {"m1", "m2"}
+    assert not bundles.files.reachable(["viewfs://store/in"]) and not bundles.files.reachable([])
