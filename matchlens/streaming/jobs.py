@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import loss_lane
 from ..sources.bundles import ARCHIVE_MISSING, latest_manifests, parse_manifests, read_matches, texts_of
+from ..sources.files import few_listing_tasks
 from ..sources.sinks import write_tables
 from ..sources.staging import stage
 
@@ -209,6 +210,7 @@ def research_starts(
 
 def analysis_stream(spark: SparkSession, root: str, per_trigger: int = PER_TRIGGER) -> DataFrame:
     """Paths of new manifests and archives below a folder, each seen once per checkpoint; no contents."""
+    few_listing_tasks(spark)
     return (
         spark.readStream.format("binaryFile").schema(FILE_LISTING)
         .option("recursiveFileLookup", True).option("pathGlobFilter", "{manifest.json,*.zip}")

@@ -167,3 +167,23 @@ def test_backlog_is_taken_in_by_one_batch(spark, tmp_path):
     query = jobs.analysis_stream(spark, str(root)).writeStream.foreachBatch(lambda df, _: sizes.append(df.count()))
     query.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
     assert sizes == [1001]
+
+
+def test_batch_opens_its_files_by_path(spark, tmp_path, monkeypatch):
+    """A batch lists no folder again, and Spark's own listings take a few tasks for each core, not one for each path."""
+    from fixtures import write_match
+    from pyspark.sql import DataFrameReader
+
+    from matchlens.schema import open_corpus
+    from matchlens.streaming import jobs
+
+    store, setting = str(tmp_path / "corpus"), "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    spark.conf.unset(setting)
+    jobs.analysis_stream(spark, str(tmp_path))
+    assert int(spark.conf.get(setting)) <= 4 * spark.sparkContext.defaultParallelism
+    folders = [write_match(tmp_path / "in", f"{i}", f"m{i}", [{"owner": 1, "name": "x", "race": "zerg", "lines": ["00:10 Drone"]}]) for i in range(3)]
+    paths = [(f"file:{f}/{name}",) for f in folders for name in ("manifest.json", "player_1.zip")]
+    inner, loads = DataFrameReader.load, []
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, *a, **k: loads.append(a) or inner(self, *a, **k))
+    jobs.ingest_batch(store, "s", 2)(spark.createDataFrame(paths, "path string"), 0)
+    assert loads == [] and {r.replay_id for r in open_corpus(spark, store).replays.collect()} == {"m0", "m1", "m2"}
